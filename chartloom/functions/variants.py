@@ -86,8 +86,8 @@ def strict_root(raw: Column) -> Column:
 def leaves(doc: Column, depth: int = MAX_DEPTH) -> Column:
     """ARRAY<STRUCT<path, value>> of every leaf; arrays and empty objects stay leaves."""
 
-    def walk(prefix: Column, value: Column, left: int) -> Column:
-        leaf = F.array(F.struct(prefix.alias("path"), value.alias("value")))
+    def walk(prefix: Column, value: Column, left: int, here: Column) -> Column:
+        leaf = F.array(F.struct(here.alias("path"), value.alias("value")))
         members = as_map(value)
         if left == 0:
             return F.when(
@@ -97,18 +97,19 @@ def leaves(doc: Column, depth: int = MAX_DEPTH) -> Column:
                 ),
             ).otherwise(leaf)
 
-        def step(entry: Column) -> Column:
-            path = F.when(prefix == "", entry["key"]).otherwise(
-                F.concat(prefix, F.lit("."), entry["key"])
-            )
-            return walk(path, entry["value"], left - 1)
-
+        # The full path is bound once per member; deeper levels refer to it by name.
+        named = F.transform(
+            F.map_entries(members),
+            lambda entry: F.struct(
+                F.concat(prefix, entry["key"]).alias("path"), entry["value"].alias("value")
+            ),
+        )
         return F.when(
             F.coalesce(F.size(members) > 0, F.lit(False)),
-            F.flatten(F.transform(F.map_entries(members), step)),
+            F.flatten(F.transform(named, lambda m: walk(F.concat(m["path"], F.lit(".")), m["value"], left - 1, m["path"]))),
         ).otherwise(leaf)
 
-    return walk(F.lit(""), doc, depth)
+    return walk(F.lit(""), doc, depth, F.lit(""))
 
 
 def fill_missing(target: Column, repair: Column, depth: int = MAX_DEPTH) -> Column:

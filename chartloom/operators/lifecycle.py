@@ -9,6 +9,7 @@ from chartloom import config as c
 from chartloom.functions.ids import case_id_of, case_key
 from chartloom.functions.text import initials
 from chartloom.functions.variants import at
+from chartloom.operators.staging import evaluate_once
 
 
 def is_expired(created_at: Column, as_of: Column, ttl_hours: int) -> Column:
@@ -55,23 +56,27 @@ def case_listing(prefixes: DataFrame, documents: DataFrame, limit: int | None =
     A prefix without a readable marker document is skipped.  ``limit`` asks for
     the newest rows of the whole set, taken after the sort.
     """
-    readable = documents.where(F.col("analysis").isNotNull())
-    listed = prefixes.join(readable, "case_id").select(
-        "case_id",
+    named = documents.select(
+        "case_id", F.col("analysis").isNotNull().alias("_readable"),
         F.coalesce(at(F.col("analysis"), "patient.full_name", "string"), F.lit("")).alias("patient_name"),
+    )
+    # Only the name travels through the join, never the document.
+    readable = evaluate_once(named).where("_readable").drop("_readable")
+    listed = prefixes.join(readable, "case_id").select(
+        "case_id", "patient_name",
         case_key(F.col("case_id"), F.lit(c.MARKER_NAME)).alias("analysis_key"),
     ).orderBy(F.desc("case_id"))
     return listed.limit(limit) if limit is not None else listed
 
 
-def latest_per_case(rows: DataFrame, order: str = "committed_at") -> DataFrame:
+def latest_per_case(rows: DataFrame, order: tuple[str, ...] = ("committed_at",)) -> DataFrame:
     """Latest version of each case; versions are reduced map-side before the shuffle."""
     payload = [name for name in rows.columns if name != "case_id"]
-    newest = rows.groupBy("case_id").agg(F.max_by(F.struct(*payload), order).alias("_row"))
+    newest = rows.groupBy("case_id").agg(F.max_by(F.struct(*payload), F.struct(*order)).alias("_row"))
     return newest.select("case_id", *[F.col(f"_row.{name}").alias(name) for name in payload])
 
 
-def upsert_cases(current: DataFrame, incoming: DataFrame, order: str = "committed_at") -> DataFrame:
+def upsert_cases(current: DataFrame, incoming: DataFrame, order: tuple[str, ...] = ("committed_at",)) -> DataFrame:
     return latest_per_case(current.unionByName(incoming, allowMissingColumns=True), order)
 
 

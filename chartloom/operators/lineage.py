@@ -11,6 +11,7 @@ from chartloom import config as c
 from chartloom.functions.ids import owned_by_case, promoted_key
 from chartloom.functions.text import basename
 from chartloom.functions.variants import as_map, at
+from chartloom.operators.staging import evaluate_once
 
 
 def attach_sources(
@@ -99,9 +100,9 @@ def promote_sources(sources: DataFrame, files: DataFrame, case_id: Column, intak
 def source_entries(cases: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
     """One row per listed source file of each case, in order."""
     shape = "array<struct<path: string, filename: string, type: string, exam: string, eye: string, pages: variant>>"
-    return cases.select(
-        "case_id", *keep, F.posexplode(at(F.col("analysis"), "source_files", shape)).alias("index", "_f")
-    ).select("case_id", *keep, F.col("index").cast("bigint").alias("index"), "_f.*")
+    listed = evaluate_once(cases.select("case_id", *keep, at(F.col("analysis"), "source_files", shape).alias("_files")))
+    return listed.select("case_id", *keep, F.posexplode("_files").alias("index", "_f")).select(
+        "case_id", *keep, F.col("index").cast("bigint").alias("index"), "_f.*")
 
 
 def owned_sources(entries: DataFrame) -> DataFrame:

@@ -10,7 +10,8 @@ from pyspark.sql import functions as F
 
 from chartloom import config as c
 from chartloom.functions.text import basename
-from chartloom.functions.variants import as_list, as_map, at, fill_missing, is_number, is_object
+from chartloom.functions.variants import as_map, at, fill_missing, is_number, is_object
+from chartloom.operators.staging import evaluate_once
 
 PENTACAM = "exams.pentacam_corneal_tomography"
 
@@ -82,10 +83,15 @@ def repair_files(cases: DataFrame, files: DataFrame) -> DataFrame:
 
     Only incomplete cases, and only files the tomography exam names as source.
     """
-    due = completeness(cases.select("case_id", "analysis"), keep=("analysis",)).where("needs_repair")
-    wanted = due.select(
-        "case_id", F.explode(at(F.col("analysis"), f"{PENTACAM}.source", "array<string>")).alias("_source")
-    ).select("case_id", basename(F.col("_source")).alias("filename"))
+    listed = cases.select(
+        "case_id", "analysis", at(F.col("analysis"), f"{PENTACAM}.source", "array<string>").alias("_sources")
+    )
+    judged = completeness(listed, keep=("_sources",)).select("case_id", "_sources", "needs_repair")
+    wanted = (
+        evaluate_once(judged).where("needs_repair")
+        .select("case_id", F.explode("_sources").alias("_source"))
+        .select("case_id", basename(F.col("_source")).alias("filename"))
+    )
     return files.join(wanted, ["case_id", "filename"], "left_semi")
 
 

@@ -7,10 +7,16 @@ from pyspark.sql import functions as F
 
 from chartloom import config as c
 from chartloom.functions.text import (
-    capitalize_first, eye_label, file_kind, humanize_key, join_filled, last_segment, percent, pt_number,
+    capitalize_first, eye_label, file_kind, humanize_key, join_filled, last_segment, leading_number, percent,
+    pt_number,
 )
-from chartloom.functions.variants import as_list, as_map, at, first_present, is_object, is_string, present, text
-from chartloom.operators.normalize import METRICS
+from chartloom.functions.variants import as_list, as_map, at, first_present, text
+from chartloom.operators.staging import evaluate_once
+
+
+def _count(items: Column) -> Column:
+    """Length of an array, zero for a missing one."""
+    return F.when(items.isNotNull(), F.size(items)).otherwise(0).cast("bigint")
 
 
 def exam_label(key: Column) -> Column:
@@ -159,7 +165,8 @@ def find_first(rows: DataFrame, group: str, key: str, value: str, order: str) ->
 def exam_summaries(cases: DataFrame) -> DataFrame:
     """One row per exam of a case: label, eyes present, source list.  Row-local."""
     exams = as_map(at(F.col("analysis"), "exams"))
-    entry = cases.select("case_id", exams.alias("_exams")).select("case_id", F.explode("_exams").alias("exam_key", "_exam"))
+    listed = evaluate_once(cases.select("case_id", exams.alias("_exams")))
+    entry = listed.select("case_id", F.explode("_exams").alias("exam_key", "_exam"))
     sources = at(F.col("_exam"), "source", "array<string>")
     return entry.select(
         "case_id", "exam_key", exam_label(F.col("exam_key")).alias("label"),
@@ -173,18 +180,16 @@ def case_counts(cases: DataFrame) -> DataFrame:
     doc = F.col("analysis")
     return cases.select(
         "case_id",
-        F.coalesce(F.size(F.map_keys(as_map(at(doc, "exams")))), F.lit(0)).cast("bigint").alias("n_exams"),
-        F.greatest(F.coalesce(F.size(as_list(at(doc, "source_files"))), F.lit(0)), F.lit(0))
-        .cast("bigint").alias("n_files"),
+        _count(F.map_keys(as_map(at(doc, "exams")))).alias("n_exams"),
+        _count(as_list(at(doc, "source_files"))).alias("n_files"),
     )
 
 
 def conventions(cases: DataFrame) -> DataFrame:
     """Key/value rows of the conventions object."""
     members = as_map(at(F.col("analysis"), "conventions"))
-    return cases.select("case_id", members.alias("_m")).select(
-        "case_id", F.explode("_m").alias("key", "_value")
-    ).select("case_id", "key", F.coalesce(F.try_variant_get("_value", "$", "string"), F.lit("null")).alias("value"))
+    listed = evaluate_once(cases.select("case_id", members.alias("_m")))
+    return listed.select("case_id", F.explode("_m").alias("key", "_value")).select("case_id", "key", F.coalesce(F.try_variant_get("_value", "$", "string"), F.lit("null")).alias("value"))
 
 
 def metric_cards(cases: DataFrame) -> DataFrame:
@@ -200,7 +205,7 @@ def metric_cards(cases: DataFrame) -> DataFrame:
         )
         for eye in c.EYES
     }
-    n_files = F.greatest(F.coalesce(F.size(as_list(at(doc, "source_files"))), F.lit(0)), F.lit(0))
+    n_files = _count(as_list(at(doc, "source_files")))
     values = [
         n_files.cast("string"),
         F.lit(str(len(c.EYES) * len(c.METRIC_CATALOG))),
@@ -258,52 +263,76 @@ def renested_document(analysis: Column) -> Column:
     pentacam, iol = at(exams, "pentacam_corneal_tomography"), at(exams, "iol_calculation")
     micro = at(exams, "specular_microscopy")
 
-    def eye_parts(index: int, eye: str) -> tuple[Column, Column, Column]:
-        cornea = at(pentacam, f"eyes.{eye}")
-        biometry = first_present(at(iol, f"eyes.{eye}"), at(iol, f"eyes.AO.{eye}"))
-        endothelium = at(micro, f"eyes.{eye}")
-        h = {"cornea": cornea, "biometry": biometry, "endothelium": endothelium}
-        for name, specs in c.NORMALIZE_OBJECTS.items():
-            h[name] = pick(h, specs)
-        number_of = {name: pick(h, specs) for name, specs in c.NORMALIZE_NUMBERS.items()}
+    def found(index: int, eye: str) -> Column:
+        return F.struct(
+            at(analysis, f"exams.pentacam_corneal_tomography.eyes.{eye}").alias("cornea"),
+            first_present(
+                at(analysis, f"exams.iol_calculation.eyes.{eye}"), at(analysis, f"exams.iol_calculation.eyes.AO.{eye}")
+            ).alias("biometry"),
+            at(analysis, f"exams.specular_microscopy.eyes.{eye}").alias("endothelium"),
+            at(analysis, f"exams.pentacam_corneal_tomography.source[{index}]").alias("source_file"),
+        )
+
+    def with_objects(h: Column) -> Column:
+        holders = {name: h[name] for name in ("cornea", "biometry", "endothelium")}
+        chosen = {name: pick(holders, specs) for name, specs in c.NORMALIZE_OBJECTS.items()}
+        return F.struct(
+            *[v.alias(k) for k, v in holders.items()], h["source_file"].alias("source_file"),
+            *[v.alias(k) for k, v in chosen.items()],
+        )
+
+    def rebuilt(h: Column) -> Column:
+        names = ("cornea", "biometry", "endothelium", *c.NORMALIZE_OBJECTS)
+        held = {name: h[name] for name in names}
+        values = {name: pick(held, specs) for name, specs in c.NORMALIZE_NUMBERS.items()}
+        cornea, biometry = held["cornea"], held["biometry"]
         coma = F.concat(
-            F.coalesce(F.try_variant_get(pick(h, c.COMA_FALLBACK_PATHS), "$", "string"), F.lit("NaN")), F.lit(" µm")
+            F.coalesce(F.try_variant_get(pick(held, c.COMA_FALLBACK_PATHS), "$", "string"), F.lit("NaN")), F.lit(" µm")
         )
         astigmatism = F.coalesce(
-            pick(h, c.ASTIGMATISM_PATHS),
-            as_variant(F.regexp_extract(
-                at(biometry, c.ASTIGMATISM_TEXT_PATH.split(":")[1], "string"), r"^\s*([+-]?\d*\.?\d+)", 1
-            ).try_cast("double")),
+            pick(held, c.ASTIGMATISM_PATHS),
+            as_variant(leading_number(at(biometry, c.ASTIGMATISM_TEXT_PATH.split(":")[1], "string"))),
         )
         new_biometry = overlay(biometry, {
-            "axial_length_mm": number_of["axial_length_mm"],
+            "axial_length_mm": values["axial_length_mm"],
             "keratometry": overlay(at(biometry, "keratometry"), {"astigmatism_d": astigmatism}),
         })
-        new_endothelium = overlay(endothelium, {
-            "cell_density_cells_per_mm2": number_of["cell_density_cells_per_mm2"]
+        new_endothelium = overlay(held["endothelium"], {
+            "cell_density_cells_per_mm2": values["cell_density_cells_per_mm2"]
         })
-        zernike = F.coalesce(h["zernike"], as_variant(F.create_map(F.lit("5mm"), F.create_map(F.lit("z31_coma"), coma))))
+        zernike = F.coalesce(
+            held["zernike"], as_variant(F.create_map(F.lit("5mm"), F.create_map(F.lit("z31_coma"), coma)))
+        )
         new_cornea = overlay(cornea, {
-            "source_file": at(pentacam, f"source[{index}]"),
-            "quality": F.coalesce(pick(h, c.QUALITY_PATHS), F.parse_json(F.lit(f'"{c.QUALITY_MISSING}"'))),
-            "anterior_cornea": overlay(at(cornea, "anterior_cornea"), {"kmax_d": number_of["kmax_d"]}),
-            "pachymetry": overlay(at(cornea, "pachymetry"), {"thinnest_um": number_of["thinnest_um"]}),
-            "belin_ambrosio": overlay(h["ectasia"], {"d": number_of["bad_d"], "art_max": number_of["art_max"]}),
-            "topometric_indices_8mm": F.coalesce(h["topometric"], F.parse_json(F.lit('{"tkc":null}'))),
-            "cataract_preop": F.coalesce(h["cataract"], F.parse_json(F.lit('{"total_corneal_z40_6mm_um":null}'))),
+            "source_file": h["source_file"],
+            "quality": F.coalesce(pick(held, c.QUALITY_PATHS), F.parse_json(F.lit(f'"{c.QUALITY_MISSING}"'))),
+            "anterior_cornea": overlay(at(cornea, "anterior_cornea"), {"kmax_d": values["kmax_d"]}),
+            "pachymetry": overlay(at(cornea, "pachymetry"), {"thinnest_um": values["thinnest_um"]}),
+            "belin_ambrosio": overlay(held["ectasia"], {"d": values["bad_d"], "art_max": values["art_max"]}),
+            "topometric_indices_8mm": F.coalesce(held["topometric"], F.parse_json(F.lit('{"tkc":null}'))),
+            "cataract_preop": F.coalesce(held["cataract"], F.parse_json(F.lit('{"total_corneal_z40_6mm_um":null}'))),
             "corneal_rings": overlay(at(cornea, "corneal_rings"), {"zernike": zernike}),
-            "iol": new_biometry,
-            "endothelium": new_endothelium,
         })
-        return new_cornea, new_biometry, new_endothelium
+        return F.struct(
+            overlay(new_cornea, {"iol": new_biometry, "endothelium": new_endothelium}).alias("pentacam"),
+            new_biometry.alias("iol"), new_endothelium.alias("microscopy"),
+        )
+
+    # Lambda variables bind each intermediate object once per eye.
+    eyes = F.transform(
+        F.transform(F.array(*[found(i, eye) for i, eye in enumerate(c.EYES)]), with_objects), rebuilt
+    )
 
-    parts = {eye: eye_parts(i, eye) for i, eye in enumerate(c.EYES)}
+    def written_back(parts: Column) -> Column:
+        def eyes_of(exam: str) -> Column:
+            return F.to_variant_object(F.create_map(*[
+                x for i, eye in enumerate(c.EYES) for x in (F.lit(eye), F.get(parts, F.lit(i))[exam])
+            ]))
 
-    def eyes_of(which: int) -> Column:
-        return F.to_variant_object(F.create_map(*[x for eye in c.EYES for x in (F.lit(eye), parts[eye][which])]))
+        return overlay(analysis, {"exams": overlay(exams, {
+            "pentacam_corneal_tomography": overlay(pentacam, {"eyes": eyes_of("pentacam")}),
+            "iol_calculation": overlay(iol, {"eyes": eyes_of("iol")}),
+            "specular_microscopy": overlay(micro, {"eyes": eyes_of("microscopy")}),
+        })})
 
-    return overlay(analysis, {"exams": overlay(exams, {
-        "pentacam_corneal_tomography": overlay(pentacam, {"eyes": eyes_of(0)}),
-        "iol_calculation": overlay(iol, {"eyes": eyes_of(1)}),
-        "specular_microscopy": overlay(micro, {"eyes": eyes_of(2)}),
-    })})
+    return F.get(F.transform(F.array(eyes), written_back), F.lit(0))
