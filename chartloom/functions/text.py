@@ -21,7 +21,9 @@ def token(*parts: Column) -> Column:
 
 
 def data_url(content_type: Column, content: Column) -> Column:
-    return F.concat(F.lit("data:"), content_type, F.lit(";base64,"), F.base64(content))
+    """Data URL; the line breaks Spark may put into base64 text are taken out again."""
+    encoded = F.replace(F.base64(content), F.lit("\r\n"), F.lit(""))
+    return F.concat(F.lit("data:"), content_type, F.lit(";base64,"), encoded)
 
 
 def last_segment(path: Column) -> Column:
