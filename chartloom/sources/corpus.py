@@ -260,29 +260,38 @@ FILE_KINDS = (
 )
 
 
-def intake_files(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Uploaded files: four consecutive documents form one intake; bytes are the whole text."""
-    extension = "CASE doc_id%5 " + " ".join(f"WHEN {i} THEN '{x}'" for i, (x, _) in enumerate(FILE_KINDS)) + " END"
-    kind = "CASE doc_id%5 " + " ".join(f"WHEN {i} THEN '{t}'" for i, (_, t) in enumerate(FILE_KINDS)) + " END"
-    return table(spark, sf_dir, "documents").select(
+def _by_document(values: list[str]) -> str:
+    return "CASE doc_id%5 " + " ".join(f"WHEN {i} THEN '{v}'" for i, v in enumerate(values)) + " END"
+
+
+_EXTENSION = _by_document([x for x, _ in FILE_KINDS])
+_TYPE = _by_document([t for _, t in FILE_KINDS])
+
+
+def file_columns(documents: DataFrame) -> DataFrame:
+    """Documents as uploaded files: four consecutive ones form an intake; bytes are the whole text."""
+    return documents.select(
         "doc_id",
         F.expr("doc_id div 4").alias("intake_no"),
         F.expr("doc_id % 4").alias("file_index"),
-        F.expr(f"concat('scan ', doc_id, '.', {extension})").alias("filename"),
-        F.expr(kind).alias("content_type"),
+        F.expr(f"concat('scan ', doc_id, '.', {_EXTENSION})").alias("filename"),
+        F.expr(_TYPE).alias("content_type"),
         F.expr("cast(octet_length(text) as bigint)").alias("size_bytes"),
         F.expr("encode(text, 'utf-8')").alias("content"),
     )
 
 
+def intake_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return file_columns(table(spark, sf_dir, "documents"))
+
+
 def extracted_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     """File entries as an extraction lists them: some missing, some doubled, two naming styles."""
     listed = table(spark, sf_dir, "documents").where("doc_id % 7 <> 3")
-    extension = "CASE doc_id%5 " + " ".join(f"WHEN {i} THEN '{x}'" for i, (x, _) in enumerate(FILE_KINDS)) + " END"
     base = listed.select(
         "doc_id",
         F.expr("doc_id div 4").alias("intake_no"),
-        F.expr(f"concat('scan ', doc_id, '.', {extension})").alias("name"),
+        F.expr(f"concat('scan ', doc_id, '.', {_EXTENSION})").alias("name"),
         F.col("lang").alias("exam"),
         F.expr("CASE WHEN doc_id%2=0 THEN 'OD' ELSE 'OS' END").alias("eye"),
     )
