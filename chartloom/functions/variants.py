@@ -137,6 +137,7 @@ def fill_missing(target: Column, repair: Column, depth: int = MAX_DEPTH) -> Colu
                 .otherwise(old)
             )
 
-        return F.map_zip_with(base, extra, pick)
+        # A null repair of an absent member leaves the member absent.
+        return F.map_filter(F.map_zip_with(base, extra, pick), lambda _key, value: value.isNotNull())
 
     return F.to_variant_object(merge(as_map(target), as_map(repair), depth))

@@ -55,7 +55,7 @@ def read_documents(spark: SparkSession, path: str, limits: Limits = Limits()) ->
     )
     return raw.where(F.col("length") <= limits.max_document).select(
         F.regexp_extract("path", "/cases/([^/]+)/", 1).alias("case_id"),
-        F.decode("content", F.lit("UTF-8")).alias("raw"),
+        F.decode("content", "UTF-8").alias("raw"),
     )
 
 

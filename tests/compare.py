@@ -28,13 +28,9 @@ def connect(sf_dir: str) -> duckdb.DuckDBPyConnection:
     return con
 
 
-def _plain(value):
-    return round(value, 9) + 0.0 if isinstance(value, float) else value
-
-
 def rows_of(names: list[str], rows) -> Counter:
     order = sorted(range(len(names)), key=lambda i: names[i])
-    return Counter(tuple(_plain(row[i]) for i in order) for row in rows)
+    return Counter(tuple(row[i] for i in order) for row in rows)
 
 
 def difference(spark, con, fn, sql: str, sf_dir: str) -> str | None:
