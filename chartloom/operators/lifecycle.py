@@ -62,7 +62,9 @@ def case_listing(prefixes: DataFrame, documents: DataFrame, limit: int | None =
     )
     # Only the name travels through the join, never the document.
     readable = evaluate_once(named).where("_readable").drop("_readable")
-    listed = prefixes.join(readable, "case_id").select(
+    # The sort samples its input first; a join that ends in shuffle files keeps the
+    # parsing from running a second time for that.
+    listed = prefixes.join(readable.hint("merge"), "case_id").select(
         "case_id", "patient_name",
         case_key(F.col("case_id"), F.lit(c.MARKER_NAME)).alias("analysis_key"),
     ).orderBy(F.desc("case_id"))

@@ -11,7 +11,7 @@ from chartloom import config as c
 from chartloom.functions.ids import owned_by_case, promoted_key
 from chartloom.functions.text import basename
 from chartloom.functions.variants import as_map, at
-from chartloom.operators.staging import evaluate_once
+from chartloom.operators.staging import evaluate_once, join_splittable
 
 
 def attach_sources(
@@ -33,7 +33,7 @@ def attach_sources(
         .agg(F.min_by(F.struct(*payload), "source_pos").alias("_source"))
         .withColumnRenamed("_name", "filename")
     )
-    return files.join(first, [intake, "filename"], "left").select(
+    return join_splittable(files, first, [intake, "filename"], "left").select(
         *[F.col(name) for name in files.columns], *[F.col(f"_source.{name}").alias(name) for name in payload]
     )
 

@@ -1,7 +1,7 @@
 """Order-dependent operators that never gather one group in one task.
 
-Both work in two levels: rows are cut into (group, bucket) cells whose size is
-set by the bucket width, and only one summary row per cell meets the other cells
+Both work in two levels: rows are cut into (group, range) cells whose size is
+set by the width of a cell, and only one summary row per cell meets the other cells
 of its group.
 """
 
@@ -13,21 +13,29 @@ from pyspark.sql import functions as F
 
 
 def position_in_group(
-    rows: DataFrame, group: list[str], position: str, out: str, bucket_width: int = 1 << 16
+    rows: DataFrame, group: str, position: str, out: str, cell_bits: int = 16
 ) -> DataFrame:
-    """Zero-based rank by an integer ``position`` that is unique within its group."""
-    cells = rows.withColumn("_cell", F.floor(F.col(position) / bucket_width))
-    before = W.partitionBy(*group).orderBy("_cell").rowsBetween(W.unboundedPreceding, -1)
+    """Zero-based rank by an integer ``position`` that is unique within its group.
+
+    A cell spans 2**cell_bits positions.
+    """
+    cells = rows.withColumn("_cell", F.shiftright(position, cell_bits))
+    before = W.partitionBy(group).orderBy("_cell").rowsBetween(W.unboundedPreceding, -1)
     offsets = (
-        cells.groupBy(*group, "_cell").agg(F.count("*").alias("_n"))
-        .select(*group, "_cell", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_offset"))
+        cells.groupBy(group, "_cell").agg(F.count("*").alias("_n"))
+        .select(
+            F.col(group).alias("_group"), F.col("_cell").alias("_in"),
+            F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_offset"),
+        )
     )
-    inside = W.partitionBy(*group, "_cell").orderBy(position)
+    inside = W.partitionBy(group, "_cell").orderBy(position)
+    ranked = cells.withColumn("_rank", F.row_number().over(inside) - 1)
+    # Null-safe, so that rows without a group keep their place too.
+    same = F.col(group).eqNullSafe(F.col("_group")) & F.col("_cell").eqNullSafe(F.col("_in"))
     return (
-        cells.withColumn("_rank", F.row_number().over(inside) - 1)
-        .join(offsets, [*group, "_cell"])
+        ranked.join(offsets, same)
         .withColumn(out, (F.col("_offset") + F.col("_rank")).cast("bigint"))
-        .drop("_cell", "_rank", "_offset")
+        .select(*rows.columns, out)
     )
 
 
@@ -38,16 +46,18 @@ def next_match(
     is_start: Column,
     is_match: Column,
     out: str,
-    bucket_us: int = 3_600_000_000,
+    cell_bits: int = 32,
 ) -> DataFrame:
     """Start rows with the time of the first matching row at or after them, NULL when none.
 
-    ``time_us`` is an integer time in microseconds.  One row leaves per start row, so
-    a key with very many starts and matches grows linearly, not by pairs.
+    ``time_us`` is an integer time in microseconds and a cell spans 2**cell_bits of
+    them (72 minutes by default).  One row leaves per start row, so a key with very
+    many starts and matches grows linearly, not by pairs.  A row without a key
+    matches nothing.
     """
     rows = events.select(
         "*", time_us.alias("_t"), F.when(is_match, time_us).alias("_m"), is_start.alias("_s"),
-    ).where("_s OR _m IS NOT NULL").withColumn("_cell", F.floor(F.col("_t") / bucket_us))
+    ).where("_s OR _m IS NOT NULL").withColumn("_cell", F.shiftright("_t", cell_bits))
     # Descending order makes "from here on" a growing frame, which is linear to evaluate.
     here = W.partitionBy(key, "_cell").orderBy(F.desc("_t")).rangeBetween(W.unboundedPreceding, 0)
     later = W.partitionBy(key).orderBy(F.desc("_cell")).rowsBetween(W.unboundedPreceding, -1)
@@ -58,7 +68,7 @@ def next_match(
     return (
         rows.withColumn("_here", F.min("_m").over(here))
         .where("_s")
-        .join(summary, [key, "_cell"])
-        .withColumn(out, F.coalesce("_here", "_later"))
+        .join(summary, [key, "_cell"], "left")
+        .withColumn(out, F.when(F.col(key).isNotNull(), F.coalesce("_here", "_later")))
         .drop("_t", "_m", "_s", "_cell", "_here", "_later")
     )

@@ -14,3 +14,16 @@ def evaluate_once(rows: DataFrame) -> DataFrame:
     of a generator stays where it is.
     """
     return rows.select(F.inline(F.array(F.struct(*[F.col(f"`{name}`") for name in rows.columns]))))
+
+
+def join_splittable(left: DataFrame, right: DataFrame, keys: list[str], how: str) -> DataFrame:
+    """Equi-join whose hot keys on the left can be split at run time.
+
+    Adaptive execution splits a skewed partition only between two shuffles of the
+    join itself.  When ``right`` was just grouped by the same keys, its grouping
+    shuffle would be reused and the join could not be split.  One more derived key
+    gives the (already reduced) right side a shuffle of its own.
+    """
+    spread = F.xxhash64(*keys)
+    joined = left.withColumn("_spread", spread).join(right.withColumn("_spread", spread), [*keys, "_spread"], how)
+    return joined.drop("_spread")

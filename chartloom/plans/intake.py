@@ -191,7 +191,7 @@ def dup_content(spark: SparkSession, sf_dir: str) -> DataFrame:
 def upload_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Stable position of each document within its source; one source may hold most rows."""
     rows = corpus.table(spark, sf_dir, "documents").select("doc_id", "source")
-    return position_in_group(rows, ["source"], "doc_id", "upload_index", bucket_width=1 << 12)
+    return position_in_group(rows, "source", "doc_id", "upload_index", cell_bits=12)
 
 
 _OUTCOME = """CASE WHEN conv_id%11=5 AND turn%3=1 THEN 'invalid' WHEN conv_id%7=3 THEN 'failed' WHEN role='system' THEN 'incomplete'

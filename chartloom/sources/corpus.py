@@ -225,7 +225,7 @@ def repair_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def contract_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(case_id, k, raw): short envelopes, a fifth of them broken in a known way."""
-    keyed = with_case_keys(table(spark, sf_dir, "orders"))
+    keyed = with_case_keys(spread(table(spark, sf_dir, "orders").select("o_orderkey", "o_orderdate")))
     good = (
         '{"schema_version":"1.0","language":"pt-BR","patient":{"full_name":"x"},'
         '"source_files":[{"path":"a.pdf"}],'

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from chartloom.config import Limits
 from chartloom.functions.text import data_url
+from chartloom.operators.staging import join_splittable
 
 # Fixed values of the request and response format.
 MAIN_OUTPUT_TOKENS = 40_000
@@ -48,7 +49,7 @@ def request_lines(
     Only admitted sets are gathered, and admission bounds the bytes and the name
     lengths of a set, so no group can outgrow one request.
     """
-    allowed = files.join(admitted.where("admitted").select(intake), intake, "left_semi")
+    allowed = join_splittable(files, admitted.where("admitted").select(intake), [intake], "left_semi")
     gathered = request_parts(allowed).groupBy(intake).agg(
         F.array_sort(F.collect_list(F.struct("file_index", "parts"))).alias("_files")
     )
