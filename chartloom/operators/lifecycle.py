@@ -50,6 +50,33 @@ def confirm_outcome(
     )
 
 
+def draft_states(
+    drafts: DataFrame, requests: DataFrame, key: str, as_of: Column, ttl_hours: int = 24
+) -> DataFrame:
+    """State of every draft at a moment: open, confirmed, discarded or expired.
+
+    ``requests`` (key, requested_at, action) are confirms and discards in any
+    order and number.  The first one that reaches the draft in its time to live
+    decides.  Requests join one draft row each and reduce map-side.
+    """
+    end = F.col("created_at") + F.make_dt_interval(hours=F.lit(ttl_hours))
+    asked = requests.join(drafts.select(key, "created_at"), key).where(
+        (F.col("requested_at") >= F.col("created_at")) & (F.col("requested_at") <= end)
+        & (F.col("requested_at") <= as_of)
+    )
+    first = asked.groupBy(key).agg(*[
+        F.min(F.when(F.col("action") == action, F.col("requested_at"))).alias(f"_{action}")
+        for action in ("confirm", "discard")
+    ])
+    state = (
+        F.when(F.col("_confirm") <= F.coalesce(F.col("_discard"), F.col("_confirm")), "confirmed")
+        .when(F.col("_discard").isNotNull(), "discarded")
+        .when(as_of > end, "expired")
+        .otherwise("open")
+    )
+    return drafts.join(first, key, "left").select(*drafts.columns, state.alias("state"))
+
+
 def case_listing(prefixes: DataFrame, documents: DataFrame, limit: int | None = None) -> DataFrame:
     """Committed cases, newest first.
 

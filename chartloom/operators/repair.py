@@ -14,6 +14,8 @@ from chartloom.functions.variants import as_map, at, fill_missing, is_number, is
 from chartloom.operators.staging import evaluate_once
 
 PENTACAM = "exams.pentacam_corneal_tomography"
+# An eye holds sections, metric groups and metrics; anything deeper raises.
+EYE_DEPTH = 6
 
 
 def _eye_shape() -> str:
@@ -108,17 +110,19 @@ def merged_document(analysis: Column, repair: Column) -> Column:
     """
     exams, exam = at(analysis, "exams"), at(analysis, PENTACAM)
     eyes = at(analysis, f"{PENTACAM}.eyes")
-    filled = eyes
-    for name in c.EYES:
+
+    def eye(name: str) -> Column:
         old, extra = at(analysis, f"{PENTACAM}.eyes.{name}"), at(repair, f"eyes.{name}")
-        filled = F.when(
-            is_object(old) & is_object(extra), _with_member(filled, name, fill_missing(old, extra))
-        ).otherwise(filled)
+        return F.when(is_object(old) & is_object(extra), fill_missing(old, extra, EYE_DEPTH))
+
+    filled = F.create_map(*[part for name in c.EYES for part in (F.lit(name), eye(name))])
+    merged = F.map_zip_with(as_map(eyes), filled, lambda _name, old, new: F.coalesce(new, old))
+    kept = F.to_variant_object(F.map_filter(merged, lambda _name, value: value.isNotNull()))
     return F.when(
         is_object(eyes) & is_object(at(repair, "eyes")),
         _with_member(
             analysis, "exams",
-            _with_member(exams, "pentacam_corneal_tomography", _with_member(exam, "eyes", filled)),
+            _with_member(exams, "pentacam_corneal_tomography", _with_member(exam, "eyes", kept)),
         ),
     ).otherwise(analysis)
 

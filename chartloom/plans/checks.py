@@ -60,7 +60,7 @@ SOURCES = """s AS (
          lang || '-' || copy AS exam,
          CASE WHEN doc_id%2=0 THEN 'OD' ELSE 'OS' END AS eye
   FROM f, (SELECT 0 AS copy UNION ALL SELECT 1) c
-  WHERE doc_id % 7 <> 3 AND (copy = 0 OR doc_id % 6 = 0))"""
+  WHERE lang <> 'de' AND (copy = 0 OR doc_id % 6 = 0))"""
 
 ATTACHED = f"""{FILES},
 {SOURCES},

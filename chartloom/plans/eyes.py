@@ -104,11 +104,11 @@ _FILLED = "CASE WHEN k%40=20 THEN NULL ELSE {0} END"
 
 
 @query(f"""WITH {checks.eyes()}
-SELECT case_id, eye, thinnest_um, kmax_d, {_FILLED.format('bad_d')} AS bad_d, {_FILLED.format('art_max')} AS art_max,
-       (k%40=20 OR k%10=3) AS still_incomplete
+SELECT case_id, eye, thinnest_um, coalesce(kmax_d, 99) AS kmax_d, {_FILLED.format('bad_d')} AS bad_d,
+       {_FILLED.format('art_max')} AS art_max, k%40=20 AS still_incomplete
 FROM eye""")
 def repair_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Second-pass values land only where the first pass had none; half of the gaps get filled."""
+    """Second-pass values land only where the first pass had none; what the second pass lacks stays open."""
     cases = parse_cases(case_documents(spark, sf_dir, incomplete=True)).select("case_id", "analysis")
     merged = apply_repairs(cases, repair_documents(spark, sf_dir))
     flagged = completeness(merged, keep=("analysis",)).select(
@@ -120,8 +120,7 @@ def repair_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(f"""WITH {checks.eyes()}
-SELECT case_id, eye,
-       CASE WHEN e=1 AND k%10=3 THEN NULL ELSE kmax_d END AS kmax_d,
+SELECT case_id, eye, coalesce(kmax_d, 99) AS kmax_d,
        {_FILLED.format('bad_d')} AS bad_d, {_FILLED.format('art_max')} AS art_max
 FROM eye""")
 def repair_typed(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -117,6 +117,26 @@ def confirm_once(spark: SparkSession, sf_dir: str) -> DataFrame:
     return once.withColumn("requested_at", F.date_format("requested_at", STAMP))
 
 
+@query("""WITH q AS (
+  SELECT o_orderkey AS k, min(l_shipdate) FILTER (WHERE l_returnflag <> 'R') AS c, min(l_shipdate) FILTER (WHERE l_returnflag = 'R') AS d
+  FROM orders JOIN lineitem ON l_orderkey = o_orderkey
+   AND l_shipdate BETWEEN o_orderdate AND o_orderdate + INTERVAL 720 HOUR AND l_shipdate <= TIMESTAMP '2001-06-01' GROUP BY 1)
+SELECT o_orderkey AS k, CASE WHEN c <= coalesce(d, c) THEN 'confirmed' WHEN d IS NOT NULL THEN 'discarded'
+       WHEN TIMESTAMP '2001-06-01' > o_orderdate + INTERVAL 720 HOUR THEN 'expired' ELSE 'open' END AS state
+FROM orders LEFT JOIN q ON q.k = o_orderkey""")
+def draft_states(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders as drafts with a 30-day life, order lines as confirm or discard requests, seen on a fixed day."""
+    drafts = corpus.table(spark, sf_dir, "orders").select(
+        F.col("o_orderkey").alias("k"), F.col("o_orderdate").cast("timestamp").alias("created_at")
+    )
+    requests = corpus.table(spark, sf_dir, "lineitem").select(
+        F.col("l_orderkey").alias("k"), F.col("l_shipdate").cast("timestamp").alias("requested_at"),
+        F.when(F.col("l_returnflag") == "R", "discard").otherwise("confirm").alias("action"),
+    )
+    as_of = F.lit("2001-06-01 00:00:00").cast("timestamp")
+    return lc.draft_states(drafts, requests, "k", as_of, ttl_hours=720).select("k", "state")
+
+
 _NEXT = """n AS (
   SELECT s.event_id, s.user_id, s.ts, min(p.ts) AS confirmed
   FROM (SELECT * FROM events WHERE event_type='signup') s

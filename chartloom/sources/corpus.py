@@ -208,19 +208,18 @@ def case_documents(spark: SparkSession, sf_dir: str, incomplete: bool = False) -
 
 
 def repair_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(case_id, raw): narrow second-pass extractions for every 40th order."""
-    keyed = with_case_keys(table(spark, sf_dir, "orders"))
+    """(case_id, raw): one narrow second-pass extraction per order; some found nothing new."""
+    keyed = with_case_keys(spread(table(spark, sf_dir, "orders").select("o_orderkey", "o_orderdate")))
 
     def eye(e: int) -> dict:
+        found = {name: f"CASE WHEN k%40<>20 THEN {metric_rule(name, e)} END" for name in ("bad_d", "art_max")}
         return {
             "general": {"pachymetry_thinnest_um": "CAST(NULL AS INT)", "k_max_anterior_diopters": "99.0e0"},
-            "belin_ambrosio": {"d": metric_rule("bad_d", e), "art_max": metric_rule("art_max", e)},
+            "belin_ambrosio": {"d": found["bad_d"], "art_max": found["art_max"]},
         }
 
     body = _obj({"eyes": {"OD": eye(0), "OS": eye(1)}})
-    return keyed.where("k % 40 = 0").select(
-        "case_id", F.expr(f"to_json({body}, map('ignoreNullFields', 'false'))").alias("raw")
-    )
+    return keyed.select("case_id", F.expr(f"to_json({body}, map('ignoreNullFields', 'false'))").alias("raw"))
 
 
 def contract_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -286,8 +285,8 @@ def intake_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def extracted_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """File entries as an extraction lists them: some missing, some doubled, two naming styles."""
-    listed = table(spark, sf_dir, "documents").where("doc_id % 7 <> 3")
+    """File entries as an extraction lists them: German ones missing, some doubled, two naming styles."""
+    listed = table(spark, sf_dir, "documents").where("lang <> 'de'")
     base = listed.select(
         "doc_id",
         F.expr("doc_id div 4").alias("intake_no"),
