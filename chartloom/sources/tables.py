@@ -67,21 +67,26 @@ def read_files(spark: SparkSession, root: str) -> DataFrame:
     return rows.join(read_cases(spark, root).select("case_id", DAY), ["case_id", DAY], "left_semi")
 
 
+def _touched(spark: SparkSession, path: str, days: list) -> DataFrame:
+    """Stored rows of the given days; the filter prunes partitions."""
+    return _read(spark, path).where(F.col(DAY).isin(days))
+
+
 def _rewrite_without(spark: SparkSession, path: str, ids: DataFrame, key: str) -> None:
     """Replace only the day folders that hold one of the ids, leaving every other row in place.
 
     Dynamic overwrite skips a folder without output, so each touched day also gets
     one row without an id; otherwise the last case of a day would stay behind.
     """
-    days = ids.select(created_date_of(F.col(key)).alias(DAY)).distinct()
-    stored = _read(spark, path)
-    touched = stored.join(days, DAY, "left_semi")
+    # Only calendar days reach the driver, a few hundred per year at most; as literals
+    # they become partition filters, so other days are not even listed.
+    days = [row[0] for row in ids.select(created_date_of(F.col(key)).alias(DAY)).distinct().collect()]
+    touched = _touched(spark, path, [day for day in days if day is not None])
     survivors = touched.where(F.col(key).isNotNull()).join(ids.select(key).distinct(), key, "left_anti")
-    known = stored.select(DAY).distinct().join(days, DAY, "left_semi")
-    placeholders = known.select(
-        *[(F.col(DAY) if f.name == DAY else F.lit(None).cast(f.dataType)).alias(f.name) for f in stored.schema]
+    placeholders = touched.select(DAY).distinct().select(
+        *[(F.col(DAY) if f.name == DAY else F.lit(None).cast(f.dataType)).alias(f.name) for f in touched.schema]
     )
-    _write(survivors.select(*stored.columns).unionByName(placeholders), path, mode="overwrite")
+    _write(survivors.select(*touched.columns).unionByName(placeholders), path, mode="overwrite")
 
 
 def erase_cases(spark: SparkSession, root: str, ids: DataFrame) -> None:

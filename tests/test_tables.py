@@ -49,6 +49,15 @@ def test_erase_one_of_a_day_and_a_whole_day(spark, lake):
     assert _ids(tb.read_cases(spark, lake)) == [IDS[1]]
 
 
+def test_erase_reads_only_the_days_concerned(spark, lake):
+    import datetime as dt
+
+    plan = tb._touched(spark, f"{lake}/cases", [dt.date(2024, 1, 2)])._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [isnotnull(created_date" in plan and "2024-01-02" in plan
+    tb.erase_cases(spark, lake, spark.createDataFrame([("not-an-id",), (None,)], "case_id string"))
+    assert _ids(tb.read_cases(spark, lake)) == IDS
+
+
 def test_drafts_round_trip_and_discard(spark, tmp_path):
     root = str(tmp_path / "d")
     ids = [i.replace("case-", "intake-") for i in IDS]
