@@ -27,6 +27,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from chartloom.llm.common import stage, whole_text
+from chartloom.operators.staging import evaluate_once
 
 DOMAINS = ("clean", "toxic", "junk")
 WEIGHTS = {"clean": 0.88, "toxic": 0.06, "junk": 0.06}
@@ -76,19 +77,20 @@ def _bin(value: Column, borders: tuple[float, ...]) -> Column:
 
 def with_bins(docs: DataFrame, marked: list[str]) -> DataFrame:
     """All columns, ``tokens`` and one bin per feature (``b_...``)."""
-    text = F.col("_text")
-    rows = docs.withColumn("_text", whole_text()).withColumn("tokens", token_count(text))
-    rows = rows.withColumn("_words", words_of(text))
-    found = F.size(F.array_intersect("_words", F.array(*map(F.lit, marked)))) if marked else F.lit(0)
-    tokens = F.greatest(F.col("tokens"), F.lit(1))
+    text = whole_text()
+    words, tokens = words_of(text), token_count(text)
+    some = F.greatest(tokens, F.lit(1))
     value = {
         "symbols": _share(text, "#*$%&|<>"), "shouts": _share(text, "!"), "capitals": _share(text, "ABCDEFGHIJKLMNOPQRSTUVWXYZ"),
-        "variety": F.size(F.array_distinct("_words")) / tokens, "word_length": F.length(text) / tokens,
-        "marked": found, "words": F.col("tokens"),
+        "variety": F.size(F.array_distinct(words)) / some, "word_length": F.length(text) / some,
+        "marked": F.size(F.array_intersect(words, F.array(*map(F.lit, marked)))) if marked else F.lit(0), "words": tokens,
     }
-    bins = {f"b_{name}": _bin(value[name].cast("double"), borders) for name, borders in BORDERS.items()}
     lang = F.coalesce(F.pmod(F.xxhash64("lang"), F.lit(LANG_BINS)), F.lit(0)).cast("int") if "lang" in docs.columns else F.lit(0)
-    return rows.withColumns(bins | {"b_lang": lang}).drop("_text", "_words")
+    measured = evaluate_once(docs.select(
+        *docs.columns, tokens.alias("tokens"), *[v.cast("double").alias(f"_{k}") for k, v in value.items()], lang.alias("b_lang")
+    ))
+    bins = [_bin(F.col(f"_{name}"), borders).alias(f"b_{name}") for name, borders in BORDERS.items()]
+    return measured.select(*docs.columns, "tokens", *bins, "b_lang")
 
 
 FEATURES = [*(f"b_{name}" for name in BORDERS), "b_lang"]
@@ -183,9 +185,12 @@ class Mix:
     steps: list[list[float]]
     binned: DataFrame
 
-    def columns(self) -> dict[str, Column]:
-        named = [F.col(f"p_{d}") for d in DOMAINS]
-        return {**{f"p_{d}": p for d, p in zip(DOMAINS, self.posteriors, strict=True)}, "rate": _rate(named, self.steps)}
+    def apply(self, rows: DataFrame) -> DataFrame:
+        """Add posteriors and the rate to binned rows."""
+        named = [f"p_{d}" for d in DOMAINS]
+        # Posteriors are used once per step and domain below, so they are computed before.
+        known = evaluate_once(rows.withColumns(dict(zip(named, self.posteriors, strict=True))))
+        return known.withColumn("rate", _rate([F.col(n) for n in named], self.steps))
 
 
 def learn(docs: DataFrame, labels: DataFrame, weights: dict[str, float] = WEIGHTS) -> Mix:
@@ -201,16 +206,13 @@ def learn(docs: DataFrame, labels: DataFrame, weights: dict[str, float] = WEIGHT
 def document_rates(docs: DataFrame, labels: DataFrame, weights: dict[str, float] = WEIGHTS) -> DataFrame:
     """doc_id, tokens, ``p_<domain>`` and rate of every row."""
     found = learn(docs, labels, weights)
-    columns = found.columns()
-    rows = found.binned.withColumns({k: v for k, v in columns.items() if k != "rate"})
-    return rows.select("doc_id", "tokens", *list(columns)[:-1], columns["rate"].alias("rate"))
+    return found.apply(found.binned).select("doc_id", "tokens", *[f"p_{d}" for d in DOMAINS], "rate")
 
 
 def thin(docs: DataFrame, labels: DataFrame, weights: dict[str, float] = WEIGHTS) -> DataFrame:
     """The rows of ``docs`` that their rate keeps: all with a rate of 1 or more, others by a hash of their id."""
     found = learn(docs, labels, weights)
-    columns = found.columns()
-    rows = with_bins(docs.select(F.struct(*docs.columns).alias("_row"), *[c for c in ("doc_id", "lang", "text") if c in docs.columns]), found.marked)
-    rows = rows.withColumns({k: v for k, v in columns.items() if k != "rate"}).withColumn("rate", columns["rate"])
+    short = [c for c in ("doc_id", "lang", "text") if c in docs.columns]
+    rows = found.apply(with_bins(docs.select(F.struct(*docs.columns).alias("_row"), *short), found.marked))
     part = F.pmod(F.xxhash64(F.col("doc_id"), F.lit(8)), F.lit(1 << 40)) / F.lit(float(1 << 40))
-    return rows.where(part < F.col("rate")).select("_row.*")
+    return evaluate_once(rows.select("_row", (part < F.col("rate")).alias("_kept"))).where("_kept").select("_row.*")
