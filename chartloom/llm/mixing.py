@@ -9,8 +9,9 @@
    have equal posteriors and thus equal rates, so each step is one Spark aggregation over the
    distinct bin combinations with their tokens; the driver only sees one error per domain.
 
-The targets are ``weights`` times the largest total for which no domain must grow, so rates
-stay about 1 in the scarcest domain and fall elsewhere.
+The targets are in proportion to ``weights`` and sized so that the domain with the largest weight
+keeps its tokens: its documents have rates about 1, over-represented domains lower and scarce ones
+higher rates.
 
 Null and empty texts have no tokens, fall into the lowest bins and get a rate like others.  Rows without an id or with unknown
 languages are scored too.  Labels with nulls are not learned from; several labels of one id each count.
@@ -158,18 +159,19 @@ def fit_rates(cells: DataFrame, weights: dict[str, float]) -> list[list[float]]:
     if not natural.sum():
         return []
     w = np.array([weights[d] for d in DOMAINS])
-    target = w / w.sum() * np.min(natural / (w / w.sum()))
+    target = np.maximum(w * natural[w.argmax()] / w.max(), 1.0)
     gram = np.zeros((len(p), len(p)))
     for (i, j), x in zip(pairs, first[len(p) :], strict=True):
         gram[i, j] = gram[j, i] = x / np.sqrt(target[i] * target[j])
     edges = np.linalg.eigvalsh(gram)
     size = 2 / (edges[0] + edges[-1]) if edges[0] > 0 else 1 / edges[-1]
     steps: list[list[float]] = []
-    held = natural
+    held, last = natural, np.inf
     for _ in range(STEPS):
         error = (held - target) / target
-        if np.abs(error).max() < TOLERANCE:
+        if np.abs(error).max() < TOLERANCE or np.abs(error - last).max() < TOLERANCE / 10:
             break
+        last = error
         steps.append((size * error).tolist())
         rate = _rate(p, steps)
         held = np.array([x for x in cells.agg(*[F.sum(n * rate * x) for x in p]).first()])
