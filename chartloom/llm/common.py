@@ -7,14 +7,16 @@ import uuid
 from collections.abc import Iterator
 from pathlib import Path
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from chartloom.session import shared_dir
 
 #: Documents are handled in groups of about so many bytes, which bounds the arrays of a task.
-CHUNK_BYTES = 1 << 21
+CHUNK_BYTES = 1 << 20
 
 
 def work_path(spark: SparkSession, name: str) -> str:
@@ -58,11 +60,11 @@ def fold(column: str, folds: int) -> Column:
 
 def text_groups(batch: pa.RecordBatch, column: str = "text", limit: int = CHUNK_BYTES) -> Iterator[tuple[int, list[bytes]]]:
     """Row offset and UTF-8 bytes of consecutive documents, about ``limit`` bytes at a time.  Null is empty."""
-    values = batch.column(batch.schema.get_field_index(column))
-    texts = values.cast(pa.binary()).to_pylist()
-    begin, size = 0, 0
-    for i, text in enumerate(texts):
-        size += len(text or b"")
-        if size >= limit or i + 1 == len(texts):
-            yield begin, [t or b"" for t in texts[begin : i + 1]]
-            begin, size = i + 1, 0
+    values = batch.column(batch.schema.get_field_index(column)).cast(pa.binary())
+    size = np.cumsum(pc.fill_null(pc.binary_length(values), 0).to_numpy(zero_copy_only=False), dtype=np.int64)
+    begin = 0
+    while begin < len(size):
+        done = size[begin - 1] if begin else 0
+        end = max(begin + 1, int(np.searchsorted(size, done + limit, "right")))
+        yield begin, [t or b"" for t in values.slice(begin, end - begin).to_pylist()]
+        begin = end

@@ -6,11 +6,11 @@ weighted Jaccard similarity of 0.8 or more, and a class is a connected component
 1. Texts with the same words are one node, named by its smallest document id.
 2. Nodes that agree in all registers of a band share a bucket.  Each is compared with the
    bucket's smallest node only, so a bucket of n texts costs n comparisons, never n * n.
-3. Nodes that fail against the smallest meet again in narrower buckets (this band and a further
-   one), until no bucket holds two unresolved nodes.  Each narrowing misses a link of 0.8 with
-   a probability below one in a thousand.
-4. 1 - similarity is a metric.  A node farther than 0.4 from the smallest is more than 0.2 from all
-   nodes linked to it, so only nodes between 0.2 and 0.4 are compared with those linked ones,
+3. Nodes of a bucket that fail against its smallest are compared with its 8, then 16, 32, ... next smallest
+   ones until all have met or are linked; each node meets a few centres a round, and pairs
+   that share many buckets are compared once.
+4. 1 - similarity is a metric.  A node farther than 0.4 from a centre is more than 0.2 from all
+   nodes linked to that centre, so only nodes between 0.2 and 0.4 are compared with those linked ones,
    and only where no chain of links joins the two already.
 
 Comparisons stream through tasks by centre and salt, so a very large class is shared by
@@ -29,6 +29,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window as W
 
 from chartloom.llm.bagminhash import bags, signatures, similarity
 from chartloom.llm.common import stage, text_groups, whole_text
@@ -134,31 +135,39 @@ def _stars(buckets: DataFrame) -> DataFrame:
     return rows.where("node <> b").select("key", F.col("node").alias("a"), "b")
 
 
+def _more_stars(left: DataFrame, centers: int) -> DataFrame:
+    """key, a, b: every unresolved node with the ``centers`` smallest ones of its bucket, and these among themselves."""
+    order = W.partitionBy("key").orderBy("node")
+    chosen = left.withColumn("place", F.row_number().over(order)).where(F.col("place") <= centers).select("key", F.col("node").alias("b"))
+    return left.join(chosen, "key").where("node > b").select("key", F.col("node").alias("a"), "b")
+
+
 def links(docs: DataFrame, nodes: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """a, b, similarity of linked nodes, enough to give all classes.  ``nodes``: node, bands."""
-    buckets = nodes.select("node", F.explode("bands").alias("key"))
-    compared, stars = None, None
+    star = stage(_stars(nodes.select("node", F.explode("bands").alias("key")).distinct()), "stars")
+    members = star.select(F.col("a").alias("doc_id")).union(star.select("b")).distinct()
+    texts = stage(_texts(docs).join(members, "doc_id"), "texts")
+    compared, stars, centers = None, None, 8
     while True:
-        star = stage(_stars(buckets).distinct(), "stars")
         pairs = star.select("a", "b").distinct()
         if compared is not None:
             pairs = pairs.join(compared, ["a", "b"], "left_anti")
-        fresh = compare(docs, pairs)
+        fresh = compare(texts, pairs)
         compared = fresh if compared is None else compared.union(fresh)
         judged = stage(join_splittable(star, compared, ["a", "b"], "inner"), "judged")
         stars = judged if stars is None else stars.union(judged)
-        failed = judged.where(F.col("similarity") < threshold).select("key", F.col("a").alias("node"))
+        # A node stays while it is linked to no centre; centres have met all others of their bucket.
+        best = judged.groupBy("key", F.col("a").alias("node")).agg(F.max("similarity").alias("best")).where(F.col("best") < threshold)
+        used = judged.select("key", F.col("b").alias("node")).distinct()
+        failed = best.select("key", "node").join(used, ["key", "node"], "left_anti")
         again = failed.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").drop("n")
-        narrow = join_splittable(failed, again, ["key"], "inner").join(nodes, "node")
-        buckets = stage(
-            narrow.select("node", "key", F.explode("bands").alias("other"))
-            .select("node", F.xxhash64("key", "other").alias("key")).distinct(),
-            "narrow",
-        )
-        if buckets.isEmpty():
+        left = stage(join_splittable(failed, again, ["key"], "inner"), "unresolved")
+        if left.isEmpty():
             break
+        star = stage(_more_stars(left, centers), "stars")
+        centers *= 2
     linked = compared.where(F.col("similarity") >= threshold)
-    return linked.union(_rim_links(docs, stars, linked, threshold))
+    return linked.union(_rim_links(texts, stars, linked, threshold))
 
 
 def _rim_links(docs: DataFrame, stars: DataFrame, linked: DataFrame, threshold: float) -> DataFrame:

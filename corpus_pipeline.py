@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from chartloom.llm import compression, line_windows, mixing, near_dedup, packing
-from chartloom.llm.common import read_table, work_path
+from chartloom.llm.common import reachable, read_table, work_path
 
 QUALITY_SCORE = 0.3
 
@@ -33,6 +33,7 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each class: the one with the smallest id."""
+    reachable(spark)
     classes = near_dedup.near_duplicates(docs).where("doc_id = class_id OR class_id IS NULL").select(F.col("doc_id").alias("_id")).distinct()
     kept = docs.join(classes, F.col("doc_id").cast("long").eqNullSafe(F.col("_id")), "left_semi")
     return kept.dropDuplicates(["doc_id", "text"])
@@ -45,6 +46,7 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces with their token ids and places in sequences."""
+    reachable(spark)
     return packing.pack_documents(docs, public_tokenizers.path("word_bpe_49k.json"), end_id=1)
 
 
