@@ -7,8 +7,8 @@ weighted Jaccard similarity of 0.8 or more, and a class is a connected component
 2. Nodes that agree in all registers of a band share a bucket.  Each is compared with the
    bucket's smallest node only, so a bucket of n texts costs n comparisons, never n * n.
 3. Nodes of a bucket that fail against its smallest are compared with its 8, then 16, 32, ... next smallest
-   ones until all have met or are linked; each node meets a few centres a round, and pairs
-   that share many buckets are compared once.
+   ones until all have met or are joined by chains of links; pairs that share many buckets are
+   compared once, and nodes of one component not at all.
 4. 1 - similarity is a metric.  A node farther than 0.4 from a centre is more than 0.2 from all
    nodes linked to that centre, so only nodes between 0.2 and 0.4 are compared with those linked ones,
    and only where no chain of links joins the two already.
@@ -135,11 +135,16 @@ def _stars(buckets: DataFrame) -> DataFrame:
     return rows.where("node <> b").select("key", F.col("node").alias("a"), "b")
 
 
-def _more_stars(left: DataFrame, centers: int) -> DataFrame:
-    """key, a, b: every unresolved node with the ``centers`` smallest ones of its bucket, and these among themselves."""
-    order = W.partitionBy("key").orderBy("node")
-    chosen = left.withColumn("place", F.row_number().over(order)).where(F.col("place") <= centers).select("key", F.col("node").alias("b"))
-    return left.join(chosen, "key").where("node > b").select("key", F.col("node").alias("a"), "b")
+def _with_component(rows: DataFrame, linked: DataFrame) -> DataFrame:
+    """Add the component of ``node``; a node without links is its own."""
+    labels = components(linked)
+    return rows.join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))
+
+
+def _undecided(rows: DataFrame) -> DataFrame:
+    """Nodes (key, node, component) of buckets that still hold nodes of two components."""
+    several = rows.groupBy("key").agg(F.min("component").alias("one"), F.max("component").alias("two")).where("one < two")
+    return stage(join_splittable(rows, several.select("key"), ["key"], "inner"), "undecided")
 
 
 def links(docs: DataFrame, nodes: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
@@ -147,26 +152,27 @@ def links(docs: DataFrame, nodes: DataFrame, threshold: float = THRESHOLD) -> Da
     star = stage(_stars(nodes.select("node", F.explode("bands").alias("key")).distinct()), "stars")
     members = star.select(F.col("a").alias("doc_id")).union(star.select("b")).distinct()
     texts = stage(_texts(docs).join(members, "doc_id"), "texts")
-    compared, stars, centers = None, None, 8
-    while True:
-        pairs = star.select("a", "b").distinct()
-        if compared is not None:
-            pairs = pairs.join(compared, ["a", "b"], "left_anti")
-        fresh = compare(texts, pairs)
-        compared = fresh if compared is None else compared.union(fresh)
+    linked_when = F.col("similarity") >= threshold
+    compared = compare(texts, star.select("a", "b").distinct())
+    stars = stage(join_splittable(star, compared, ["a", "b"], "inner"), "judged")
+    failed = stars.where(~linked_when).select("key", F.col("a").alias("node"))
+    left, centers = _undecided(_with_component(failed, compared.where(linked_when))), 8
+    while not left.isEmpty():
+        order = W.partitionBy("key").orderBy("node")
+        chosen = stage(left.withColumn("place", F.row_number().over(order)).where(F.col("place") <= centers).drop("place"), "centres")
+        other = chosen.select("key", F.col("node").alias("b"), F.col("component").alias("of_b"))
+        # Nodes of one component need not meet.
+        met = left.join(other, "key").where("component <> of_b AND node > b").select("key", F.col("node").alias("a"), "b")
+        star = stage(met, "stars")
+        fresh = compare(texts, star.select("a", "b").distinct().join(compared, ["a", "b"], "left_anti"))
+        compared = compared.union(fresh)
         judged = stage(join_splittable(star, compared, ["a", "b"], "inner"), "judged")
-        stars = judged if stars is None else stars.union(judged)
-        # A node stays while it is linked to no centre; centres have met all others of their bucket.
-        best = judged.groupBy("key", F.col("a").alias("node")).agg(F.max("similarity").alias("best")).where(F.col("best") < threshold)
-        used = judged.select("key", F.col("b").alias("node")).distinct()
-        failed = best.select("key", "node").join(used, ["key", "node"], "left_anti")
-        again = failed.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").drop("n")
-        left = stage(join_splittable(failed, again, ["key"], "inner"), "unresolved")
-        if left.isEmpty():
-            break
-        star = stage(_more_stars(left, centers), "stars")
+        stars = stars.union(judged)
+        done = judged.where(linked_when).select("key", F.col("a").alias("node")).union(chosen.select("key", "node")).distinct()
+        rest = left.select("key", "node").join(done, ["key", "node"], "left_anti")
+        left = _undecided(_with_component(rest, compared.where(linked_when)))
         centers *= 2
-    linked = compared.where(F.col("similarity") >= threshold)
+    linked = compared.where(linked_when)
     return linked.union(_rim_links(texts, stars, linked, threshold))
 
 
