@@ -124,6 +124,8 @@ class Model:
     begin_count: int
     begin_left: float
     segments: np.ndarray
+    #: Levels of the head as the filter gives them, probed once.
+    head_level: np.ndarray
 
     def place(self, token: np.ndarray) -> np.ndarray:
         """Index in the sorted head, -1 for other tokens."""
@@ -184,9 +186,13 @@ def fit(docs: DataFrame, folds: int) -> tuple[Model, DataFrame]:
     shared_head = spark.sparkContext.broadcast(head)
 
     def pairs(texts: list[bytes]) -> np.ndarray:
-        known, (token, before, _) = shared_head.value, tokens(texts)
-        inside = [np.isin(x, known, kind="sort") for x in (token, before)] if len(known) else [np.zeros(len(token), bool)] * 2
-        keep = inside[0] & (inside[1] | (before == BEGIN))
+        known, (token, before, borders) = shared_head.value, tokens(texts)
+        inside = np.zeros(len(token), bool)
+        if len(known):
+            inside = known[np.minimum(np.searchsorted(known, token), len(known) - 1)] == token
+        context = np.concatenate((inside[:1], inside[:-1]))
+        context[borders[:-1]] = True
+        keep = inside & context
         return np.stack([bigram_key(before[keep], token[keep]), before[keep]])
 
     counted = _counted(training, "key long, before long", pairs).where(f"n >= {LEAST_BIGRAM}")
@@ -220,6 +226,7 @@ def fit(docs: DataFrame, folds: int) -> tuple[Model, DataFrame]:
     left = 1 - np.array([used.get(k, 0.0) for k in head.tolist()], float) / np.maximum(1, head_count)
     model = Model(
         total, distinct, smoothed, head, head_count, left, begins, 1 - used.get(int(BEGIN), 0.0) / max(1, begins), table,
+        LogFrequencyFilter(table).levels(head),
     )
     return model, unigrams
 
@@ -229,11 +236,14 @@ def score_texts(model: Model, texts: list[bytes]) -> dict[str, np.ndarray]:
     token, before, borders = tokens(texts)
     filter_ = LogFrequencyFilter(model.segments)
     distinct, inverse = np.unique(token, return_inverse=True)
-    unknown = math.log10(0.1 / (model.total + 0.1 * (model.distinct + 1)))
-    place = model.place(distinct)[inverse]
+    known = model.place(distinct)
+    place = known[inverse]
     exact = np.where(place >= 0, model.head_count[place] if len(model.head) else 0, 0)
     base = np.log10((exact + 0.1) / (model.total + 0.1 * (model.distinct + 1)))
-    alone = (count_at(filter_.levels(distinct)) + 0.1) / (model.smoothed_total + 0.1 * (model.distinct + 1))
+    level = np.zeros(len(distinct), np.int64)
+    level[known >= 0] = model.head_level[known[known >= 0]]
+    level[known < 0] = filter_.levels(distinct[known < 0])
+    alone = (count_at(level) + 0.1) / (model.smoothed_total + 0.1 * (model.distinct + 1))
     p = alone[inverse]
     if len(model.head):
         context = np.concatenate(([-1], place[:-1]))
@@ -253,7 +263,7 @@ def score_texts(model: Model, texts: list[bytes]) -> dict[str, np.ndarray]:
         "n_tokens": np.diff(borders), "head_known": np.add.reduceat((place >= 0).astype(np.int64), cut),
         "head_base": np.add.reduceat(np.where(place >= 0, base, 0.0), cut),
         "score": np.add.reduceat(np.log10(np.minimum(p, 1.0)), cut),
-        "rare": token[rare], "rare_borders": np.searchsorted(rare, borders), "unknown": np.array([unknown]),
+        "rare": token[rare], "rare_borders": np.searchsorted(rare, borders),
     }
 
 
