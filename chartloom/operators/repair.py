@@ -127,25 +127,42 @@ def merged_document(analysis: Column, repair: Column) -> Column:
     ).otherwise(analysis)
 
 
+def best_attempts(repairs: DataFrame, raw: str = "raw") -> DataFrame:
+    """(case_id, _raw): of all attempts that decode to an object, the one with most repair metrics.
+
+    Of equally good ones the latest by ``attempt``, if that column exists, then the largest text.
+    """
+    parsed = evaluate_once(repairs.select("*", F.try_parse_json(raw).alias("_parsed")))
+    objects = parsed.where(is_object(F.col("_parsed")))
+    eyes = ", ".join(f"{name}: {_eye_shape()}" for name in c.EYES)
+    shaped = objects.withColumn("_eyes", at(F.col("_parsed"), "eyes", f"struct<{eyes}>"))
+    found = reduce(lambda a, b: a + b, [
+        F.coalesce(number_at_any(F.col(f"_eyes.{name}"), paths).cast("int"), F.lit(0))
+        for name in c.EYES for paths in c.REPAIR_PATHS.values()
+    ])
+    latest = F.col("attempt") if "attempt" in repairs.columns else F.lit(0)
+    order = F.struct(found.alias("found"), latest.alias("attempt"), F.col(raw).alias("text"))
+    return shaped.groupBy("case_id").agg(F.max(order).alias("_best")).select("case_id", F.col("_best.text").alias("_raw"))
+
+
 def apply_repairs(cases: DataFrame, repairs: DataFrame, raw: str = "raw") -> DataFrame:
     """Merge second-pass extractions into the cases that need them; everything else is untouched.
 
-    ``repairs`` may hold several attempts per case; they are reduced to one before
+    ``repairs`` may hold several attempts per case; they are reduced to the best before
     the join, so a case with very many attempts costs one row.  An undecodable
-    repair is ignored.
+    repair is ignored.  Only documents that are due go through the join.
     """
     keep = tuple(name for name in cases.columns if name not in ("case_id", "analysis"))
     judged = completeness(cases, keep=("analysis", *keep))
-    one = repairs.groupBy("case_id").agg(F.min(raw).alias("_raw"))
-    extra = one.select("case_id", F.try_parse_json("_raw").alias("_repair"))
-    joined = judged.join(extra, "case_id", "left")
-    return joined.select(
+    extra = best_attempts(repairs, raw).select("case_id", F.try_parse_json("_raw").alias("_repair"))
+    due = evaluate_once(judged).where("needs_repair")
+    rest = evaluate_once(judged).where("NOT coalesce(needs_repair, false)")
+    mended = due.join(extra, "case_id", "left").select(
         "case_id", *keep,
-        F.when(
-            F.col("needs_repair") & F.col("_repair").isNotNull(),
-            merged_document(F.col("analysis"), F.col("_repair")),
-        ).otherwise(F.col("analysis")).alias("analysis"),
+        F.when(F.col("_repair").isNotNull(), merged_document(F.col("analysis"), F.col("_repair")))
+        .otherwise(F.col("analysis")).alias("analysis"),
     )
+    return mended.unionByName(rest.select("case_id", *keep, "analysis"))
 
 
 def fill_metrics(gold: DataFrame, repair_gold: DataFrame, metrics: tuple[str, ...]) -> DataFrame:

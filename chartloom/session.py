@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import SparkSession
 
 SEMANTIC_CONF = {
@@ -37,15 +35,10 @@ def build_session(app_name: str = "chartloom", master: str | None = None, **conf
 def shared_dir(spark: SparkSession) -> str:
     """Folder every executor can reach, for checkpoints and intermediate tables.
 
-    It is the one the cluster names in ``spark.checkpoint.dir``.  Only a local
-    session, where driver and executors share one machine, may fall back to a
-    scratch folder of its own.
+    It is the one the cluster names in ``spark.checkpoint.dir``; where that is unset,
+    a folder of the warehouse, which driver and executors share too.
     """
     configured = spark.conf.get("spark.checkpoint.dir", None)
     if configured:
         return configured.rstrip("/")
-    if not spark.conf.get("spark.master", "").startswith("local"):
-        raise RuntimeError("set spark.checkpoint.dir to a folder shared by all executors")
-    scratch = tempfile.mkdtemp(prefix="chartloom-")
-    spark.conf.set("spark.checkpoint.dir", scratch)
-    return scratch
+    return spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_work"

@@ -18,12 +18,8 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def spread(rows: DataFrame) -> DataFrame:
-    """Give small inputs one task per core before narrow rows grow into whole documents.
-
-    A scan that already has that many splits, as any large table does, is left alone.
-    """
-    slots = rows.sparkSession.sparkContext.defaultParallelism
-    return rows.repartition(slots) if rows.rdd.getNumPartitions() < slots else rows
+    """Deal narrow rows over all shuffle partitions before they grow into whole documents, at every size."""
+    return rows.repartition(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")))
 
 
 # Metric arithmetic, valid both in Spark and in the SQL check ({k} key, {e} eye index).

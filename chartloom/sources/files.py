@@ -32,24 +32,29 @@ def child_prefixes(objects: DataFrame, prefix: str) -> DataFrame:
 
 
 def scan_files(spark: SparkSession, path: str, limits: Limits = Limits()) -> DataFrame:
-    """Hash every file within the size bound; larger ones are listed with a NULL hash.
+    """Hash every file within the size bound; larger ones are listed as ``too_large`` without a hash.
 
     The bound is a predicate on the scan, so bytes of an oversized file are never
     loaded.  The content column stays in this select and out of any shuffle.
     """
     raw = prepare(spark).read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
     small = raw.where(F.col("length") <= limits.max_file).select(
-        "path", F.col("length").alias("size_bytes"), sha256(F.col("content")).alias("sha256")
+        "path", F.col("length").alias("size_bytes"), sha256(F.col("content")).alias("sha256"),
+        F.lit("hashed").alias("state"),
     )
     large = raw.where(F.col("length") > limits.max_file).select(
-        "path", F.col("length").alias("size_bytes"), F.lit(None).cast("string").alias("sha256")
+        "path", F.col("length").alias("size_bytes"), F.lit(None).cast("string").alias("sha256"),
+        F.lit("too_large").alias("state"),
     )
     both = small.unionByName(large)
     return both.select(basename(F.col("path")).alias("filename"), "*")
 
 
 def read_documents(spark: SparkSession, path: str, limits: Limits = Limits()) -> DataFrame:
-    """Compiled case documents below ``path``: (case_id, raw), one file each, within the size bound."""
+    """Compiled case documents below ``path``: (case_id, raw), one file each, within the size bound.
+
+    Larger ones are listed by ``document_rejects``.
+    """
     raw = (
         prepare(spark).read.format("binaryFile")
         .option("recursiveFileLookup", "true").option("pathGlobFilter", MARKER_NAME).load(path)
@@ -60,6 +65,18 @@ def read_documents(spark: SparkSession, path: str, limits: Limits = Limits()) ->
     )
 
 
+def document_rejects(spark: SparkSession, path: str, limits: Limits = Limits()) -> DataFrame:
+    """Case documents ``read_documents`` leaves out: (case_id, path, size_bytes, reason), without their bytes."""
+    raw = (
+        prepare(spark).read.format("binaryFile")
+        .option("recursiveFileLookup", "true").option("pathGlobFilter", MARKER_NAME).load(path)
+    )
+    return raw.where(F.col("length") > limits.max_document).select(
+        F.regexp_extract("path", "/cases/([^/]+)/", 1).alias("case_id"), "path",
+        F.col("length").alias("size_bytes"), F.lit("too_large").alias("reason"),
+    )
+
+
 def split_readable(documents: DataFrame, raw: str = "raw") -> tuple[DataFrame, DataFrame]:
     """(parsed documents, rejects with their text): one bad document never stops the rest."""
     kept = [name for name in documents.columns if name != raw]
