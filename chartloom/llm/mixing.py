@@ -68,8 +68,8 @@ def token_count(text: Column) -> Column:
 
 
 def _share(text: Column, characters: str) -> Column:
-    full = F.greatest(F.length(text), F.lit(1))
-    return (F.length(text) - F.length(F.translate(text, characters, ""))) / full
+    """Share of the characters that are in a regular expression's character class."""
+    return F.length(F.regexp_replace(text, f"[^{characters}]+", "")) / F.greatest(F.length(text), F.lit(1))
 
 
 def _bin(value: Column, borders: tuple[float, ...]) -> Column:
@@ -82,7 +82,7 @@ def with_bins(docs: DataFrame, marked: list[str]) -> DataFrame:
     words, tokens = words_of(text), token_count(text)
     some = F.greatest(tokens, F.lit(1))
     value = {
-        "symbols": _share(text, "#*$%&|<>"), "shouts": _share(text, "!"), "capitals": _share(text, "ABCDEFGHIJKLMNOPQRSTUVWXYZ"),
+        "symbols": _share(text, "#*$%&|<>"), "shouts": _share(text, "!"), "capitals": _share(text, "A-Z"),
         "variety": F.size(F.array_distinct(words)) / some, "word_length": F.length(text) / some,
         "marked": F.size(F.array_intersect(words, F.array(*map(F.lit, marked)))) if marked else F.lit(0), "words": tokens,
     }
