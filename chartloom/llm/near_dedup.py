@@ -6,12 +6,13 @@ weighted Jaccard similarity of 0.8 or more, and a class is a connected component
 1. Texts with the same words are one node, named by its smallest document id.
 2. Nodes that agree in all registers of a band share a bucket.  Each is compared with the
    bucket's smallest node only, so a bucket of n texts costs n comparisons, never n * n.
-3. Nodes of a bucket that fail against its smallest are compared with its 8, then 16, 32, ... next smallest
-   ones until all have met or are joined by chains of links; pairs that share many buckets are
-   compared once, and nodes of one component not at all.
-4. 1 - similarity is a metric.  A node farther than 0.4 from a centre is more than 0.2 from all
-   nodes linked to that centre, so only nodes between 0.2 and 0.4 are compared with those linked ones,
-   and only where no chain of links joins the two already.
+3. Nodes that chains of links join need not meet.  In buckets that still hold several components, a
+   node outside the component of the bucket's smallest one meets the others only if their profiles allow a
+   link: the counts of the runs that a text shares with any other text in question, summed in 64 slots by hash.
+   The overlap of two bags is at most the sum of the slots' smaller counts, so no link is lost; pairs that
+   cannot be links are never emitted.
+4. The first such meeting is with the bucket's 8 smallest outside nodes, which mostly joins the
+   links among outside nodes to components before all others meet.
 
 Comparisons stream through tasks by centre and salt, so a very large class is shared by
 many tasks.  Nothing about all documents reaches the driver.
@@ -27,7 +28,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
@@ -40,6 +41,8 @@ THRESHOLD = 0.8
 BANDS, ROWS = 30, 6
 #: Parts of a class that are compared with its centre in different tasks.
 SALTS = 32
+#: Slots of a profile, and outside nodes of a bucket that are met first.
+SLOTS, CENTERS = 64, 8
 
 
 def _sequence_keys(docs: Documents, count: int) -> list[np.ndarray]:
@@ -135,16 +138,65 @@ def _stars(buckets: DataFrame) -> DataFrame:
     return rows.where("node <> b").select("key", F.col("node").alias("a"), "b")
 
 
-def _with_component(rows: DataFrame, linked: DataFrame) -> DataFrame:
-    """Add the component of ``node``; a node without links is its own."""
+def profiles(texts: DataFrame) -> DataFrame:
+    """node, n (runs in its bag), held (per slot: runs found in other nodes' texts too), shared (sum of held).
+
+    Nodes with several texts have no row.  One row per run is shuffled, of the given texts only.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at, group in text_groups(batch):
+                doc, key, count = bags(Documents(group))
+                total = np.zeros((len(group), SLOTS), np.int32)
+                np.add.at(total, (doc, (key % U64(SLOTS)).astype(np.int64)), count)
+                edges = pa.array(np.searchsorted(doc, np.arange(len(group) + 1)).astype(np.int32))
+                rows = pa.array(np.arange(0, total.size + 1, SLOTS, dtype=np.int32))
+                yield pa.RecordBatch.from_arrays([
+                    batch.column(0).slice(at, len(group)), pa.ListArray.from_arrays(rows, pa.array(total.ravel())),
+                    pa.ListArray.from_arrays(edges, pa.array(key.view(np.int64))),
+                    pa.ListArray.from_arrays(edges, pa.array(count.astype(np.int32))),
+                ], names=["node", "total", "keys", "counts"])
+
+    schema = "node long, total array<int>, keys array<long>, counts array<int>"
+    listed = stage(texts.select("doc_id", "text").mapInArrow(run, schema), "bags")
+    each = listed.select("node", F.explode(F.arrays_zip("keys", "counts")).alias("e")).select("node", "e.keys", "e.counts")
+    alone = each.groupBy("keys").agg(F.min("node").alias("node"), F.max("node").alias("most"), F.sum("counts").alias("n")).where("node = most")
+    slots = alone.groupBy("node", F.pmod("keys", F.lit(SLOTS)).cast("int").alias("slot")).agg(F.sum("n").cast("int").alias("n"))
+    lost = slots.groupBy("node").agg(F.map_from_entries(F.collect_list(F.struct("slot", "n"))).alias("lost"))  # at most SLOTS entries
+    single = listed.groupBy("node").agg(F.count("*").alias("texts"), F.first("total").alias("total")).where("texts = 1")
+    held = F.transform("total", lambda x, i: x - F.coalesce(F.try_element_at("lost", i), F.lit(0)))
+    return single.join(lost, "node", "left").select("node", _sum("total").alias("n"), held.alias("held")).withColumn("shared", _sum("held"))
+
+
+def _sum(values: str | Column) -> Column:
+    return F.aggregate(values, F.lit(0).cast("long"), lambda total, x: total + x)
+
+
+def _open_buckets(judged: DataFrame, linked: DataFrame) -> DataFrame:
+    """key, node, b, component, outside: buckets with nodes that no chain of links joins to their smallest one (b)."""
     labels = components(linked)
-    return rows.join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    rows = judged.select("key", F.col("a").alias("node"), "b").join(labels, "node", "left")
+    rows = rows.join(labels.select(F.col("node").alias("b"), F.col("component").alias("of_b")), "b", "left")
+    rows = rows.select(
+        "key", "node", "b", F.coalesce("component", "node").alias("component"),
+        (F.coalesce("component", "node") != F.coalesce("of_b", "b")).alias("outside"),
+    )
+    return join_splittable(rows, rows.where("outside").select("key").distinct(), ["key"], "inner")
 
 
-def _undecided(rows: DataFrame) -> DataFrame:
-    """Nodes (key, node, component) of buckets that still hold nodes of two components."""
-    several = rows.groupBy("key").agg(F.min("component").alias("one"), F.max("component").alias("two")).where("one < two")
-    return stage(join_splittable(rows, several.select("key"), ["key"], "inner"), "undecided")
+def _candidates(outside: DataFrame, others: DataFrame, threshold: float) -> DataFrame:
+    """a, b: outside nodes and other nodes of their buckets that may be linked and are not joined yet."""
+    names = ("node", "component", "outside", "n", "shared", "held")
+    left = others.select("key", *[F.col(c).alias(f"l_{c}") for c in names])
+    right = outside.select("key", *[F.col(c).alias(f"r_{c}") for c in names])
+    least = threshold * (F.col("l_n") + F.col("r_n")) - 1e-6
+    overlap = F.least("l_shared", "r_shared")
+    finer = _sum(F.zip_with("l_held", "r_held", lambda x, y: F.least(x, y)))
+    # A null, for nodes without a profile, allows the pair.
+    possible = F.coalesce((overlap * (1 + threshold) >= least) & (finer * (1 + threshold) >= least), F.lit(True))
+    met = join_splittable(left, right, ["key"], "inner").where((F.col("l_component") != F.col("r_component")) & possible)
+    return met.select(F.greatest("l_node", "r_node").alias("a"), F.least("l_node", "r_node").alias("b")).distinct()
 
 
 def links(docs: DataFrame, nodes: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
@@ -154,42 +206,20 @@ def links(docs: DataFrame, nodes: DataFrame, threshold: float = THRESHOLD) -> Da
     texts = stage(_texts(docs).join(members, "doc_id"), "texts")
     linked_when = F.col("similarity") >= threshold
     compared = compare(texts, star.select("a", "b").distinct())
-    stars = stage(join_splittable(star, compared, ["a", "b"], "inner"), "judged")
-    failed = stars.where(~linked_when).select("key", F.col("a").alias("node"))
-    left, centers = _undecided(_with_component(failed, compared.where(linked_when))), 8
-    while not left.isEmpty():
-        order = W.partitionBy("key").orderBy("node")
-        chosen = stage(left.withColumn("place", F.row_number().over(order)).where(F.col("place") <= centers).drop("place"), "centres")
-        other = chosen.select("key", F.col("node").alias("b"), F.col("component").alias("of_b"))
-        # Nodes of one component need not meet.
-        met = left.join(other, "key").where("component <> of_b AND node > b").select("key", F.col("node").alias("a"), "b")
-        star = stage(met, "stars")
-        fresh = compare(texts, star.select("a", "b").distinct().join(compared, ["a", "b"], "left_anti"))
-        compared = compared.union(fresh)
-        judged = stage(join_splittable(star, compared, ["a", "b"], "inner"), "judged")
-        stars = stars.union(judged)
-        done = judged.where(linked_when).select("key", F.col("a").alias("node")).union(chosen.select("key", "node")).distinct()
-        rest = left.select("key", "node").join(done, ["key", "node"], "left_anti")
-        left = _undecided(_with_component(rest, compared.where(linked_when)))
-        centers *= 2
-    linked = compared.where(linked_when)
-    return linked.union(_rim_links(texts, stars, linked, threshold))
-
-
-def _rim_links(docs: DataFrame, stars: DataFrame, linked: DataFrame, threshold: float) -> DataFrame:
-    """Links of nodes just outside a star with nodes inside it that no chain of links joins yet."""
-    reach = 1 - threshold
-    far = F.lit(1.0) - F.col("similarity")
-    rim = stars.where((far > reach) & (far <= 2 * reach + 1e-9)).select("key", "b", F.col("a").alias("out"), far.alias("far"))
-    near = stars.where(far <= reach).select("key", "b", F.col("a").alias("a"), far.alias("close"))
-    label = components(linked)
-    rim = rim.join(label.select(F.col("node").alias("out"), F.col("component").alias("of_out")), "out", "left")
-    # All nodes of a star lie in one component, that of its centre.
-    rim = rim.join(label.select(F.col("node").alias("b"), F.col("component").alias("of_star")), "b", "left")
-    rim = rim.where(F.coalesce("of_out", "out") != F.coalesce("of_star", "b"))
-    pairs = near.join(rim, ["key", "b"]).where(F.col("far") - F.col("close") <= reach + 1e-9)
-    pairs = pairs.select(F.least("a", "out").alias("a"), F.greatest("a", "out").alias("b")).where("a <> b").distinct()
-    return compare(docs, stage(pairs, "rim")).where(F.col("similarity") >= threshold)
+    buckets = stage(_open_buckets(star, compared.where(linked_when)), "open")
+    inside = buckets.select(F.col("node").alias("doc_id")).distinct()
+    known = stage(profiles(texts.join(inside, "doc_id")), "profiles")
+    # A node with too few runs in other texts has no links at all.
+    rows = stage(join_splittable(buckets, known, ["node"], "left").where(F.coalesce(F.col("shared") >= threshold * F.col("n") - 1e-6, F.lit(True))), "profiled")
+    order = W.partitionBy("key").orderBy("node")
+    first = rows.where("outside").withColumn("place", F.row_number().over(order)).where(F.col("place") <= CENTERS)
+    met = compare(texts, stage(_candidates(first, rows, threshold).join(compared, ["a", "b"], "left_anti"), "few"))
+    compared = compared.union(met)
+    still = _open_buckets(star, compared.where(linked_when)).drop("b")
+    rows = join_splittable(rows.drop("b", "component", "outside"), still, ["key", "node"], "inner")
+    rows = stage(rows, "profiled")
+    pairs = _candidates(rows.where("outside"), rows, threshold).join(compared, ["a", "b"], "left_anti")
+    return compared.union(compare(texts, stage(pairs, "rest"))).where(linked_when)
 
 
 def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
