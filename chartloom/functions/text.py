@@ -46,7 +46,7 @@ def safe_name(name: Column, unique: Column) -> Column:
 
 
 def drop_prefix(value: Column, prefix: str) -> Column:
-    return F.when(value.startswith(prefix), F.substring(value, len(prefix) + 1, 1 << 30)).otherwise(value)
+    return F.when(value.startswith(prefix), F.substr(value, F.lit(len(prefix) + 1))).otherwise(value)
 
 
 def drop_suffix(value: Column, suffix: str) -> Column:
@@ -80,7 +80,7 @@ def megabytes(size_bytes: Column) -> Column:
 
 def capitalize_first(value: Column) -> Column:
     """Upper-case the first character only; the rest is left as it is."""
-    return F.concat(F.upper(F.left(value, F.lit(1))), F.substring(value, 2, 1 << 30))
+    return F.concat(F.upper(F.left(value, F.lit(1))), F.substr(value, F.lit(2)))
 
 
 def initials(name: Column) -> Column:

@@ -9,7 +9,7 @@ from chartloom import config as c
 from chartloom.functions.ids import case_id_of, case_key
 from chartloom.functions.text import initials
 from chartloom.functions.variants import at
-from chartloom.operators.staging import evaluate_once
+from chartloom.operators.staging import evaluate_once, join_splittable
 
 
 def is_expired(created_at: Column, as_of: Column, ttl_hours: int) -> Column:
@@ -45,7 +45,7 @@ def confirm_outcome(
         .otherwise("not_found")
     )
     return (
-        requests.join(d, key, "left").join(k, key, "left")
+        join_splittable(join_splittable(requests, d, [key], "left"), k, [key], "left")
         .select(*requests.columns, outcome.alias("outcome"))
     )
 
@@ -60,7 +60,7 @@ def draft_states(
     decides.  Requests join one draft row each and reduce map-side.
     """
     end = F.col("created_at") + F.make_dt_interval(hours=F.lit(ttl_hours))
-    asked = requests.join(drafts.select(key, "created_at"), key).where(
+    asked = join_splittable(requests, drafts.select(key, "created_at"), [key], "inner").where(
         (F.col("requested_at") >= F.col("created_at")) & (F.col("requested_at") <= end)
         & (F.col("requested_at") <= as_of)
     )
@@ -77,11 +77,10 @@ def draft_states(
     return drafts.join(first, key, "left").select(*drafts.columns, state.alias("state"))
 
 
-def case_listing(prefixes: DataFrame, documents: DataFrame, limit: int | None = None) -> DataFrame:
-    """Committed cases, newest first.
+def committed_cases(prefixes: DataFrame, documents: DataFrame) -> DataFrame:
+    """Committed cases in no order.
 
-    A prefix without a readable marker document is skipped.  ``limit`` asks for
-    the newest rows of the whole set, taken after the sort.
+    A prefix without a readable marker document is skipped.
     """
     named = documents.select(
         "case_id", F.col("analysis").isNotNull().alias("_readable"),
@@ -91,10 +90,18 @@ def case_listing(prefixes: DataFrame, documents: DataFrame, limit: int | None =
     readable = evaluate_once(named).where("_readable").drop("_readable")
     # The sort samples its input first; a join that ends in shuffle files keeps the
     # parsing from running a second time for that.
-    listed = prefixes.join(readable.hint("merge"), "case_id").select(
+    return prefixes.join(readable.hint("merge"), "case_id").select(
         "case_id", "patient_name",
         case_key(F.col("case_id"), F.lit(c.MARKER_NAME)).alias("analysis_key"),
-    ).orderBy(F.desc("case_id"))
+    )
+
+
+def case_listing(prefixes: DataFrame, documents: DataFrame, limit: int | None = None) -> DataFrame:
+    """Committed cases, newest first.
+
+    ``limit`` asks for the newest rows of the whole set, taken after the sort.
+    """
+    listed = committed_cases(prefixes, documents).orderBy(F.desc("case_id"))
     return listed.limit(limit) if limit is not None else listed
 
 
@@ -117,7 +124,7 @@ def erased_objects(files: DataFrame, cases: DataFrame, ids: DataFrame) -> DataFr
     """Objects that go with each erased case, its marker included; none at all means not found."""
     wanted = ids.select("case_id").distinct()
     per_case = (
-        files.join(wanted, "case_id", "left_semi").groupBy("case_id").agg(F.count("*").alias("_files"))
+        join_splittable(files, wanted, ["case_id"], "left_semi").groupBy("case_id").agg(F.count("*").alias("_files"))
     )
     marker = cases.select("case_id", F.lit(1).alias("_marker"))
     total = F.coalesce(F.col("_files"), F.lit(0)) + F.coalesce(F.col("_marker"), F.lit(0))
@@ -136,14 +143,14 @@ def erase_order(files: DataFrame, cases: DataFrame, ids: DataFrame) -> DataFrame
     marker = cases.join(wanted, "case_id", "left_semi").select(
         "case_id", case_key(F.col("case_id"), F.lit(c.MARKER_NAME)).alias("key"), F.lit(2).alias("step")
     )
-    content = files.join(wanted, "case_id", "left_semi").select("case_id", "key", F.lit(1).alias("step"))
+    content = join_splittable(files, wanted, ["case_id"], "left_semi").select("case_id", "key", F.lit(1).alias("step"))
     return content.unionByName(marker)
 
 
 def discard_keys(drafts: DataFrame, files: DataFrame, ids: DataFrame) -> DataFrame:
     """Keys removed with discarded drafts: own-prefix files and the draft marker; absent drafts give none."""
     found = drafts.join(ids.select("intake_id").distinct(), "intake_id", "left_semi").select("intake_id")
-    own = files.join(found, "intake_id", "left_semi").where(
+    own = join_splittable(files, found, ["intake_id"], "left_semi").where(
         F.col("key").startswith(F.concat(F.lit("drafts/"), F.col("intake_id"), F.lit("/")))
     ).select("intake_id", "key")
     marker = found.select(

@@ -231,6 +231,31 @@ def progress(rows: DataFrame, group: list[str], done: Column) -> DataFrame:
     )
 
 
+def metric_progress(gold: DataFrame) -> DataFrame:
+    """Progress of every metric and eye; metrics are counted side by side, so only one row per eye is unpivoted."""
+    metrics = [row[0] for row in c.METRIC_CATALOG]
+    totals = gold.groupBy("eye").agg(F.count("*").alias("_total"), *[F.count(name).alias(name) for name in metrics])
+    rows = totals.select("eye", "_total", F.inline(F.array(*[
+        F.struct(F.lit(name).alias("metric"), F.col(name).alias("completed")) for name in metrics
+    ])))
+    return rows.select(
+        "metric", "eye", "completed", (F.col("_total") - F.col("completed")).alias("pending"),
+        percent(F.col("completed"), F.col("_total")).alias("percentage"),
+    )
+
+
+def case_progress(gold: DataFrame) -> DataFrame:
+    """Progress over all metrics of a case; each eye row is reduced to two numbers before the shuffle."""
+    done = sum((F.col(row[0]).isNotNull().cast("bigint") for row in c.METRIC_CATALOG[1:]), F.col(c.METRIC_CATALOG[0][0]).isNotNull().cast("bigint"))
+    totals = gold.select("case_id", done.alias("_done")).groupBy("case_id").agg(
+        F.sum("_done").alias("completed"), (F.count("*") * len(c.METRIC_CATALOG)).alias("_total")
+    )
+    return totals.select(
+        "case_id", "completed", (F.col("_total") - F.col("completed")).alias("pending"),
+        percent(F.col("completed"), F.col("_total")).alias("percentage"),
+    )
+
+
 def eyes_side_by_side(gold: DataFrame, columns: tuple[str, ...]) -> DataFrame:
     """Eye rows to OD/OS columns; the two eyes are fixed, so no pass is spent on finding them."""
     picks = [

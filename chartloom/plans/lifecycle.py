@@ -62,7 +62,7 @@ def case_board(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.upper(F.left("s_name", F.lit(1))).alias("initials"), F.col("s_name").alias("patient"),
         F.lit("Parcial").alias("report"), F.lit(c.REVIEW_PENDING).alias("review"), F.lit("warning").alias("tone"),
     )
-    return lc.board(lc.case_listing(_prefixes(spark, sf_dir), _documents(spark, sf_dir)), samples)
+    return lc.board(lc.committed_cases(_prefixes(spark, sf_dir), _documents(spark, sf_dir)), samples)
 
 
 @query(f"""WITH {checks.CASES},

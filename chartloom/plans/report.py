@@ -70,7 +70,7 @@ def consistent_data(spark: SparkSession, sf_dir: str) -> DataFrame:
 SELECT case_id, CAST(count(value) AS BIGINT) AS completed, CAST(count(*)-count(value) AS BIGINT) AS pending,
        CAST(floor(100.0::DOUBLE*count(value)/count(*)+0.5) AS BIGINT) AS percentage FROM m GROUP BY case_id""")
 def completeness_per_case(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return r.progress(r.measurements(gold_eyes(spark, sf_dir)), ["case_id"], F.col("value").isNotNull())
+    return r.case_progress(gold_eyes(spark, sf_dir))
 
 
 @query(f"""{_MEASURED}
@@ -78,7 +78,7 @@ SELECT metric, eye, CAST(count(value) AS BIGINT) AS completed, CAST(count(*)-cou
        CAST(floor(100.0::DOUBLE*count(value)/count(*)+0.5) AS BIGINT) AS percentage FROM m GROUP BY metric, eye""")
 def completeness_per_metric(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Few groups over all rows: partial sums leave each task, never the rows."""
-    return r.progress(r.measurements(gold_eyes(spark, sf_dir)), ["metric", "eye"], F.col("value").isNotNull())
+    return r.metric_progress(gold_eyes(spark, sf_dir))
 
 
 _TORIC = f"""WITH {checks.eyes()},

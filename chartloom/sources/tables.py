@@ -8,6 +8,7 @@ written before it and removed before it.
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -27,6 +28,21 @@ def _write(rows: DataFrame, path: str, mode: str = "append") -> None:
     )
 
 
+def _append_new(rows: DataFrame, path: str, keys: list[str]) -> None:
+    """Append the rows whose keys are not stored yet, so that a repeated write adds nothing."""
+    fresh = rows.dropDuplicates(keys)
+    try:
+        stored = _read(rows.sparkSession, path)
+    except AnalysisException as error:
+        if error.getCondition() != "PATH_NOT_FOUND":
+            raise
+    else:
+        # The day is part of the join, so that only days with new rows are read where it is small.
+        same = [F.col(f"n.{name}").eqNullSafe(F.col(f"s.{name}")) for name in [*keys, DAY]]
+        fresh = fresh.alias("n").join(stored.select(*keys, DAY).alias("s"), same, "left_anti")
+    _write(fresh, path)
+
+
 def _read(spark: SparkSession, path: str) -> DataFrame:
     """Live rows; the placeholder of an emptied day has no id."""
     return prepare(spark).read.parquet(path)
@@ -34,8 +50,8 @@ def _read(spark: SparkSession, path: str) -> DataFrame:
 
 def write_drafts(drafts: DataFrame, files: DataFrame, root: str) -> None:
     """Stage drafts (intake_id, created_at, analysis) with their file rows (intake_id, …, key)."""
-    _write(files.withColumn(DAY, created_date_of(F.col("intake_id"))), f"{root}/draft_files")
-    _write(drafts.withColumn(DAY, created_date_of(F.col("intake_id"))), f"{root}/drafts")
+    _append_new(files.withColumn(DAY, created_date_of(F.col("intake_id"))), f"{root}/draft_files", ["intake_id", "key"])
+    _append_new(drafts.withColumn(DAY, created_date_of(F.col("intake_id"))), f"{root}/drafts", ["intake_id"])
 
 
 def read_drafts(spark: SparkSession, root: str) -> DataFrame:
@@ -50,11 +66,11 @@ def commit_cases(cases: DataFrame, files: DataFrame, root: str) -> None:
     """Write file rows (case_id, file_index, key, …) first and the marker rows last.
 
     Keys move from the draft area to the case area on the way.  A run that dies in
-    between leaves no case row, and readers join files to cases.
+    between leaves no case row, and readers join files to cases.  Committing again adds nothing.
     """
     moved = files.withColumn("key", promoted_key(F.col("case_id"), F.col("key")))
-    _write(moved.withColumn(DAY, created_date_of(F.col("case_id"))), f"{root}/files")
-    _write(cases.withColumn(DAY, created_date_of(F.col("case_id"))), f"{root}/cases")
+    _append_new(moved.withColumn(DAY, created_date_of(F.col("case_id"))), f"{root}/files", ["case_id", "key"])
+    _append_new(cases.withColumn(DAY, created_date_of(F.col("case_id"))), f"{root}/cases", ["case_id"])
 
 
 def read_cases(spark: SparkSession, root: str) -> DataFrame:
@@ -64,12 +80,16 @@ def read_cases(spark: SparkSession, root: str) -> DataFrame:
 def read_files(spark: SparkSession, root: str) -> DataFrame:
     """File rows of committed cases only."""
     rows = _read(spark, f"{root}/files").where("case_id IS NOT NULL")
-    return rows.join(read_cases(spark, root).select("case_id", DAY), ["case_id", DAY], "left_semi")
+    cases = read_cases(spark, root).select("case_id", DAY).alias("c")
+    # An id without a day has its rows in the null day.
+    same = (F.col("f.case_id") == F.col("c.case_id")) & F.col(f"f.{DAY}").eqNullSafe(F.col(f"c.{DAY}"))
+    return rows.alias("f").join(cases, same, "left_semi")
 
 
 def _touched(spark: SparkSession, path: str, days: list) -> DataFrame:
     """Stored rows of the given days; the filter prunes partitions."""
-    return _read(spark, path).where(F.col(DAY).isin(days))
+    known = F.col(DAY).isin([day for day in days if day is not None])
+    return _read(spark, path).where(known | F.col(DAY).isNull() if None in days else known)
 
 
 def _rewrite_without(spark: SparkSession, path: str, ids: DataFrame, key: str) -> None:
@@ -81,7 +101,7 @@ def _rewrite_without(spark: SparkSession, path: str, ids: DataFrame, key: str) -
     # Only calendar days reach the driver, a few hundred per year at most; as literals
     # they become partition filters, so other days are not even listed.
     days = [row[0] for row in ids.select(created_date_of(F.col(key)).alias(DAY)).distinct().collect()]
-    touched = _touched(spark, path, [day for day in days if day is not None])
+    touched = _touched(spark, path, days)
     survivors = touched.where(F.col(key).isNotNull()).join(ids.select(key).distinct(), key, "left_anti")
     placeholders = touched.select(DAY).distinct().select(
         *[(F.col(DAY) if f.name == DAY else F.lit(None).cast(f.dataType)).alias(f.name) for f in touched.schema]

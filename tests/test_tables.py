@@ -35,6 +35,20 @@ def test_commit_moves_keys_and_reads_back(spark, lake):
     assert {r.key for r in tb.read_files(spark, lake).collect()} == {f"cases/{i}/{n}-a.pdf" for i in IDS for n in range(2)}
 
 
+def test_repeated_commit_adds_nothing_and_ids_without_a_day_can_go(spark, lake):
+    def commit(ids):
+        cases = spark.createDataFrame([(i, "{}") for i in ids], "case_id string, raw string")
+        files = spark.createDataFrame([(i, 0, "drafts/x/0-a.pdf") for i in ids], "case_id string, file_index int, key string")
+        tb.commit_cases(parse_cases(cases), files, lake)
+
+    commit([IDS[0], IDS[0], "odd"])
+    commit(["odd"])
+    assert sorted(r.case_id for r in tb.read_cases(spark, lake).collect()) == [*IDS, "odd"]
+    assert tb.read_files(spark, lake).count() == 2 * len(IDS) + 1
+    tb.erase_cases(spark, lake, spark.createDataFrame([("odd",)], "case_id string"))
+    assert _ids(tb.read_cases(spark, lake)) == IDS and tb.read_files(spark, lake).count() == 2 * len(IDS)
+
+
 def test_files_without_marker_are_invisible(spark, lake):
     orphan = spark.createDataFrame([("case-20240103T000000Z-00000009", 0, "drafts/x/a.pdf")], "case_id string, file_index int, key string")
     tb._write(orphan.withColumn(tb.DAY, F.to_date(F.lit("2024-01-03"))), f"{lake}/files")
