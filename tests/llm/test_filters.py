@@ -318,6 +318,19 @@ def test_repetition_rules_decide(make):
     assert repetition.repetition_rules(make([])).count() == 0
 
 
+def test_each_repetition_limit_refuses_texts_that_the_base_keeps(make):
+    rng = random.Random(10)
+    fresh = lambda n: [f"w{rng.randint(0, 10**9)}" for _ in range(n)]
+    long, passage, pieces = fresh(4000), fresh(900), [fresh(10) for _ in range(8)]
+    many = [w for piece in pieces + pieces for w in fresh(24) + piece]  # 160 of 544 words, then 160 of 400
+    dense = [w for piece in pieces + pieces for w in fresh(15) + piece]
+    texts = [long[:2000] + passage + long[2000:] + passage, many, dense, passage[:59] + long[:300] + passage[:59], passage[:60] + long[:300] + passage[:60]]
+    rows = [r for r in sorted(repetition.repetition_rules(make([(i, " ".join(t)) for i, t in enumerate(texts)])).collect())]
+    assert not any(r["base_failed"] for r in rows)
+    assert [(r["longest_repeat"], r["covered_words"]) for r in rows] == [(900, 1800), (10, 160), (10, 160), (59, 118), (60, 120)]
+    assert [r["kept"] for r in rows] == [False, True, False, True, False]
+
+
 def test_repeats_do_not_cross_documents():
     docs = Documents([b"a b c d e", b"a b c d e"])
     start, _, longest = repetition.repeat_spans(docs, 2)
