@@ -5,9 +5,13 @@
 2. Each document gets posteriors p_k over the domains and a token count n.
 3. Rates r >= 0 minimise the squared relative errors of the domains' expected tokens,
    sum over documents of r n p_k against the targets, by projected gradient steps in the metric of
-   the token counts: r <- max(0, r - step * sum_k e_k p_k / T_k).  Documents with equal bins
-   have equal posteriors and thus equal rates, so each step is one Spark aggregation over the
-   distinct bin combinations with their tokens; the driver only sees one error per domain.
+   the token counts: r <- max(0, r - step * sum_k e_k p_k / T_k).  The errors e are those after the
+   step (an implicit step), so its length is not bounded by the most common domain, and scarce
+   domains meet their targets too; e solves a convex problem in as many unknowns as there are
+   domains, by damped Newton steps.  Documents with equal bins have equal posteriors and thus equal
+   rates, so each Newton step is one Spark aggregation over the distinct bin combinations with
+   their tokens; the driver only sees sums per domain and pair of domains.  It ends when all
+   errors are below TOLERANCE, or, where no rates meet the targets, at the least squares.
 
 The targets are in proportion to ``weights`` and sized so that the domain with the largest weight
 keeps its tokens: its documents have rates about 1, over-represented domains lower and scarce ones
@@ -47,7 +51,9 @@ LANG_BINS = 16
 MARKED_WORDS = 24
 SAMPLE_DOCUMENTS = 4000
 SMOOTHING = 0.5
-STEPS = 40
+#: Length of a gradient step, in units of the longest one that a plain (explicit) step could take.
+STEP_LENGTH = 1e6
+#: Largest relative error of a domain's expected tokens.
 TOLERANCE = 1e-3
 _SPACES = r"[\x20\x09-\x0D]+"
 
@@ -160,21 +166,45 @@ def fit_rates(cells: DataFrame, weights: dict[str, float]) -> list[list[float]]:
         return []
     w = np.array([weights[d] for d in DOMAINS])
     target = np.maximum(w * natural[w.argmax()] / w.max(), 1.0)
-    gram = np.zeros((len(p), len(p)))
-    for (i, j), x in zip(pairs, first[len(p) :], strict=True):
-        gram[i, j] = gram[j, i] = x / np.sqrt(target[i] * target[j])
-    edges = np.linalg.eigvalsh(gram)
-    size = 2 / (edges[0] + edges[-1]) if edges[0] > 0 else 1 / edges[-1]
+
+    def square(sums) -> np.ndarray:
+        gram = np.zeros((len(p), len(p)))
+        for (i, j), x in zip(pairs, sums, strict=True):
+            gram[i, j] = gram[j, i] = x / (target[i] * target[j])
+        return gram
+
+    damping = np.linalg.eigvalsh(square(first[len(p) :]))[-1] / STEP_LENGTH
     steps: list[list[float]] = []
-    held, last = natural, np.inf
-    for _ in range(STEPS):
-        error = (held - target) / target
-        if np.abs(error).max() < TOLERANCE or np.abs(error - last).max() < TOLERANCE / 10:
+
+    def measure(e: np.ndarray) -> tuple[float, np.ndarray, np.ndarray]:
+        """Value and gradient of the convex function that the step minimises, and its curvature."""
+        rate = F.greatest(F.lit(0.0), _rate(p, [*steps, (e / target).tolist()]))
+        rows = cells.select(n.alias("n"), *p, rate.alias("r")).where("r > 0")
+        m = F.col("n")
+        found = rows.agg(F.sum(m * F.col("r") * F.col("r")), *[F.sum(m * F.col("r") * x) for x in p], *[F.sum(m * p[i] * p[j]) for i, j in pairs]).first()
+        found = [x or 0.0 for x in found]
+        value = found[0] / 2 + e.sum() + damping / 2 * (e @ e)
+        return value, 1 + damping * e - np.array(found[1 : 1 + len(p)]) / target, square(found[1 + len(p) :]) + damping * np.eye(len(p))
+
+    error = (natural - target) / target
+    while np.abs(error).max() >= TOLERANCE:
+        e = np.zeros(len(p))
+        value, slope, curve = measure(e)
+        # Held tokens differ from those that the step asks for by ``slope``, relative to the targets.
+        while np.abs(slope).max() >= TOLERANCE / 100:
+            move, size = np.linalg.solve(curve, slope), 1.0
+            tried = measure(e - move)
+            while tried[0] > value - size * 1e-4 * (slope @ move) and size > 1e-9 and np.abs(tried[1]).max() >= TOLERANCE / 100:
+                size /= 2
+                tried = measure(e - size * move)
+            if size <= 1e-9:  # nothing left but rounding
+                break
+            e, (value, slope, curve) = e - size * move, tried
+        steps.append((e / target).tolist())
+        last, error = error, damping * e - slope
+        # Targets out of reach: a step as long as STEP_LENGTH plain ones no longer changes what is held.
+        if np.abs(error - last).max() < TOLERANCE / 10:
             break
-        last = error
-        steps.append((size * error).tolist())
-        rate = _rate(p, steps)
-        held = np.array([x for x in cells.agg(*[F.sum(n * rate * x) for x in p]).first()])
     return steps
 
 

@@ -229,6 +229,39 @@ def test_rates_match_a_plain_projected_gradient(spark):
     assert np.allclose(sorted(column), sorted(rate))
 
 
+def fitted(spark, n, p):
+    """Relative errors that the fitted rates leave, and the rates."""
+    cells = spark.createDataFrame([(int(a), *map(float, b)) for a, b in zip(n, p, strict=True)], "tokens long, p0 double, p1 double, p2 double")
+    rate = np.ones(len(n))
+    for e in mixing.fit_rates(cells, mixing.WEIGHTS):
+        rate = np.maximum(0, rate - p @ np.array(e))
+    weights = np.array([mixing.WEIGHTS[d] for d in mixing.DOMAINS])
+    target = weights * (n @ p)[0] / weights[0]
+    return (n * rate) @ p / target - 1, rate, target
+
+
+@pytest.mark.parametrize("scarce", [0.1, 0.01, 0.001])
+def test_rates_meet_the_targets_of_scarce_domains(spark, scarce):
+    rng = np.random.default_rng(11)
+    kind = rng.choice(3, 400, p=[0.97 - scarce, 0.03, scarce])
+    kind[:2] = 1, 2
+    p = rng.dirichlet([0.05] * 3, 400) * 0.3 + np.eye(3)[kind] * 0.7
+    n = np.where(kind == 2, 1 + 400 * 500 * scarce / (kind == 2).sum(), rng.integers(1, 1000, 400)).astype(int)
+    error, rate, _ = fitted(spark, n, p)
+    assert np.abs(error).max() < mixing.TOLERANCE and (rate >= 0).all()
+
+
+def test_rates_are_the_least_squares_where_targets_are_out_of_reach(spark):
+    rng = np.random.default_rng(12)
+    p = rng.dirichlet([60, 3, 0.4], 60)  # no text is mostly of the third domain
+    p[:, 2] = np.minimum(p[:, 2], 0.01)
+    p /= p.sum(axis=1, keepdims=True)
+    n = rng.integers(1, 1000, 60)
+    error, rate, target = fitted(spark, n, p)
+    slope = (p / target) @ error * n.sum()  # at the least squares: none where the rate is above 0, upwards at 0
+    assert np.abs(error).max() > 0.01 and np.abs(slope[rate > 1e-9]).max() < 0.01 and slope.min() > -0.01
+
+
 def test_mixing_edge_cases(spark, make):
     labels = spark.createDataFrame([(4, 1, 0), (5, 1, 1), (6, 0, 0), (None, 1, 0), (8, None, 1)], "doc_id long, quality int, toxic int")
     rows = mixing.document_rates(make(EDGE), labels).collect()
