@@ -3,15 +3,16 @@
 Counts are quantised to powers of ``STEP`` and an n-gram of level q is in the filter as (n-gram, 1)
 to (n-gram, q); its count is read back by probing levels until one is missing.  The filter is
 cut into segments that are built in separate tasks; its size follows the corpus up to
-``MAX_BITS``.  When more n-grams are seen than fit at ``BITS_PER_ENTRY``, the rarest counts are
-left out until the rest fits, so the error rate stays and the broadcast is bounded.
+``MAX_BITS``.  When more n-grams are seen than fit at ``BITS_PER_ENTRY``, the rarest counts stay
+out of the filter, so that its error rate stays and the broadcast is bounded; they are looked
+up in the written tables of counts by joins, so no cutoff changes a count.
 
-Bigrams are counted between the ``HEAD_WORDS`` most frequent tokens (a parameter of the model; their
-exact counts are broadcast, 4 MB); other tokens follow the smoothed unigram part:
+All bigrams are counted.  The ``HEAD_WORDS`` most frequent tokens (a parameter of the model) are broadcast
+with exact counts and left mass, 6 MB; what other tokens need is joined too:
 
     p(b | a) = max(c'(a b) - D, 0) / c(a) + l(a) p(b),  p(b) = (c'(b) + 0.1) / (N' + 0.1 (V + 1))
 
-with c' read from the filter and l(a) the mass that the discount leaves, so probabilities of
+with c' a count as the filter holds it and l(a) the mass that the discount leaves, so probabilities of
 all tokens after a context sum to 1 but for the filter's false positives.  The base score uses exact counts: frequent tokens from
 the broadcast table, all others through a join, which thereby meets no hot key.
 
@@ -24,13 +25,13 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from chartloom.llm.common import fold, stage, text_groups, whole_text
@@ -39,7 +40,6 @@ from chartloom.llm.words import U64, Documents, mix
 HEAD_WORDS = 1 << 18
 STEP = 1.25
 DISCOUNT = 0.75
-LEAST_BIGRAM = 2
 BITS_PER_ENTRY = 12
 PROBES = 8
 SEGMENT_BITS = 1 << 18
@@ -121,6 +121,8 @@ class Model:
     head: np.ndarray
     head_count: np.ndarray
     left_mass: np.ndarray
+    #: Least counts of unigrams and bigrams in the filter.
+    least: tuple[int, int]
     begin_count: int
     begin_left: float
     segments: np.ndarray
@@ -162,7 +164,7 @@ def _counted(docs: DataFrame, columns: str, gather) -> DataFrame:
 
 def _cutoffs(histogram: list[tuple[int, int, int]]) -> tuple[int, int]:
     """Least counts of unigrams and bigrams with which all levels fit; (kind, count, how many)."""
-    one, two = 1, LEAST_BIGRAM
+    one, two = 1, 1
     while True:
         entries = sum(
             int(level_of(np.array([n]))[0]) * times for kind, n, times in histogram if n >= (one if kind == 1 else two)
@@ -172,38 +174,27 @@ def _cutoffs(histogram: list[tuple[int, int, int]]) -> tuple[int, int]:
         one, two = (one, two + 1) if two <= 2 * one else (one + 1, two)
 
 
-def fit(docs: DataFrame, folds: int) -> tuple[Model, DataFrame]:
-    """The model, and the table of exact token counts (key, n) for the base score."""
-    spark = docs.sparkSession
+def quantised(n: Column) -> Column:
+    """Smallest count of the level of a count."""
+    return F.pow(F.lit(STEP), F.floor(F.log(n) / F.lit(math.log(STEP)) + F.lit(1e-9)))
+
+
+def fit(docs: DataFrame, folds: int) -> tuple[Model, tuple[DataFrame, DataFrame]]:
+    """The model; exact token counts with the mass left after each (key, n, left), and the bigrams that are not in the filter (key, n)."""
     training = docs.where(fold("doc_id", folds) != 0).select(whole_text().alias("text"))
     unigrams = stage(_counted(training, "key long", lambda texts: tokens(texts)[0][None]), "unigrams")
-    facts = unigrams.agg(F.sum("n").alias("total"), F.count("*").alias("distinct")).first()
-    total, distinct = facts["total"] or 0, facts["distinct"]
-    top = unigrams.orderBy(F.desc("n"), "key").limit(HEAD_WORDS).toArrow()
-    key, n = np.array(top["key"], np.int64).view(U64), np.array(top["n"], np.int64)
-    order = np.argsort(key)
-    head, head_count = key[order], n[order]
-    shared_head = spark.sparkContext.broadcast(head)
 
     def pairs(texts: list[bytes]) -> np.ndarray:
-        known, (token, before, borders) = shared_head.value, tokens(texts)
-        inside = np.zeros(len(token), bool)
-        if len(known):
-            inside = known[np.minimum(np.searchsorted(known, token), len(known) - 1)] == token
-        context = np.concatenate((inside[:1], inside[:-1]))
-        context[borders[:-1]] = True
-        keep = inside & context
-        return np.stack([bigram_key(before[keep], token[keep]), before[keep]])
-
-    counted = _counted(training, "key long, before long", pairs).where(f"n >= {LEAST_BIGRAM}")
-    bigrams = stage(counted, "bigrams")
+        token, before, _ = tokens(texts)
+        return np.stack([bigram_key(before, token), before])
+
+    bigrams = stage(_counted(training, "key long, before long", pairs), "bigrams")
     both = unigrams.select(F.lit(1).alias("kind"), "key", "n").union(bigrams.select(F.lit(2), "key", "n"))
     # Counts above the limit of this histogram are all kept by any cutoff that can be needed.
     histogram = both.groupBy("kind", F.least("n", F.lit(10_000)).alias("count")).agg(F.count("*").alias("times"))
     histogram = [tuple(r) for r in histogram.collect()]
     one, two = _cutoffs(histogram)
-    log = F.floor(F.log("n") / F.lit(math.log(STEP)) + F.lit(1e-9))
-    level, lower = (F.lit(1) + log).cast("int"), F.pow(F.lit(STEP), log)
+    level = (F.lit(1) + F.floor(F.log("n") / F.lit(math.log(STEP)) + F.lit(1e-9))).cast("int")
     held = both.where(F.when(F.col("kind") == 1, F.col("n") >= one).otherwise(F.col("n") >= two)).withColumn("level", level)
     entries = held.agg(F.sum("level")).first()[0] or 0
     segments = max(1, math.ceil(entries * BITS_PER_ENTRY / SEGMENT_BITS))
@@ -217,22 +208,35 @@ def fit(docs: DataFrame, folds: int) -> tuple[Model, DataFrame]:
     table = np.zeros((segments, SEGMENT_BITS // 8), np.uint8)
     for row in built.collect():  # at most MAX_BITS
         table[row["segment"]] = np.frombuffer(row["bits"], np.uint8)
-    smoothed = unigrams.where(f"n >= {one}").agg(F.sum(lower)).first()[0] or 0.0
-    kept = F.when(F.col("n") >= two, F.greatest(lower - F.lit(DISCOUNT), F.lit(0.0))).otherwise(0.0)
-    # One row per context, of which there are HEAD_WORDS and the begin.
-    used = bigrams.groupBy("before").agg(F.sum(kept).alias("used")).toArrow()
-    used = dict(zip(np.array(used["before"], np.int64).view(U64).tolist(), used["used"].to_pylist(), strict=True))
-    begins = training.count()
-    left = 1 - np.array([used.get(k, 0.0) for k in head.tolist()], float) / np.maximum(1, head_count)
+    kept = F.greatest(quantised(F.col("n")) - F.lit(DISCOUNT), F.lit(0.0))
+    used = bigrams.groupBy(F.col("before").alias("key")).agg(F.sum(kept).alias("used"))
+    begin_used = bigrams.where(F.col("before") == F.lit(int(BEGIN.view(np.int64)))).agg(F.sum(kept)).first()[0] or 0.0
+    left = (F.lit(1.0) - F.coalesce("used", F.lit(0.0)) / F.col("n")).alias("left")
+    words = stage(unigrams.join(used, "key", "left").select("key", "n", left), "words")
+    facts = words.agg(F.sum("n").alias("total"), F.count("*").alias("distinct"), F.sum(quantised(F.col("n"))).alias("smoothed")).first()
+    top = words.orderBy(F.desc("n"), "key").limit(HEAD_WORDS).toArrow()
+    head = np.array(top["key"], np.int64).view(U64)
+    order = np.argsort(head)
+    head, begins = head[order], training.count()
     model = Model(
-        total, distinct, smoothed, head, head_count, left, begins, 1 - used.get(int(BEGIN), 0.0) / max(1, begins), table,
-        LogFrequencyFilter(table).levels(head),
+        facts["total"] or 0, facts["distinct"], facts["smoothed"] or 0.0, head, np.array(top["n"], np.int64)[order],
+        np.array(top["left"], float)[order], (one, two), begins, 1 - begin_used / max(1, begins), table,
+        np.zeros(0, np.int64),
     )
-    return model, unigrams
+    level = LogFrequencyFilter(table).levels(head)
+    if one > 1:
+        level = np.where(level > 0, level, level_of(model.head_count))
+    return replace(model, head_level=level), (words, bigrams.where(F.col("n") < two).select("key", "n"))
+
+
+#: Tokens that need a join: ``tail`` for the base, ``wait`` for the score.  Keys to ask for are not null; they give
+#: ``alone`` (by the token), ``seen`` and ``mass`` (by the token before) and ``pair`` (by ``key``; count less the discount).
+OPEN = {"token": pa.int64(), "before": pa.int64(), "key": pa.int64(), "tail": pa.bool_(), "wait": pa.bool_(), "seen": pa.float64(), "mass": pa.float64(), "alone": pa.float64(), "pair": pa.float64()}
+OPEN_SQL = "token: long, before: long, key: long, tail: boolean, wait: boolean, seen: double, mass: double, alone: double, pair: double"
 
 
 def score_texts(model: Model, texts: list[bytes]) -> dict[str, np.ndarray]:
-    """Per document: tokens, known frequent ones, their part of the base, the model's score; and the other tokens."""
+    """Per document: tokens, known frequent ones, their part of the base, the model's score; and the tokens left open, whose parts are missing in the base (``tail``) or the score (``wait``)."""
     token, before, borders = tokens(texts)
     filter_ = LogFrequencyFilter(model.segments)
     distinct, inverse = np.unique(token, return_inverse=True)
@@ -243,36 +247,50 @@ def score_texts(model: Model, texts: list[bytes]) -> dict[str, np.ndarray]:
     level = np.zeros(len(distinct), np.int64)
     level[known >= 0] = model.head_level[known[known >= 0]]
     level[known < 0] = filter_.levels(distinct[known < 0])
-    alone = (count_at(level) + 0.1) / (model.smoothed_total + 0.1 * (model.distinct + 1))
-    p = alone[inverse]
-    if len(model.head):
-        context = np.concatenate(([-1], place[:-1]))
-        start = before == BEGIN
-        context[start] = -1
-        seen = np.where(start, model.begin_count, model.head_count[context])
-        mass = np.where(start, model.begin_left, model.left_mass[context])
-        usable = (start | (context >= 0)) & (seen > 0)
-        p = np.where(usable, mass * p, p)
-        pair = np.flatnonzero(usable & (place >= 0))
-        keys, back = np.unique(bigram_key(before[pair], token[pair]), return_inverse=True)
-        seen_pair = np.maximum(count_at(filter_.levels(keys)) - DISCOUNT, 0)[back]
-        p[pair] += seen_pair / seen[pair]
+    alone = ((count_at(level) + 0.1) / (model.smoothed_total + 0.1 * (model.distinct + 1)))[inverse]
+    # Without cutoffs, what the filter does not have was not seen.
+    no_alone = (level == 0)[inverse] & (model.least[0] > 1)
+    context = np.concatenate(([-1], place[:-1]))
+    start = before == BEGIN
+    context[start] = -1
+    unseen = ((level == 0) & (known < 0))[inverse] & (model.least[0] == 1)
+    no_context = ~start & (context < 0) & ~np.concatenate(([False], unseen[:-1]))
+    seen, mass = np.zeros(len(token)), np.ones(len(token))
+    seen[start], mass[start] = model.begin_count, model.begin_left if model.begin_count else 1.0
+    at = np.flatnonzero(context >= 0)
+    seen[at], mass[at] = model.head_count[context[at]], model.left_mass[context[at]]
+    key = bigram_key(before, token)
+    keys, back = np.unique(key, return_inverse=True)
+    pair_level = filter_.levels(keys)[back]
+    no_pair = (pair_level == 0) & (model.least[1] > 1)
+    pair = np.maximum(count_at(pair_level) - DISCOUNT, 0)
+    closed = ~(no_alone | no_context | no_pair)
+    p = np.where(seen > 0, mass * alone + pair / np.maximum(seen, 1), alone)
     cut = borders[:-1]
-    rare = np.flatnonzero(place < 0)
+    rare = place < 0
+    left = np.flatnonzero(rare | ~closed)
+    values = (token.view(np.int64), before.view(np.int64), key.view(np.int64), rare, ~closed, seen, mass, alone, pair)
+    # Keys that no join needs, and values that only wait with others, take no room.
+    done = closed & rare
+    empty = (~(rare | no_alone), ~no_context, ~no_pair, None, None, no_context | done, no_context | done, no_alone | done, no_pair | done)
     return {
-        "n_tokens": np.diff(borders), "head_known": np.add.reduceat((place >= 0).astype(np.int64), cut),
-        "head_base": np.add.reduceat(np.where(place >= 0, base, 0.0), cut),
-        "score": np.add.reduceat(np.log10(np.minimum(p, 1.0)), cut),
-        "rare": token[rare], "rare_borders": np.searchsorted(rare, borders),
+        "n_tokens": np.diff(borders), "head_known": np.add.reduceat((~rare).astype(np.int64), cut),
+        "head_base": np.add.reduceat(np.where(rare, 0.0, base), cut),
+        "score": np.add.reduceat(np.where(closed, np.log10(np.minimum(p, 1.0)), 0.0), cut),
+        "open": pa.StructArray.from_arrays([
+            pa.array(v[left], kind, mask=None if e is None else e[left]) for v, e, kind in zip(values, empty, OPEN.values(), strict=True)
+        ], names=list(OPEN)),
+        "open_borders": np.searchsorted(left, borders),
     }
 
 
-def score(docs: DataFrame, model: Model, unigrams: DataFrame, folds: int) -> DataFrame:
+def score(docs: DataFrame, model: Model, words: DataFrame, bigrams: DataFrame, folds: int) -> DataFrame:
     """Every row with exact base and model score."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    names = ["row", "doc_id", "held_out", "n_tokens", "head_known", "head_base", "score", "rare"]
+    names = ["row", "doc_id", "held_out", "n_tokens", "head_known", "head_base", "score", "open"]
     schema = (
-        "row long, doc_id long, held_out boolean, n_tokens long, head_known long, head_base double, score double, rare array<long>"
+        "row long, doc_id long, held_out boolean, n_tokens long, head_known long, head_base double, score double, "
+        f"open array<struct<{OPEN_SQL}>>"
     )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -281,12 +299,10 @@ def score(docs: DataFrame, model: Model, unigrams: DataFrame, folds: int) -> Dat
             for at, texts in text_groups(batch, "text"):
                 found = score_texts(shared.value, texts)
                 n = len(texts)
-                rare = pa.ListArray.from_arrays(
-                    pa.array(found["rare_borders"].astype(np.int32)), pa.array(found["rare"].view(np.int64))
-                )
+                left = pa.ListArray.from_arrays(pa.array(found["open_borders"].astype(np.int32)), found["open"])
                 yield pa.RecordBatch.from_arrays([
                     pa.array(np.arange(row, row + n)), batch.column(0).slice(at, n), batch.column(1).slice(at, n),
-                    *(pa.array(found[c]) for c in names[3:7]), rare,
+                    *(pa.array(found[c]) for c in names[3:7]), left,
                 ], names=names)
                 row += n
 
@@ -294,18 +310,42 @@ def score(docs: DataFrame, model: Model, unigrams: DataFrame, folds: int) -> Dat
         F.col("doc_id").cast("long").alias("doc_id"), (fold("doc_id", folds) == 0).alias("held_out"), whole_text().alias("text")
     )
     scored = stage(rows.mapInArrow(run, schema), "scored")
+    found = scored.select("row", F.posexplode("open").alias("at", "o")).select("row", "at", "o.*")
+
+    def ask(rows: DataFrame, needed: Column, key: str, table: DataFrame) -> DataFrame:
+        """Join a table on a key where it is needed; other rows get keys of their own, which meet nothing and are spread."""
+        own = F.when(needed, F.col(key)).otherwise(F.xxhash64("row", "at"))
+        return rows.withColumn("_need", needed).withColumn("_key", own).join(table, "_key", "left")
+
+    def gained(name: str) -> Column:
+        return F.when(F.col("_need"), F.col(name))
+
+    tokens_ = words.select(F.col("key").alias("_key"), F.col("n").alias("_n"))
+    contexts = words.select(F.col("key").alias("_key"), F.col("n").alias("_n"), F.col("left").alias("_left"))
+    found = ask(found, F.col("token").isNotNull(), "token", tokens_).withColumn("own", gained("_n")).drop("_n", "_need", "_key")
+    found = ask(found, F.col("before").isNotNull(), "before", contexts).select(
+        "row", "at", "key", "tail", "wait", "own", "alone", "pair",
+        F.coalesce("seen", gained("_n").cast("double"), F.lit(0.0)).alias("seen"), F.coalesce("mass", gained("_left"), F.lit(1.0)).alias("mass"),
+    )
+    if model.least[1] > 1:
+        pairs = bigrams.select(F.col("key").alias("_key"), F.col("n").alias("_n"))
+        found = ask(found, F.col("key").isNotNull(), "key", pairs).withColumn("pair", F.coalesce("pair", F.greatest(quantised(gained("_n")) - F.lit(DISCOUNT), F.lit(0.0)), F.lit(0.0)))
+    alone = F.coalesce("alone", (F.coalesce(quantised(F.col("own")), F.lit(0.0)) + F.lit(0.1)) / F.lit(model.smoothed_total + 0.1 * (model.distinct + 1)))
+    p = F.when(F.col("seen") > 0, F.col("mass") * alone + F.col("pair") / F.greatest("seen", F.lit(1.0))).otherwise(alone)
     size = F.lit(model.total + 0.1 * (model.distinct + 1))
-    found = scored.select("row", F.explode("rare").alias("key")).join(unigrams, "key", "left")
     tail = found.groupBy("row").agg(
-        F.count("n").alias("tail_known"), F.sum(F.log10((F.coalesce("n", F.lit(0)) + F.lit(0.1)) / size)).alias("tail_base")
+        F.count_if(F.col("tail") & F.col("own").isNotNull()).alias("tail_known"),
+        F.sum(F.when(F.col("tail"), F.log10((F.coalesce("own", F.lit(0)) + F.lit(0.1)) / size))).alias("tail_base"),
+        F.sum(F.when(F.col("wait"), F.log10(F.least(p, F.lit(1.0))))).alias("tail_score"),
     )
-    return scored.drop("rare").join(tail, "row", "left").select(
+    return scored.drop("open").join(tail, "row", "left").select(
         "doc_id", "held_out", "n_tokens", (F.col("head_known") + F.coalesce("tail_known", F.lit(0))).alias("n_known"),
         F.lit(model.total).cast("long").alias("train_tokens"),
-        (F.col("head_base") + F.coalesce("tail_base", F.lit(0.0))).alias("base_score"), "score",
+        (F.col("head_base") + F.coalesce("tail_base", F.lit(0.0))).alias("base_score"),
+        (F.col("score") + F.coalesce("tail_score", F.lit(0.0))).alias("score"),
     )
 
 
 def language_model_scores(docs: DataFrame, folds: int = 10) -> DataFrame:
-    model, unigrams = fit(docs, folds)
-    return score(docs, model, unigrams, folds)
+    model, (words, bigrams) = fit(docs, folds)
+    return score(docs, model, words, bigrams, folds)

@@ -204,6 +204,41 @@ def test_model_beats_the_base_on_repeated_phrases(make):
     assert held and all(r["score"] > r["base_score"] for r in held)
 
 
+def brute_scores(rows):
+    """Scores with quantised counts of all tokens and bigrams."""
+    def quantised(n):
+        return float(bloom_lm.count_at(bloom_lm.level_of(np.array([n])))[0]) if n else 0.0
+
+    texts = [[bloom_lm.BEGIN, *lm_tokens(t)] for i, t in rows if not held_out(i)]
+    one = Counter(x for t in texts for x in t)
+    two = Counter(x for t in texts for x in zip(t, t[1:]))
+    left, total, distinct = Counter(), sum(quantised(n) for x, n in one.items() if x is not bloom_lm.BEGIN), len(one) - 1
+    for (a, _), n in two.items():
+        left[a] += max(quantised(n) - 0.75, 0)
+    out = []
+    for _, text in rows:
+        t, score = [bloom_lm.BEGIN, *lm_tokens(text)], 0.0
+        for a, b in zip(t, t[1:]):
+            p = (quantised(one[b]) + 0.1) / (total + 0.1 * (distinct + 1))
+            if one[a]:
+                p = (1 - left[a] / one[a]) * p + max(quantised(two[a, b]) - 0.75, 0) / one[a]
+            score += math.log10(min(p, 1))
+        out.append(score)
+    return sorted(out)
+
+
+@pytest.mark.parametrize(("head", "bits"), [(1 << 18, 1 << 28), (20, 1 << 28), (20, 4000), (0, 100), (1 << 18, 100)])
+def test_no_cutoff_changes_a_score(make, monkeypatch, head, bits):
+    """Bigrams seen once, of rare tokens and out of the filter count like others."""
+    monkeypatch.setattr(bloom_lm, "HEAD_WORDS", head)
+    monkeypatch.setattr(bloom_lm, "MAX_BITS", bits)
+    monkeypatch.setattr(bloom_lm, "BITS_PER_ENTRY", 64 if bits == 1 << 28 else 12)  # hardly a false positive
+    rng = random.Random(13)
+    rows = EDGE + [(100 + i, " ".join(f"W{int(rng.paretovariate(1)) % 300}" for _ in range(rng.randint(0, 60)))) for i in range(150)]
+    got = sorted(r["score"] for r in bloom_lm.language_model_scores(make(rows)).collect())
+    assert np.allclose(got, brute_scores(rows), rtol=1e-9, atol=1e-6)
+
+
 def test_language_model_of_empty_table(make):
     assert bloom_lm.language_model_scores(make([])).count() == 0
 
