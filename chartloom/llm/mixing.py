@@ -147,16 +147,16 @@ def posterior_columns(binned_labelled: DataFrame) -> list[Column]:
     return [p / whole for p in parts]
 
 
-def _rate(p: list[Column], steps: list[list[float]]) -> Column:
-    """The rate after all gradient steps so far."""
+def _rate(p: list[Column], steps: list[list[float]], most: float = math.inf) -> Column:
+    """The rate after all gradient steps so far, each projected onto 0 to ``most``."""
     if not steps:
         return F.lit(1.0)
     history = F.expr("array(" + ", ".join("array(" + ", ".join(f"{x!r}D" for x in e) + ")" for e in steps) + ")")
-    return F.aggregate(history, F.lit(1.0), lambda r, e: F.greatest(F.lit(0.0), r - sum((e[k] * p[k] for k in range(1, len(p))), e[0] * p[0])))
+    return F.aggregate(history, F.lit(1.0), lambda r, e: F.least(F.lit(most), F.greatest(F.lit(0.0), r - sum((e[k] * p[k] for k in range(1, len(p))), e[0] * p[0]))))
 
 
-def fit_rates(cells: DataFrame, weights: dict[str, float]) -> list[list[float]]:
-    """Gradient steps over stored (tokens, p0, p1, ...) rows."""
+def fit_rates(cells: DataFrame, weights: dict[str, float], most: float = math.inf) -> list[list[float]]:
+    """Gradient steps over stored (tokens, p0, p1, ...) rows, for rates of at most ``most``."""
     p = [F.col(f"p{k}") for k in range(len(DOMAINS))]
     n = F.col("tokens").cast("double")
     pairs = [(i, j) for i in range(len(p)) for j in range(i, len(p))]
@@ -178,10 +178,11 @@ def fit_rates(cells: DataFrame, weights: dict[str, float]) -> list[list[float]]:
 
     def measure(e: np.ndarray) -> tuple[float, np.ndarray, np.ndarray]:
         """Value and gradient of the convex function that the step minimises, and its curvature."""
-        rate = F.greatest(F.lit(0.0), _rate(p, [*steps, (e / target).tolist()]))
-        rows = cells.select(n.alias("n"), *p, rate.alias("r")).where("r > 0")
-        m = F.col("n")
-        found = rows.agg(F.sum(m * F.col("r") * F.col("r")), *[F.sum(m * F.col("r") * x) for x in p], *[F.sum(m * p[i] * p[j]) for i, j in pairs]).first()
+        free = _rate(p, steps, most) - sum((float(x) * p[k] for k, x in enumerate(e / target)), F.lit(0.0))
+        rows = cells.select(n.alias("n"), *p, free.alias("x")).where("x > 0").withColumn("r", F.least("x", F.lit(most)))
+        m, r = F.col("n"), F.col("r")
+        inside = F.when(F.col("x") < most, m)
+        found = rows.agg(F.sum(m * r * (2 * F.col("x") - r)), *[F.sum(m * r * x) for x in p], *[F.sum(inside * p[i] * p[j]) for i, j in pairs]).first()
         found = [x or 0.0 for x in found]
         value = found[0] / 2 + e.sum() + damping / 2 * (e @ e)
         return value, 1 + damping * e - np.array(found[1 : 1 + len(p)]) / target, square(found[1 + len(p) :]) + damping * np.eye(len(p))
@@ -216,23 +217,25 @@ class Mix:
     posteriors: list[Column]
     steps: list[list[float]]
     binned: DataFrame
+    #: Largest rate.
+    most: float
 
     def apply(self, rows: DataFrame) -> DataFrame:
         """Add posteriors and the rate to binned rows."""
         named = [f"p_{d}" for d in DOMAINS]
         # Posteriors are used once per step and domain below, so they are computed before.
         known = evaluate_once(rows.withColumns(dict(zip(named, self.posteriors, strict=True))))
-        return known.withColumn("rate", _rate([F.col(n) for n in named], self.steps))
+        return known.withColumn("rate", _rate([F.col(n) for n in named], self.steps, self.most))
 
 
-def learn(docs: DataFrame, labels: DataFrame, weights: dict[str, float] = WEIGHTS) -> Mix:
+def learn(docs: DataFrame, labels: DataFrame, weights: dict[str, float] = WEIGHTS, most: float = math.inf) -> Mix:
     short = docs.select(*[c for c in ("doc_id", "lang", "text") if c in docs.columns])
     marked = marked_words(short, labels)
     binned = stage(with_bins(short, marked).select(F.col("doc_id").cast("long"), "tokens", *FEATURES), "binned")
     p = posterior_columns(_labelled(binned, labels))
     cells = binned.groupBy(*FEATURES).agg(F.sum("tokens").alias("tokens"))
     cells = stage(cells.select("tokens", *[x.alias(f"p{k}") for k, x in enumerate(p)]), "cells")
-    return Mix(marked, p, fit_rates(cells, weights), binned)
+    return Mix(marked, p, fit_rates(cells, weights, most), binned, most)
 
 
 def document_rates(docs: DataFrame, labels: DataFrame, weights: dict[str, float] = WEIGHTS) -> DataFrame:
@@ -242,8 +245,12 @@ def document_rates(docs: DataFrame, labels: DataFrame, weights: dict[str, float]
 
 
 def thin(docs: DataFrame, labels: DataFrame, weights: dict[str, float] = WEIGHTS) -> DataFrame:
-    """The rows of ``docs`` that their rate keeps: all with a rate of 1 or more, others by a hash of their id."""
-    found = learn(docs, labels, weights)
+    """The rows of ``docs`` that their rate keeps, by a hash of their id.
+
+    Rates are fitted between 0 and 1, as no copies are made: what is kept is what the fit expects.
+    A scarce domain then stays below its target, as near as the least squares come.
+    """
+    found = learn(docs, labels, weights, 1.0)
     short = [c for c in ("doc_id", "lang", "text") if c in docs.columns]
     rows = found.apply(with_bins(docs.select(F.struct(*docs.columns).alias("_row"), *short), found.marked))
     part = F.pmod(F.xxhash64(F.col("doc_id"), F.lit(8)), F.lit(1 << 40)) / F.lit(float(1 << 40))

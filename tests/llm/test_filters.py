@@ -297,6 +297,16 @@ def test_rates_are_the_least_squares_where_targets_are_out_of_reach(spark):
     assert np.abs(error).max() > 0.01 and np.abs(slope[rate > 1e-9]).max() < 0.01 and slope.min() > -0.01
 
 
+def test_rates_without_copies_lose_nothing_for_copies(spark):
+    p = np.array([[0.96, 0.02, 0.02], [0.04, 0.94, 0.02], [0.1, 0.1, 0.8]])
+    n = np.array([90_000, 9_000, 500])
+    cells = spark.createDataFrame([(int(a), *map(float, b)) for a, b in zip(n, p, strict=True)], "tokens long, p0 double, p1 double, p2 double")
+    steps = mixing.fit_rates(cells, mixing.WEIGHTS, 1.0)
+    rows = cells.select("tokens", mixing._rate([cells.p0, cells.p1, cells.p2], steps, 1.0)).collect()
+    rate = np.array([r[1] for r in sorted(rows, reverse=True)])
+    assert rate[0] > 0.999 and rate[1] < 0.7 and rate[2] > 0.999
+
+
 def test_mixing_edge_cases(spark, make):
     labels = spark.createDataFrame([(4, 1, 0), (5, 1, 1), (6, 0, 0), (None, 1, 0), (8, None, 1)], "doc_id long, quality int, toxic int")
     rows = mixing.document_rates(make(EDGE), labels).collect()
