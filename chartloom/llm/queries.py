@@ -1,4 +1,4 @@
-"""Queries of the ten operators, and the SQL that states their results where SQL can."""
+"""Queries of the numbered operators, and the SQL that states their results where SQL can."""
 
 from __future__ import annotations
 
@@ -6,7 +6,9 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from chartloom.llm import bloom_lm, compression, line_windows, media, mixing, near_dedup, orc_tokens, packing, repetition, url_lists
+from chartloom.llm import (
+    bloom_lm, compression, filter_audit, line_windows, media, mixing, near_dedup, orc_tokens, packing, repetition, token_counts, treap, url_lists,
+)
 from chartloom.llm.common import fold, read_table, whole_text
 
 
@@ -86,6 +88,18 @@ def op10_repetition(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repetition.repetition_rules(read_table(spark, sf_dir, "documents"))
 
 
+def op11_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_audit.filter_audit(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
+
+
+def op12_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return treap.ranked_search(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))
+
+
+def op13_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts.count_tokens(read_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -95,7 +109,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     f.__name__: f for f in (
         op1_media, op2_packing, op3_quality, op4_orc_tokens, op5_near_dedup, op6_url_lists, op7_language_model,
-        op8_mixing, op9_line_windows, op10_repetition, pipeline,
+        op8_mixing, op9_line_windows, op10_repetition, op11_filter_audit, op12_ranked_search, op13_token_counts, pipeline,
     )
 }
 
@@ -147,4 +161,53 @@ kept AS (
 SELECT l.doc_id, len(l.ls) AS n_lines, len(l.ls) - coalesce(kept.n, 0) AS n_removed,
        CASE WHEN coalesce(kept.n, 0) = len(l.ls) THEN l.text ELSE coalesce(kept.text, '') END AS text
 FROM l LEFT JOIN kept USING (doc_id)""",
+    "op11_filter_audit": """
+WITH t AS (SELECT doc_id, coalesce(lang, '') AS part, coalesce(text, '') AS text FROM documents),
+w AS (SELECT *, regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+') AS ws FROM t),
+o AS (SELECT text, min(doc_id) AS first FROM t GROUP BY text),
+m AS (SELECT doc_id, coalesce(max(CASE WHEN quality = 1 THEN 1 END), 0) AS good, coalesce(max(CASE WHEN toxic = 1 THEN 1 END), 0) AS bad FROM labels GROUP BY doc_id),
+f AS (
+  SELECT part, len(ws) < 200 AS a, 100 * len(list_distinct(ws)) < 50 * len(ws) AS b,
+         100 * length(regexp_replace(w.text, '[^A-Z]', '', 'g')) > 3 * length(w.text) AS c,
+         regexp_matches(w.text, '[#$%&*|]') AS d, coalesce(w.doc_id > first, false) AS e, coalesce(good, 0) AS good, coalesce(bad, 0) AS bad
+  FROM w JOIN o ON o.text = w.text LEFT JOIN m ON m.doc_id = w.doc_id),
+c AS (SELECT part, a, b, c, d, e, count(*) AS n, sum(good) AS good, sum(bad) AS bad FROM f GROUP BY ALL),
+l AS (SELECT unnest(['A', 'B', 'C', 'D', 'E']) AS l),
+p AS (
+  SELECT l1.l || l2.l || l3.l || l4.l || l5.l AS filter_order FROM l l1, l l2, l l3, l l4, l l5
+  WHERE len(list_distinct([l1.l, l2.l, l3.l, l4.l, l5.l])) = 5),
+h AS (
+  SELECT c.*, filter_order, a::INT + b::INT + c::INT + d::INT + e::INT AS fails,
+         least(CASE WHEN a THEN strpos(filter_order, 'A') ELSE 6 END, CASE WHEN b THEN strpos(filter_order, 'B') ELSE 6 END,
+               CASE WHEN c THEN strpos(filter_order, 'C') ELSE 6 END, CASE WHEN d THEN strpos(filter_order, 'D') ELSE 6 END,
+               CASE WHEN e THEN strpos(filter_order, 'E') ELSE 6 END) AS hit
+  FROM c, p),
+s AS (
+  SELECT h.*, step, substr(filter_order, step, 1) AS letter,
+         CASE substr(filter_order, step, 1) WHEN 'A' THEN a WHEN 'B' THEN b WHEN 'C' THEN c WHEN 'D' THEN d ELSE e END AS failing
+  FROM h, (SELECT unnest([1, 2, 3, 4, 5]) AS step)),
+r AS (
+  SELECT part, filter_order, step, letter, coalesce(sum(n) FILTER (hit > step), 0) AS kept, coalesce(sum(n) FILTER (hit = step), 0) AS removed,
+         coalesce(sum(n) FILTER (failing AND hit < step), 0) AS redundant, coalesce(sum(n) FILTER (failing AND fails = 1), 0) AS unique_fails,
+         coalesce(sum(good) FILTER (hit = step), 0) AS good_lost, coalesce(sum(bad) FILTER (hit = step), 0) AS toxic_lost
+  FROM s GROUP BY ALL)
+SELECT part, filter_order, step::INTEGER AS step, kept::BIGINT AS kept, removed::BIGINT AS removed, redundant::BIGINT AS redundant,
+       unique_fails::BIGINT AS unique_fails, good_lost::BIGINT AS good_lost, toxic_lost::BIGINT AS toxic_lost,
+       (sum(removed) OVER (PARTITION BY part, letter))::BIGINT AS shapley
+FROM r""",
+    "op12_ranked_search": """
+WITH d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+             '[^\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]+') AS ts FROM documents),
+g AS (SELECT count(*) AS big_n, sum(len(ts))::BIGINT AS big_l FROM d WHERE len(ts) > 0),
+q AS (
+  SELECT DISTINCT item_id, unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+             '[^\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]+')) AS t FROM benchmark),
+o AS (SELECT doc_id, len(ts) AS n, unnest(ts) AS t FROM d),
+tf AS (SELECT doc_id, n, t, count(*) AS tf FROM o GROUP BY ALL),
+df AS (SELECT t, floor(1000 * ln((2 * max(big_n) + 2)::DOUBLE / (2 * count(*) + 1)))::BIGINT AS w FROM tf, g GROUP BY t),
+s AS (
+  SELECT item_id, doc_id, sum(w * ((1000000000 * tf) // (1000 * tf + 20 * (50 + (50 * n * big_n) // big_l))))::BIGINT AS score
+  FROM q JOIN tf USING (t) JOIN df USING (t), g GROUP BY item_id, doc_id)
+SELECT item_id, rank::INTEGER AS rank, doc_id, score
+FROM (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS rank FROM s WHERE score > 0) WHERE rank <= 50""",
 }
