@@ -11,11 +11,9 @@ from pyspark.sql import functions as F
 from chartloom import config as c
 from chartloom.functions.text import basename
 from chartloom.functions.variants import as_map, at, fill_missing, is_number, is_object
-from chartloom.operators.staging import evaluate_once
+from chartloom.operators.staging import evaluate_once, stage
 
 PENTACAM = "exams.pentacam_corneal_tomography"
-# An eye holds sections, metric groups and metrics; anything deeper raises.
-EYE_DEPTH = 6
 
 
 def _eye_shape() -> str:
@@ -113,7 +111,7 @@ def merged_document(analysis: Column, repair: Column) -> Column:
 
     def eye(name: str) -> Column:
         old, extra = at(analysis, f"{PENTACAM}.eyes.{name}"), at(repair, f"eyes.{name}")
-        return F.when(is_object(old) & is_object(extra), fill_missing(old, extra, EYE_DEPTH))
+        return F.when(is_object(old) & is_object(extra), fill_missing(old, extra))
 
     filled = F.create_map(*[part for name in c.EYES for part in (F.lit(name), eye(name))])
     merged = F.map_zip_with(as_map(eyes), filled, lambda _name, old, new: F.coalesce(new, old))
@@ -148,21 +146,18 @@ def best_attempts(repairs: DataFrame, raw: str = "raw") -> DataFrame:
 def apply_repairs(cases: DataFrame, repairs: DataFrame, raw: str = "raw") -> DataFrame:
     """Merge second-pass extractions into the cases that need them; everything else is untouched.
 
-    ``repairs`` may hold several attempts per case; they are reduced to the best before
-    the join, so a case with very many attempts costs one row.  An undecodable
-    repair is ignored.  Only documents that are due go through the join.
+    ``repairs`` may hold several attempts per case; they are reduced to the best and written to the shared
+    folder first, so a case with very many attempts costs one row and their size is known when the join is planned: a small table
+    is broadcast within Spark's own limit, and a larger one makes the join a shuffle of both.  Documents are read, judged and merged in one
+    pass.  An undecodable repair is ignored.
     """
     keep = tuple(name for name in cases.columns if name not in ("case_id", "analysis"))
-    judged = completeness(cases, keep=("analysis", *keep))
-    extra = best_attempts(repairs, raw).select("case_id", F.try_parse_json("_raw").alias("_repair"))
-    due = evaluate_once(judged).where("needs_repair")
-    rest = evaluate_once(judged).where("NOT coalesce(needs_repair, false)")
-    mended = due.join(extra, "case_id", "left").select(
-        "case_id", *keep,
-        F.when(F.col("_repair").isNotNull(), merged_document(F.col("analysis"), F.col("_repair")))
-        .otherwise(F.col("analysis")).alias("analysis"),
+    best = stage(best_attempts(repairs, raw), "repairs").select("case_id", F.try_parse_json("_raw").alias("_repair"))
+    judged = evaluate_once(completeness(cases, keep=("analysis", *keep)))
+    due = F.col("needs_repair") & F.col("_repair").isNotNull()
+    return judged.join(best, "case_id", "left").select(
+        "case_id", *keep, F.when(due, merged_document(F.col("analysis"), F.col("_repair"))).otherwise(F.col("analysis")).alias("analysis"),
     )
-    return mended.unionByName(rest.select("case_id", *keep, "analysis"))
 
 
 def fill_metrics(gold: DataFrame, repair_gold: DataFrame, metrics: tuple[str, ...]) -> DataFrame:

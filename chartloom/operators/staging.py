@@ -2,9 +2,20 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from chartloom.session import shared_dir
+
+
+def stage(rows: DataFrame, name: str) -> DataFrame:
+    """Write a table to the shared folder and read it again: nothing is computed anew after a loss, and its size is known."""
+    path = f"{shared_dir(rows.sparkSession)}/{name}-{uuid.uuid4().hex}"
+    rows.write.parquet(path)
+    return rows.sparkSession.read.schema(rows.schema).parquet(path)
+
 
 def evaluate_once(rows: DataFrame) -> DataFrame:
     """Pass rows through a one-element generator before a filter on computed columns.

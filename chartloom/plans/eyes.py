@@ -163,7 +163,7 @@ def layout_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
     """How often each spelling of two metrics occurs in the left eyes, counted over flattened leaves."""
     cases = parse_cases(case_documents(spark, sf_dir))
     eye = at(F.col("analysis"), "exams.pentacam_corneal_tomography.eyes.OS")
-    flat = cases.select(F.inline(leaves(eye, depth=6)))
+    flat = cases.select(F.inline(leaves(eye)))
     named = F.col("path").rlike("(thinnest|finest|kmax_d|k_max|thinnest_pachy)")
     return flat.where(named).groupBy("path").agg(F.count("*").alias("n"))
 
@@ -186,3 +186,48 @@ def generic_fill(spark: SparkSession, sf_dir: str) -> DataFrame:
         "event_id", at(doc, "k", "bigint").alias("kept"), at(doc, "m.value", "double").alias("filled_value"),
         at(doc, "kind", "string").alias("added"),
     )
+
+
+def _chain(levels: str, members: str, inner: str) -> str:
+    """SQL of a JSON object nested ``levels`` deep, each level with the given members."""
+    return f"""concat(repeat('{{{members},"a":', cast({levels} as int)), {inner}, repeat('}}', cast({levels} as int)))"""
+
+
+#: Levels of the tree of a row, and of the target it is merged into.
+_LEVELS, _SHORT = "1 + k % 40", "CASE WHEN k % 3 = 0 THEN greatest(1, (1 + k % 40) DIV 2) ELSE 1 + k % 40 END"
+
+
+def _trees(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Trees nested 1 to 40 levels by the order key; every third target ends early in a number."""
+    keys = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("k"))
+    inner = """CASE WHEN k % 3 = 0 THEN '5' WHEN k % 2 = 0 THEN '{"x":null}' ELSE concat('{"x":', k, '}') END"""
+    return keys.select(
+        "k", F.expr(f"try_parse_json({_chain(_SHORT, chr(34) + 's' + chr(34) + ':7', inner)})").alias("target"),
+        F.expr("try_parse_json(" + _chain(_LEVELS, '"s":9,"n":1', "'" + '{"x":3}' + "'") + ")").alias("repair"),
+    )
+
+
+_TREES = """WITH t AS (
+  SELECT o_orderkey AS k, 1 + o_orderkey % 40 AS d,
+         CASE WHEN o_orderkey % 3 = 0 THEN greatest(1, (1 + o_orderkey % 40) // 2) ELSE 1 + o_orderkey % 40 END AS short FROM orders),
+l AS (SELECT *, unnest(range(0, d)) AS i FROM t)
+"""
+
+
+@query(_TREES + """SELECT k, repeat('a.', i) || 's' AS path, 9 AS value FROM l
+UNION ALL SELECT k, repeat('a.', i) || 'n', 1 FROM l UNION ALL SELECT k, repeat('a.', d) || 'x', 3 FROM t""")
+def deep_leaves(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every leaf of trees of 1 to 40 levels."""
+    rows = _trees(spark, sf_dir).select("k", F.inline(leaves(F.col("repair"))))
+    return rows.select("k", "path", F.try_variant_get("value", "$", "int").alias("value"))
+
+
+@query(_TREES + """SELECT k, repeat('a.', i) || 's' AS path, CASE WHEN i < short THEN 7 ELSE 9 END AS value FROM l
+UNION ALL SELECT k, repeat('a.', i) || 'n', 1 FROM l
+UNION ALL SELECT k, repeat('a.', d) || 'x', CASE WHEN k % 3 = 0 OR k % 2 = 0 THEN 3 ELSE k END FROM t""")
+def deep_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Trees of 1 to 40 levels filled from others: kept, filled and replaced members at every level."""
+    merged = _trees(spark, sf_dir).select("k", fill_missing(F.col("target"), F.col("repair")).alias("doc"))
+    return merged.select("k", F.inline(leaves(F.col("doc")))).select(
+        "k", "path", F.try_variant_get("value", "$", "bigint").alias("value")
+    )

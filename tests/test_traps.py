@@ -160,13 +160,23 @@ def test_defaults_only_for_absent_fields(one):
     assert got == {"language": None, "x": 1, "schema_version": "1.0", "generated_on": "2024-01-02"}
 
 
-def test_deep_document_raises_instead_of_losing_leaves(spark):
-    doc = value = {}
-    for _ in range(v.MAX_DEPTH + 2):
-        value["a"] = value = {}
-    value["b"] = 1
-    with pytest.raises(Exception, match="nested deeper"):
-        spark.range(1).select(v.leaves(J(doc))).collect()
+@pytest.mark.parametrize("unrolled", [0, 1, 6, 30])
+def test_no_depth_changes_leaves_or_merge(spark, unrolled):
+    def chain(levels, inner):
+        for level in reversed(range(levels)):
+            inner = {"s": level, "e": {}, "a": inner}
+        return inner
+
+    for levels in (1, 5, 6, 7, 13, 40, 300):
+        target, repair = chain(levels, {"x": None, "y": [1, {"z": None}]}), chain(levels, {"x": 1, "y": 2, "n": None, "m": {"k": {}}})
+        row = spark.range(1).select(
+            F.to_json(v.fill_missing(J(target), J(repair), unrolled)).alias("m"),
+            F.transform(v.leaves(J(target), unrolled), lambda x: F.struct(x["path"].alias("p"), F.to_json(x["value"]).alias("v"))).alias("l"),
+        ).first()
+        assert json.loads(row.m) == chain(levels, {"x": 1, "y": [1, {"z": None}], "m": {"k": {}}})
+        end = "a." * levels
+        want = {f"{'a.' * i}{k}": value for i in range(levels) for k, value in (("s", str(i)), ("e", "{}"))}
+        assert {x.p: x.v for x in row.l} == want | {f"{end}x": "null", f"{end}y": '[1,{"z":null}]'}
 
 
 @pytest.mark.parametrize("fn, value, expected", [
