@@ -29,6 +29,7 @@ from functools import reduce
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -38,7 +39,7 @@ from chartloom.llm.common import text_groups, whole_text, work_path
 from chartloom.llm.words import LOWER, U64, Prefix
 
 #: A block ends with the document that reaches one of these.
-BLOCK_TERMS, BLOCK_DOCS = 1 << 20, 1 << 16
+BLOCK_TERMS, BLOCK_DOCS = 1 << 19, 1 << 16
 #: Ranges opened at a time.
 BUNCH = 128
 #: Terms of the items that one pass over the blocks looks for (about; items are dealt to passes by a hash).
@@ -68,22 +69,33 @@ def spread(x: np.ndarray) -> np.ndarray:
     return x
 
 
+def packed(raw: bytes) -> bytes:
+    """Compressed inside the row: a task gets all rows of its partition in one Arrow batch."""
+    return zstandard.compress(raw, 1)
+
+
 def small(x: np.ndarray) -> bytes:
     """Numbers from 0 on in the narrowest unsigned type that holds them."""
-    return x.astype(np.min_scalar_type(int(x.max(initial=0)))).tobytes()
+    return packed(x.astype(np.min_scalar_type(int(x.max(initial=0)))).tobytes())
+
+
+def wide(stored: bytes, n: int) -> np.ndarray:
+    raw = zstandard.decompress(stored)
+    return np.frombuffer(raw, f"u{len(raw) // n}").astype(np.int32)
 
 
-def wide(raw: bytes, n: int) -> np.ndarray:
-    return np.frombuffer(raw, f"u{len(raw) // n}").astype(np.int64) if n else np.zeros(0, np.int64)
+#: Ones among the four bits of a cell, and ones before each quadrant's bit.
+_ONES = np.array([x.bit_count() for x in range(16)], np.uint8)
+_BEFORE = np.array([[(x >> (4 - q)).bit_count() for q in range(4)] for x in range(16)], np.int32)
 
 
 @dataclass
 class Treap:
-    """Cells in breadth-first order; ``below`` is the number of the first ones up to each bit, ``top`` the largest impact in each cell."""
+    """Cells in breadth-first order: ``quadrants`` are the four bits of each, ``first`` the number of the first cell below it, ``top`` its largest impact."""
 
     height: int
-    bits: np.ndarray
-    below: np.ndarray
+    quadrants: np.ndarray
+    first: np.ndarray
     top: np.ndarray
 
     @staticmethod
@@ -102,20 +114,29 @@ class Treap:
             bits = np.zeros(4 * len(first), bool)
             bits[4 * group + (code & U64(3)).astype(np.int64)] = True
             most = np.maximum.reduceat(top, first)
-            levels.append((np.packbits(bits).tobytes(), small(most[group] - top)))
+            levels.append((packed(np.packbits(bits).tobytes()), small(most[group] - top)))
             code, top = above[first], most
         return height, [small(top), *(x for level in reversed(levels) for x in level)]
 
     @classmethod
     def load(cls, height: int, stored: list[bytes]) -> Treap:
-        top, bits = [wide(stored[0], 1)], []
+        top, quadrants = [wide(stored[0], 1)], []
         for level in range(height):
-            here = np.unpackbits(np.frombuffer(stored[1 + 2 * level], np.uint8))[: 4 * len(top[-1])].astype(bool)
-            above = np.flatnonzero(here) >> 2
-            bits.append(here)
-            top.append(top[-1][above] - wide(stored[2 + 2 * level], len(above)))
-        flat = np.concatenate(bits)
-        return cls(height, flat, np.cumsum(flat, dtype=np.int32), np.concatenate(top))
+            pairs = np.frombuffer(zstandard.decompress(stored[1 + 2 * level]), np.uint8)
+            here = np.stack((pairs >> 4, pairs & 15), axis=1).ravel()[: len(top[-1])]
+            above = np.repeat(top[-1], _ONES[here])
+            quadrants.append(here)
+            top.append(above - wide(stored[2 + 2 * level], len(above)))
+        flat = np.concatenate(quadrants)
+        first = np.cumsum(_ONES[flat], dtype=np.int32)
+        first += 1 - _ONES[flat].astype(np.int32)
+        return cls(height, flat, first, np.concatenate(top))
+
+    def below(self, cell: np.ndarray, quadrant: np.ndarray) -> np.ndarray:
+        """Cell in a quadrant of each cell, -1 where there is none."""
+        here = self.quadrants[np.maximum(cell, 0)]
+        there = (cell >= 0) & (here >> (3 - quadrant) & 1 > 0)
+        return np.where(there, self.first[np.maximum(cell, 0)] + _BEFORE[here, quadrant], -1)
 
 
 class Best:
@@ -137,7 +158,7 @@ class Best:
 
 def descend(treap: Treap, row: np.ndarray, weight: np.ndarray, key: np.ndarray, known: np.ndarray, best: Best) -> None:
     """Open the best ranges of columns first until none can enter the best documents.  ``key`` rises with the columns."""
-    bound, level, column = np.array([treap.top[0] * weight.sum()]), np.zeros(1, np.int64), np.zeros(1, np.int64)
+    bound, level, column = np.array([int(treap.top[0]) * weight.sum()]), np.zeros(1, np.int64), np.zeros(1, np.int64)
     cell = np.zeros((1, len(row)), np.int64)
     bound = bound[best.may_enter(bound, key[:1])]
     side = np.arange(2)[None, :, None]
@@ -145,10 +166,9 @@ def descend(treap: Treap, row: np.ndarray, weight: np.ndarray, key: np.ndarray,
         order = np.lexsort((column << (treap.height - level), -bound))
         now, later = order[:BUNCH], order[BUNCH:]
         shift = treap.height - 1 - level[now]
-        place = (4 * cell[now] + 2 * (row[None] >> shift[:, None] & 1))[:, None, :] + side
-        there = (cell[now] >= 0)[:, None, :] & treap.bits[np.maximum(place, 0)]
-        child = np.where(there, treap.below[np.maximum(place, 0)], -1).reshape(-1, len(row))
-        score = np.where(child >= 0, treap.top[child], 0) @ weight
+        quadrant = (2 * (row[None] >> shift[:, None] & 1))[:, None, :] + side
+        child = treap.below(np.broadcast_to(cell[now][:, None, :], quadrant.shape), quadrant).reshape(-1, len(row))
+        score = np.where(child >= 0, treap.top[child], 0).astype(np.int64) @ weight
         at = (2 * column[now][:, None] + side[:, :, 0]).ravel()
         down = np.repeat(level[now] + 1, 2)
         alive = np.flatnonzero(score > 0)
@@ -244,7 +264,7 @@ def build_index(docs: DataFrame, n_docs: int, n_total: int) -> DataFrame:
             yield from block()
 
     path = work_path(docs.sparkSession, "treap")
-    _texts(docs, "doc_id").mapInArrow(run, INDEX_SCHEMA).write.option("compression", "zstd").parquet(path)
+    _texts(docs, "doc_id").mapInArrow(run, INDEX_SCHEMA).write.parquet(path)
     return docs.sparkSession.read.schema(INDEX_SCHEMA).parquet(path)
 
 
