@@ -128,3 +128,60 @@ def percent(done: Column, total: Column) -> Column:
     return F.when(total == 0, F.lit(0)).otherwise(
         F.floor(done * F.lit(100.0) / total + F.lit(0.5))
     ).cast("bigint")
+
+
+# Fixed pattern: strings, punctuation and bare values of JSON text; possessive, so that long strings need no stack.
+JSON_TOKEN = r'"[^"\\]*+(?:\\.[^"\\]*+)*+"|[{}\[\],:]|[^{}\[\],:"\s]++'
+# Characters that are written as escapes inside JSON text so that it can stand in HTML.
+JSON_ESCAPES = {"<": r"\u003c", ">": r"\u003e", "&": r"\u0026", "\u2028": r"\u2028", "\u2029": r"\u2029"}
+#: Tokens whose depth is counted from the start of their run; bounds the work for very long texts, changes no result.
+JSON_RUN = 256
+
+
+def pretty_json(value: Column) -> Column:
+    """JSON text spread over lines, two spaces a level at any depth; empty objects and arrays stay closed.
+
+    Everything stays in the row: the depth of a token is the number of brackets opened and not closed before it, summed per
+    run of tokens and inside the run.
+    """
+
+    def total(numbers: Column) -> Column:
+        return F.aggregate(numbers, F.lit(0), lambda a, b: a + b)
+
+    def step(token: Column) -> Column:
+        return F.when(token.isin("{", "["), 1).when(token.isin("}", "]"), -1).otherwise(0)
+
+    def bind(rows: Column, name: str, make) -> Column:
+        """Add a value that later parts refer to without computing it again."""
+        return F.transform(rows, lambda s: s.withField(name, make(s)))
+
+    def piece(s: Column, token: Column, i: Column) -> Column:
+        run = F.floor(i / JSON_RUN).cast("int")
+        depth = F.get(s["before"], run) + total(F.slice(s["steps"], run * JSON_RUN + 1, i % JSON_RUN))
+        opens, closes = token.isin("{", "["), token.isin("}", "]")
+        next_closes = F.coalesce(F.get(s["tokens"], i + 1).isin("}", "]"), F.lit(False))
+        after_open = F.coalesce(F.get(s["tokens"], i - 1).isin("{", "["), F.lit(False))
+
+        def line(level: Column) -> Column:
+            return F.concat(F.lit("\n"), F.repeat(F.lit("  "), level))
+
+        return (
+            F.when(opens & ~next_closes, F.concat(token, line(depth + 1)))
+            .when(closes & ~after_open, F.concat(line(depth - 1), token))
+            .when(token == ",", F.concat(token, line(depth)))
+            .when(token == ":", F.lit(": "))
+            .otherwise(token)
+        )
+
+    escaped = value
+    for sign, written in JSON_ESCAPES.items():
+        escaped = F.replace(escaped, F.lit(sign), F.lit(written))
+    rows = F.array(F.struct(F.regexp_extract_all(escaped, F.lit(JSON_TOKEN), F.lit(0)).alias("tokens")))
+    rows = bind(rows, "steps", lambda s: F.transform(s["tokens"], step))
+    rows = bind(rows, "sums", lambda s: F.transform(
+        F.sequence(F.lit(0), F.floor(F.size(s["tokens"]) / JSON_RUN).cast("int")),
+        lambda run: total(F.slice(s["steps"], run * JSON_RUN + 1, F.lit(JSON_RUN))),
+    ))
+    rows = bind(rows, "before", lambda s: F.transform(s["sums"], lambda _sum, run: total(F.slice(s["sums"], F.lit(1), run))))
+    pieces = F.transform(rows, lambda s: F.array_join(F.transform(s["tokens"], lambda token, i: piece(s, token, i)), ""))
+    return F.when(value.isNotNull(), F.get(pieces, F.lit(0)))

@@ -1,124 +1,93 @@
 """Partitioned tables of the life-cycle and their sinks.
 
-Layout: ``<root>/drafts``, ``<root>/files`` and ``<root>/cases``, each split by the
+Layout: ``<root>/drafts``, ``<root>/draft_files``, ``<root>/files`` and ``<root>/cases``, each split by the
 UTC day carried in the ids, so that reads of a period and erasures touch few
-folders.  A case counts as committed once its row is in ``cases``; file rows are
-written before it and removed before it.
+folders.  A case counts as committed once its row is in ``cases``; its file rows appear in
+the same commit (see ``generations``).
 """
 
 from __future__ import annotations
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from chartloom.functions.ids import created_date_of, promoted_key
-from chartloom.functions.variants import as_map
-from chartloom.session import prepare
+from chartloom.functions.ids import promoted_key
+from chartloom.functions.text import pretty_json
+from chartloom.operators.lifecycle import erased_objects
+from chartloom.operators.staging import stage
+from chartloom.sources import generations as g
 
-DAY = "created_date"
+TABLES = ("drafts", "draft_files", "files", "cases")
 
 
-def _write(rows: DataFrame, path: str, mode: str = "append") -> None:
-    # One shuffle by day keeps the number of files per folder low; AQE splits a day
-    # that is much larger than the others.
-    (
-        rows.hint("rebalance", DAY).write.mode(mode).option("partitionOverwriteMode", "dynamic")
-        .partitionBy(DAY).parquet(path)
-    )
-
-
-def _append_new(rows: DataFrame, path: str, keys: list[str]) -> None:
-    """Append the rows whose keys are not stored yet, so that a repeated write adds nothing."""
-    fresh = rows.dropDuplicates(keys)
-    try:
-        stored = _read(rows.sparkSession, path)
-    except AnalysisException as error:
-        if error.getCondition() != "PATH_NOT_FOUND":
-            raise
-    else:
-        # The day is part of the join, so that only days with new rows are read where it is small.
-        same = [F.col(f"n.{name}").eqNullSafe(F.col(f"s.{name}")) for name in [*keys, DAY]]
-        fresh = fresh.alias("n").join(stored.select(*keys, DAY).alias("s"), same, "left_anti")
-    _write(fresh, path)
-
-
-def _read(spark: SparkSession, path: str) -> DataFrame:
-    """Live rows; the placeholder of an emptied day has no id."""
-    return prepare(spark).read.parquet(path)
+def _versioned(rows: DataFrame) -> DataFrame:
+    return rows if "version" in rows.columns else rows.withColumn("version", F.lit(0).cast("bigint"))
 
 
 def write_drafts(drafts: DataFrame, files: DataFrame, root: str) -> None:
-    """Stage drafts (intake_id, created_at, analysis) with their file rows (intake_id, …, key)."""
-    _append_new(files.withColumn(DAY, created_date_of(F.col("intake_id"))), f"{root}/draft_files", ["intake_id", "key"])
-    _append_new(drafts.withColumn(DAY, created_date_of(F.col("intake_id"))), f"{root}/drafts", ["intake_id"])
+    """Stage drafts (intake_id, created_at, analysis) with their file rows (intake_id, …, key).
+
+    Rows may carry a ``version``; the highest one of a draft or file stays, in whatever order they arrive.
+    """
+    spark = drafts.sparkSession
+    changes = g.upsert(spark, root, "draft_files", _versioned(files), ["intake_id", "key"])
+    g.switch(spark, root, changes + g.upsert(spark, root, "drafts", _versioned(drafts), ["intake_id"]))
 
 
 def read_drafts(spark: SparkSession, root: str) -> DataFrame:
-    return _read(spark, f"{root}/drafts").where("intake_id IS NOT NULL")
+    return g.read(spark, root, "drafts")
 
 
 def read_draft_files(spark: SparkSession, root: str) -> DataFrame:
-    return _read(spark, f"{root}/draft_files").where("intake_id IS NOT NULL")
+    return g.read(spark, root, "draft_files")
 
 
 def commit_cases(cases: DataFrame, files: DataFrame, root: str) -> None:
-    """Write file rows (case_id, file_index, key, …) first and the marker rows last.
+    """Write file rows (case_id, file_index, key, …) and the marker rows, which appear together.
 
     Keys move from the draft area to the case area on the way.  A run that dies in
-    between leaves no case row, and readers join files to cases.  Committing again adds nothing.
+    between leaves nothing that readers see.  Committing again adds nothing; a higher ``version`` of a case or file outdoes the stored one.
     """
+    spark = cases.sparkSession
     moved = files.withColumn("key", promoted_key(F.col("case_id"), F.col("key")))
-    _append_new(moved.withColumn(DAY, created_date_of(F.col("case_id"))), f"{root}/files", ["case_id", "key"])
-    _append_new(cases.withColumn(DAY, created_date_of(F.col("case_id"))), f"{root}/cases", ["case_id"])
+    changes = g.upsert(spark, root, "files", _versioned(moved), ["case_id", "key"])
+    g.switch(spark, root, changes + g.upsert(spark, root, "cases", _versioned(cases), ["case_id"]))
 
 
-def read_cases(spark: SparkSession, root: str) -> DataFrame:
-    return _read(spark, f"{root}/cases").where("case_id IS NOT NULL")
+def read_cases(spark: SparkSession, root: str, ids: DataFrame | None = None) -> DataFrame:
+    """Committed cases, those of ``ids`` (case_id) if given: their days become partition filters."""
+    if ids is None:
+        return g.read(spark, root, "cases")
+    wanted = ids.select("case_id").distinct()
+    days = [row[0] for row in wanted.select(g.day_of(F.col("case_id"))).distinct().collect()]
+    return g.read(spark, root, "cases", days).join(wanted, "case_id", "left_semi")
 
 
 def read_files(spark: SparkSession, root: str) -> DataFrame:
     """File rows of committed cases only."""
-    rows = _read(spark, f"{root}/files").where("case_id IS NOT NULL")
-    cases = read_cases(spark, root).select("case_id", DAY).alias("c")
-    # An id without a day has its rows in the null day.
-    same = (F.col("f.case_id") == F.col("c.case_id")) & F.col(f"f.{DAY}").eqNullSafe(F.col(f"c.{DAY}"))
-    return rows.alias("f").join(cases, same, "left_semi")
-
-
-def _touched(spark: SparkSession, path: str, days: list) -> DataFrame:
-    """Stored rows of the given days; the filter prunes partitions."""
-    known = F.col(DAY).isin([day for day in days if day is not None])
-    return _read(spark, path).where(known | F.col(DAY).isNull() if None in days else known)
+    return g.read(spark, root, "files").join(read_cases(spark, root).select("case_id"), "case_id", "left_semi")
 
 
-def _rewrite_without(spark: SparkSession, path: str, ids: DataFrame, key: str) -> None:
-    """Replace only the day folders that hold one of the ids, leaving every other row in place.
+def erase_cases(spark: SparkSession, root: str, ids: DataFrame) -> DataFrame:
+    """Remove cases for good, files and marker in one commit.  Safe to repeat.
 
-    Dynamic overwrite skips a folder without output, so each touched day also gets
-    one row without an id; otherwise the last case of a day would stay behind.
+    Returns per id how many objects went, its marker included, and whether it was found at all.
     """
-    # Only calendar days reach the driver, a few hundred per year at most; as literals
-    # they become partition filters, so other days are not even listed.
-    days = [row[0] for row in ids.select(created_date_of(F.col(key)).alias(DAY)).distinct().collect()]
-    touched = _touched(spark, path, days)
-    survivors = touched.where(F.col(key).isNotNull()).join(ids.select(key).distinct(), key, "left_anti")
-    placeholders = touched.select(DAY).distinct().select(
-        *[(F.col(DAY) if f.name == DAY else F.lit(None).cast(f.dataType)).alias(f.name) for f in touched.schema]
-    )
-    _write(survivors.select(*touched.columns).unionByName(placeholders), path, mode="overwrite")
+    files, cases = g.present(spark, root, "files"), g.present(spark, root, "cases")
+    none = spark.createDataFrame([], "case_id string, key string")
+    answer = stage(erased_objects(none if files is None else files, none if cases is None else cases, ids), "erased")
+    g.switch(spark, root, g.without(spark, root, "files", ids, "case_id") + g.without(spark, root, "cases", ids, "case_id"))
+    return answer
 
 
-def erase_cases(spark: SparkSession, root: str, ids: DataFrame) -> None:
-    """Remove cases for good: file rows first, marker rows last.  Safe to repeat."""
-    _rewrite_without(spark, f"{root}/files", ids, "case_id")
-    _rewrite_without(spark, f"{root}/cases", ids, "case_id")
+def discard_drafts(spark: SparkSession, root: str, ids: DataFrame) -> None:
+    """Remove drafts and their files in one commit; ids that are not there are ignored."""
+    g.switch(spark, root, g.without(spark, root, "draft_files", ids, "intake_id") + g.without(spark, root, "drafts", ids, "intake_id"))
 
 
-def discard_drafts(spark: SparkSession, root: str, ids: DataFrame) -> None:
-    """Remove drafts and their files; ids that are not there are ignored."""
-    _rewrite_without(spark, f"{root}/draft_files", ids, "intake_id")
-    _rewrite_without(spark, f"{root}/drafts", ids, "intake_id")
+def purge(spark: SparkSession, root: str) -> int:
+    """Delete what erasing, discarding and outdone versions have left behind."""
+    return g.purge(spark, root, TABLES)
 
 
 def write_listing(listing: DataFrame, path: str) -> None:
@@ -130,12 +99,13 @@ def write_listing(listing: DataFrame, path: str) -> None:
 
 
 def pretty_document(analysis: Column) -> Column:
-    """Indented JSON text of a compiled document: the envelope is spread over lines."""
-    return F.to_json(as_map(analysis), {"pretty": "true", "ignoreNullFields": "false"})
+    """Indented JSON text of a compiled document, two spaces a level."""
+    return pretty_json(F.to_json(analysis))
 
 
 def write_pretty(cases: DataFrame, path: str) -> None:
-    cases.select(pretty_document(F.col("analysis")).alias("value")).write.mode("overwrite").text(path)
+    """Indented documents as (case_id, text) rows, each text on its own in a JSON line."""
+    cases.select("case_id", pretty_document(F.col("analysis")).alias("document")).write.mode("overwrite").json(path)
 
 
 def write_requests(lines: DataFrame, path: str) -> None:

@@ -79,3 +79,16 @@ def test_pt_number(spark, thousandths):
         whole, rest = divmod(abs(row.x), 1000)
         fraction = f"{rest:03d}".rstrip("0")
         assert row.s == sign + f"{whole:,}".replace(",", ".") + ("," + fraction if fraction else "")
+
+
+@SETTINGS
+@given(st.lists(TREES | st.just({"t": ["a<b", "\\\"{x}:[1, 2],", {}, [], [[], [{"k": "é"}]]], "n": [1, 2.5, None, True]}), min_size=40, max_size=60))
+def test_pretty_matches_the_usual_indentation(spark, trees):
+    deep = {"z": 0}
+    for level in range(300):
+        deep = {"a": deep, "b": [level, [deep["z"] if "z" in deep else 1]]}
+    trees = [*trees, {}, deep, {"w": list(range(3000))}]
+    df = spark.createDataFrame([(i, json.dumps(t)) for i, t in enumerate(trees)], "i int, a string")
+    for row in df.select("i", text.pretty_json(F.to_json(F.parse_json("a"))).alias("p")).collect():
+        plain = json.dumps(trees[row.i], indent=2, ensure_ascii=False, sort_keys=True)
+        assert row.p == plain.replace("<", "\\u003c")

@@ -10,6 +10,7 @@ from chartloom.config import Limits
 from chartloom.operators.lifecycle import case_listing
 from chartloom.operators.normalize import parse_cases
 from chartloom.sources import files as fs
+from chartloom.sources import generations as g
 from chartloom.sources import tables as tb
 
 IDS = ["case-20240101T000000Z-00000001", "case-20240101T000000Z-00000002", "case-20240102T000000Z-00000003"]
@@ -50,24 +51,66 @@ def test_repeated_commit_adds_nothing_and_ids_without_a_day_can_go(spark, lake):
 
 
 def test_files_without_marker_are_invisible(spark, lake):
-    orphan = spark.createDataFrame([("case-20240103T000000Z-00000009", 0, "drafts/x/a.pdf")], "case_id string, file_index int, key string")
-    tb._write(orphan.withColumn(tb.DAY, F.to_date(F.lit("2024-01-03"))), f"{lake}/files")
+    orphan = spark.createDataFrame([("case-20240103T000000Z-00000009", 0, "drafts/x/a.pdf", 0)], "case_id string, file_index int, key string, version long")
+    g.switch(spark, lake, g.upsert(spark, lake, "files", orphan, ["case_id", "key"]))
     assert _ids(tb.read_files(spark, lake)) == IDS
 
 
 def test_erase_one_of_a_day_and_a_whole_day(spark, lake):
-    tb.erase_cases(spark, lake, spark.createDataFrame([(IDS[0],), (IDS[2],), ("case-20990101T000000Z-00000000",)], "case_id string"))
+    ids = [IDS[0], IDS[2], "case-20990101T000000Z-00000000"]
+    answer = tb.erase_cases(spark, lake, spark.createDataFrame([(i,) for i in ids], "case_id string"))
+    assert {tuple(r) for r in answer.collect()} == {(IDS[0], 3, "deleted"), (IDS[2], 3, "deleted"), (ids[2], 0, "not_found")}
     assert _ids(tb.read_cases(spark, lake)) == [IDS[1]] and _ids(tb.read_files(spark, lake)) == [IDS[1]]
-    assert "2099" not in "".join(p.name for p in Path(lake, "cases").iterdir())
+    assert tb.purge(spark, lake) == 4
+    assert not [p for p in Path(lake, "cases").rglob("*") if "20240102" in p.name or "2099" in p.name]
+    again = tb.erase_cases(spark, lake, spark.createDataFrame([(IDS[0],)], "case_id string"))
+    assert again.first().outcome == "not_found" and _ids(tb.read_cases(spark, lake)) == [IDS[1]] and tb.purge(spark, lake) == 0
+
+
+def test_a_job_that_dies_before_its_commit_changes_nothing(spark, lake, monkeypatch):
+    def die(*_):
+        raise RuntimeError("killed")
+
+    with monkeypatch.context() as m:
+        m.setattr(g, "switch", die)
+        for job in (
+            lambda: tb.erase_cases(spark, lake, spark.createDataFrame([(IDS[0],)], "case_id string")),
+            lambda: commit(spark, lake, IDS, 7),
+        ):
+            with pytest.raises(RuntimeError):
+                job()
+    assert _ids(tb.read_cases(spark, lake)) == IDS and tb.read_files(spark, lake).count() == 6
+    assert {r.version for r in tb.read_cases(spark, lake).collect()} == {0}
+    assert tb.purge(spark, lake) == 6  # what the dead jobs had written
     tb.erase_cases(spark, lake, spark.createDataFrame([(IDS[0],)], "case_id string"))
-    assert _ids(tb.read_cases(spark, lake)) == [IDS[1]]
+    assert _ids(tb.read_cases(spark, lake)) == IDS[1:] and tb.read_files(spark, lake).count() == 4
 
 
-def test_erase_reads_only_the_days_concerned(spark, lake):
-    import datetime as dt
+def commit(spark, lake, ids, version, name="n"):
+    cases = spark.createDataFrame([(i, json.dumps({"patient": {"full_name": f"{name}{version}"}}), version) for i in ids], "case_id string, raw string, version long")
+    files = spark.createDataFrame([(i, 0, "drafts/x/0-a.pdf", version) for i in ids], "case_id string, file_index int, key string, version long")
+    tb.commit_cases(parse_cases(cases).select("case_id", "analysis", "version"), files, lake)
 
-    plan = tb._touched(spark, f"{lake}/cases", [dt.date(2024, 1, 2)])._jdf.queryExecution().executedPlan().toString()
-    assert "PartitionFilters: [isnotnull(created_date" in plan and "2024-01-02" in plan
+
+@pytest.mark.parametrize("order", [(1, 3, 2), (3, 2, 1), (2, 1, 3)])
+def test_the_newest_version_wins_in_any_order(spark, tmp_path, order):
+    lake = str(tmp_path / "lake")
+    for version in order:
+        commit(spark, lake, IDS[: version], version)
+    names = {r.case_id: r.n for r in tb.read_cases(spark, lake).select("case_id", F.try_variant_get("analysis", "$.patient.full_name", "string").alias("n")).collect()}
+    assert names == dict.fromkeys(IDS, "n3") and tb.read_files(spark, lake).count() == 3
+    commit(spark, lake, [IDS[0], IDS[0]], 3, "other")
+    assert tb.read_cases(spark, lake).where("try_variant_get(analysis, '$.patient.full_name', 'string') <> 'n3'").count() == 0
+
+
+def test_cases_are_read_by_id_from_their_days_only(spark, lake):
+    some = spark.createDataFrame([(IDS[2],), ("case-20990101T000000Z-00000000",), (None,)], "case_id string")
+    rows = tb.read_cases(spark, lake, some)
+    assert _ids(rows) == [IDS[2]]
+    assert "PartitionFilters: [day" in rows._jdf.queryExecution().executedPlan().toString()
+
+
+def test_erase_takes_ids_without_a_case(spark, lake):
     tb.erase_cases(spark, lake, spark.createDataFrame([("not-an-id",), (None,)], "case_id string"))
     assert _ids(tb.read_cases(spark, lake)) == IDS
 
@@ -112,7 +155,8 @@ def test_read_list_and_skip_unreadable(spark, tmp_path):
     tb.write_listing(listing, str(tmp_path / "list"))
     assert spark.read.json(str(tmp_path / "list")).first().patientName == "Ana"
     tb.write_pretty(good, str(tmp_path / "pretty"))
-    assert spark.read.text(str(tmp_path / "pretty"), wholetext=True).where("value <> ''").first()[0].startswith("{\n  \"patient\"")
+    row = spark.read.json(str(tmp_path / "pretty")).first()
+    assert (row.case_id, row.document) == (IDS[0], '{\n  "patient": {\n    "full_name": "Ana"\n  }\n}')
 
 
 def test_silver_reads_only_used_paths(spark, tmp_path):
