@@ -40,6 +40,11 @@ def admit(
     )
     if intakes is not None:
         totals = intakes.select(intake).join(totals, intake, "left")
+    return verdicts(totals, limits, intake)
+
+
+def verdicts(totals: DataFrame, limits: Limits = Limits(), intake: str = "intake_no") -> DataFrame:
+    """Verdict of each set from its n_files, total_bytes, _body and _first (2 x index + fault of the first refused file)."""
     first = F.col("_first")
     reason = (
         F.when(F.coalesce(F.col("n_files"), F.lit(0)) == 0, "no_files")

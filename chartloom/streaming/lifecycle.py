@@ -30,6 +30,11 @@ def table_stream(spark: SparkSession, sf_dir: str, name: str, **options: str) ->
     return reader.parquet(path)
 
 
+def run_folder(spark: SparkSession, name: str) -> str:
+    """A folder of its own for one run in the shared folder; a job that has to resume is given a fixed one instead."""
+    return f"{shared_dir(spark)}/streams/{name}-{uuid.uuid4().hex}"
+
+
 def drain(stream: DataFrame, name: str) -> DataFrame:
     """Run a job over everything available and return its output table."""
     spark = stream.sparkSession
