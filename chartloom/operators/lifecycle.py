@@ -6,9 +6,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from chartloom import config as c
-from chartloom.functions.ids import case_id_of, case_key
+from chartloom.functions.ids import case_id_of, case_key, valid_intake_id
 from chartloom.functions.text import initials
-from chartloom.functions.variants import at
+from chartloom.functions.variants import at, is_object
 from chartloom.operators.staging import evaluate_once, join_splittable
 
 
@@ -50,6 +50,29 @@ def confirm_outcome(
     )
 
 
+def route_confirms(requests: DataFrame, drafts: DataFrame, cases: DataFrame, requested_at: str = "requested_at", ttl_hours: int = 24) -> DataFrame:
+    """Answer every confirm request (intake_id, …) in one pass, with the reason.
+
+    ``invalid_id``, ``not_found``, ``already_confirmed``, ``undecodable`` (the stored draft is no JSON object), ``invalid_or_expired``
+    and ``confirmed``.  ``drafts`` (intake_id, created_at, analysis, manifest_ok) and ``cases`` (case_id) hold one row per id.
+    Only flags travel through the joins.
+    """
+    flags = drafts.select(
+        "intake_id", "created_at", "manifest_ok", F.coalesce(is_object(F.col("analysis")), F.lit(False)).alias("_readable"), F.lit(True).alias("_draft")
+    )
+    stored = cases.select(F.concat(F.lit("intake-"), F.substring_index("case_id", "case-", -1)).alias("intake_id"), F.lit(True).alias("_case"))
+    usable = ~is_expired(F.col("created_at"), F.col(requested_at), ttl_hours) & F.col("manifest_ok")
+    outcome = (
+        F.when(~valid_intake_id(F.col("intake_id")), "invalid_id")
+        .when(F.col("_draft") & ~F.col("_readable"), "undecodable")
+        .when(F.col("_draft"), F.when(usable, "confirmed").otherwise("invalid_or_expired"))
+        .when(F.col("_case"), "already_confirmed")
+        .otherwise("not_found")
+    )
+    both = join_splittable(join_splittable(requests, flags, ["intake_id"], "left"), stored, ["intake_id"], "left")
+    return both.select(*requests.columns, F.when(F.col("intake_id").isNull(), "invalid_id").otherwise(outcome).alias("outcome"))
+
+
 def draft_states(
     drafts: DataFrame, requests: DataFrame, key: str, as_of: Column, ttl_hours: int = 24
 ) -> DataFrame:

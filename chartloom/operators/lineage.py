@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from chartloom import config as c
 from chartloom.functions.ids import owned_by_case, promoted_key
 from chartloom.functions.text import basename
-from chartloom.functions.variants import as_map, at
+from chartloom.functions.variants import OBJECT_MAP, as_list, as_map, at, is_object, text
 from chartloom.operators.staging import evaluate_once, join_splittable
 
 
@@ -62,6 +62,69 @@ def with_defaults(analysis: Column, generated_on: dt.date) -> Column:
     return F.to_variant_object(F.map_zip_with(as_map(analysis), extra, lambda _k, old, new: F.coalesce(old, new)))
 
 
+def gather_files(files: DataFrame, intake: str = "intake_no") -> DataFrame:
+    """(intake, _uploads): the files of each admitted set in upload order.
+
+    Admission bounds the bytes and name lengths of a set, so no group can outgrow one document.  Bytes stay out of it.
+    """
+    entry = F.struct("file_index", "filename", "content_type", "size_bytes", "sha256", "key")
+    return files.groupBy(intake).agg(F.array_sort(F.collect_list(entry)).alias("_uploads"))
+
+
+def _with(members: Column, changes: dict[str, Column]) -> Column:
+    """An object with some members set."""
+    new = F.create_map(*[part for key, value in changes.items() for part in (F.lit(key), value.cast("variant"))])
+    empty = F.expr(f"cast(map() as {OBJECT_MAP})")
+    return F.to_variant_object(F.map_zip_with(F.coalesce(members, empty), new, lambda _k, old, changed: F.coalesce(changed, old)))
+
+
+def enriched_document(analysis: Column, uploads: Column) -> Column:
+    """The document with one source entry per upload, in upload order, inside the row.
+
+    An entry keeps every member of the first listed source that names the file by the base name of its path or by file
+    name, and gets the upload's index, path, type, size and hash.  Listed sources without a file go.
+    """
+    listed = F.filter(F.coalesce(as_list(at(analysis, "source_files")), F.array().cast("array<variant>")), is_object)
+
+    def entry(file: Column) -> Column:
+        def names(source: Column) -> Column:
+            path = basename(F.coalesce(text(at(source, "path")), F.lit("")))
+            return (path == file["filename"]) | F.coalesce(text(at(source, "filename")) == file["filename"], F.lit(False))
+
+        return _with(as_map(F.get(F.filter(listed, names), F.lit(0))), {
+            "index": file["file_index"], "path": file["filename"], "type": file["content_type"],
+            "size_bytes": file["size_bytes"], "sha256": file["sha256"],
+        })
+
+    sources = F.to_variant_object(F.transform(uploads, entry))
+    return _with(as_map(analysis), {"source_files": sources})
+
+
+def document_matches(analysis: Column, uploads: Column) -> Column:
+    """Do the document's sources and the stored files agree position by position?  The row-local form of ``verify_manifest``."""
+    sources = as_list(at(analysis, "source_files"))
+
+    def fine(file: Column, place: Column) -> Column:
+        source = F.get(sources, place)
+        return (
+            (text(at(source, "sha256")) == file["sha256"]) & (basename(text(at(source, "path"))) == file["filename"])
+            & file["key"].startswith("drafts/")
+        )
+
+    pairs = F.transform(uploads, lambda file, place: F.coalesce(fine(file, place), F.lit(False)))
+    return F.coalesce((F.size(sources) == F.size(uploads)) & F.forall(pairs, lambda ok: ok), F.lit(False))
+
+
+def promoted_document(analysis: Column, case_id: Column, uploads: Column) -> Column:
+    """The document with the path of each source rewritten to the case key of the file at its position."""
+    def moved(source: Column, place: Column) -> Column:
+        key = promoted_key(case_id, F.get(uploads, place)["key"])
+        return F.when(is_object(source) & key.isNotNull(), _with(as_map(source), {"path": key})).otherwise(source)
+
+    sources = F.transform(as_list(at(analysis, "source_files")), moved)
+    return F.when(sources.isNotNull(), _with(as_map(analysis), {"source_files": F.to_variant_object(sources)})).otherwise(analysis)
+
+
 def verify_manifest(files: DataFrame, sources: DataFrame, intake: str = "intake_no") -> DataFrame:
     """Per intake: do stored files and analysed sources agree position by position?
 

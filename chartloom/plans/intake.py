@@ -19,7 +19,6 @@ from chartloom.plans import checks
 from chartloom.plans.registry import query
 from chartloom.sources import corpus
 from chartloom.sources.extraction import fold_responses, request_lines, request_parts
-from chartloom.sources.files import scan_files
 
 SMALL = Limits(max_file=8_000, max_set=12_000)
 PROMPT = "Leia os exames e devolva um objeto JSON."
@@ -98,12 +97,6 @@ def file_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-@query(name="stored_file_set")
-def stored_file_set(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The table files themselves as a scanned file set: name, size, hash within the size bound."""
-    return scan_files(spark, sf_dir).select("filename", "size_bytes", "sha256")
-
-
 _ADMIT = f"""t AS (
   SELECT intake_no, CAST(count(*) AS BIGINT) AS n_files, CAST(sum(size_bytes) AS BIGINT) AS total_bytes,
          CAST(sum(size_bytes + strlen(filename) + strlen(content_type)) AS BIGINT) AS body,

@@ -1,4 +1,4 @@
-"""Tables whose days are replaced as a whole: new files first, one small commit last.
+"""Tables whose days (or months) are replaced as a whole: new files first, one small commit last.
 
 Layout below a root:
 
@@ -8,7 +8,7 @@ Layout below a root:
 A commit adds a generation to the live ones of a table and day, or replaces them.  Rows of a generation that no commit
 names are not there for readers, so a job that dies before its commit leaves every earlier row in place
 and can be run again.  One commit may name several tables; they change together.  Folders that are not live any
-more go with ``purge``.  One writer at a time per root.
+more go with ``purge``.  One writer at a time per root, and one period for all that is done with it.
 """
 
 from __future__ import annotations
@@ -27,9 +27,13 @@ COMMITS = "_commits"
 COMMIT_SCHEMA = "table string, gen string, day string, replaces boolean, commit long"
 
 
-def day_of(key: Column) -> Column:
-    """Folder of the UTC day that an id carries; ids without one share a folder."""
-    return F.coalesce(F.date_format(created_date_of(key), "'d'yyyyMMdd"), F.lit("none"))
+#: Date patterns of the folders: one per day, or one per month for tables with few rows a day.
+DAILY, MONTHLY = "yyyyMMdd", "yyyyMM"
+
+
+def day_of(key: Column, period: str = DAILY) -> Column:
+    """Folder of the UTC day (or month) that an id carries; ids without one share a folder."""
+    return F.coalesce(F.date_format(created_date_of(key), f"'d'{period}"), F.lit("none"))
 
 
 def _read_or_none(read) -> DataFrame | None:
@@ -69,12 +73,12 @@ def present(spark: SparkSession, root: str, table: str, days: list[str] | None =
     return _read_or_none(lambda: read(spark, root, table, days))
 
 
-def add_generation(rows: DataFrame, root: str, table: str, key: str) -> str:
+def add_generation(rows: DataFrame, root: str, table: str, key: str, period: str = DAILY) -> str:
     """Write rows to a generation of their own, which no reader sees before a commit names it."""
     gen = f"g{uuid.uuid4().hex}"
     # One shuffle by day keeps the number of files per folder low; AQE splits a day
     # that is much larger than the others.
-    rows.withColumn(DAY, day_of(F.col(key))).hint("rebalance", DAY).write.partitionBy(DAY).parquet(f"{root}/{table}/gen={gen}")
+    rows.withColumn(DAY, day_of(F.col(key), period)).hint("rebalance", DAY).write.partitionBy(DAY).parquet(f"{root}/{table}/gen={gen}")
     return gen
 
 
@@ -93,7 +97,7 @@ def switch(spark: SparkSession, root: str, changes: list[tuple[str, str | None,
     rows.coalesce(1).write.parquet(f"{root}/{COMMITS}/commit={last + 1}")
 
 
-def upsert(spark: SparkSession, root: str, table: str, incoming: DataFrame, keys: list[str]) -> list[tuple[str, str | None, str, bool]]:
+def upsert(spark: SparkSession, root: str, table: str, incoming: DataFrame, keys: list[str], period: str = DAILY) -> list[tuple[str, str | None, str, bool]]:
     """Write rows so that the highest ``version`` of each key stays; returns the changes to commit.
 
     ``incoming`` has a column ``version``.  Of equal versions the stored one stays, and of several in one call the one
@@ -102,14 +106,14 @@ def upsert(spark: SparkSession, root: str, table: str, incoming: DataFrame, keys
     """
     names = incoming.columns
     best = incoming.groupBy(*keys).agg(F.max_by(F.struct(*names), F.struct("version", F.to_json(F.struct(*names)))).alias("_row"))
-    rows = best.select(*[F.col(f"_row.{name}").alias(name) for name in names]).withColumn(DAY, day_of(F.col(keys[0])))
+    rows = best.select(*[F.col(f"_row.{name}").alias(name) for name in names]).withColumn(DAY, day_of(F.col(keys[0]), period))
     spool = f"{root}/_incoming/{uuid.uuid4().hex}"
     rows.write.parquet(spool)
     rows = spark.read.parquet(spool)
     days = [row[0] for row in rows.select(DAY).distinct().collect()]
     stored = present(spark, root, table, days)
     if stored is None:
-        gen = add_generation(rows.drop(DAY), root, table, keys[0])
+        gen = add_generation(rows.drop(DAY), root, table, keys[0], period)
         return [(table, gen, day, False) for day in days]
     same = [F.col(f"n.{key}").eqNullSafe(F.col(f"s.{key}")) for key in keys]
     versions = stored.select(*keys, F.col("version").alias("_stored"))
@@ -122,24 +126,24 @@ def upsert(spark: SparkSession, root: str, table: str, incoming: DataFrame, keys
         over = fresh.select(*keys).alias("n")
         kept = old.alias("s").join(over, same, "left_anti")
         fresh = fresh.unionByName(kept.select("s.*"), allowMissingColumns=True)
-    gen = add_generation(fresh, root, table, keys[0])
+    gen = add_generation(fresh, root, table, keys[0], period)
     return [(table, gen, day, day in outdone) for day in written_days(spark, root, table, gen)]
 
 
-def without(spark: SparkSession, root: str, table: str, ids: DataFrame, key: str) -> list[tuple[str, str | None, str, bool]]:
+def without(spark: SparkSession, root: str, table: str, ids: DataFrame, key: str, period: str = DAILY) -> list[tuple[str, str | None, str, bool]]:
     """Write the days that hold one of the ids again without them; returns the changes to commit.
 
     Only calendar days reach the driver; as literals they become partition filters, so other days are not even listed.
     """
     wanted = ids.select(key).where(F.col(key).isNotNull()).distinct()
-    days = [row[0] for row in wanted.select(day_of(F.col(key)).alias(DAY)).distinct().collect()]
+    days = [row[0] for row in wanted.select(day_of(F.col(key), period).alias(DAY)).distinct().collect()]
     stored = present(spark, root, table, days)
     if stored is None:
         return []
-    hit = [row[0] for row in stored.join(wanted, key, "left_semi").select(day_of(F.col(key)).alias(DAY)).distinct().collect()]
+    hit = [row[0] for row in stored.join(wanted, key, "left_semi").select(day_of(F.col(key), period).alias(DAY)).distinct().collect()]
     if not hit:
         return []
-    gen = add_generation(read(spark, root, table, hit).join(wanted, key, "left_anti"), root, table, key)
+    gen = add_generation(read(spark, root, table, hit).join(wanted, key, "left_anti"), root, table, key, period)
     left = set(written_days(spark, root, table, gen))
     return [(table, gen if day in left else None, day, True) for day in hit]
 

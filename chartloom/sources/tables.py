@@ -24,14 +24,14 @@ def _versioned(rows: DataFrame) -> DataFrame:
     return rows if "version" in rows.columns else rows.withColumn("version", F.lit(0).cast("bigint"))
 
 
-def write_drafts(drafts: DataFrame, files: DataFrame, root: str) -> None:
+def write_drafts(drafts: DataFrame, files: DataFrame, root: str, period: str = g.DAILY) -> None:
     """Stage drafts (intake_id, created_at, analysis) with their file rows (intake_id, …, key).
 
     Rows may carry a ``version``; the highest one of a draft or file stays, in whatever order they arrive.
     """
     spark = drafts.sparkSession
-    changes = g.upsert(spark, root, "draft_files", _versioned(files), ["intake_id", "key"])
-    g.switch(spark, root, changes + g.upsert(spark, root, "drafts", _versioned(drafts), ["intake_id"]))
+    changes = g.upsert(spark, root, "draft_files", _versioned(files), ["intake_id", "key"], period)
+    g.switch(spark, root, changes + g.upsert(spark, root, "drafts", _versioned(drafts), ["intake_id"], period))
 
 
 def read_drafts(spark: SparkSession, root: str) -> DataFrame:
@@ -42,7 +42,7 @@ def read_draft_files(spark: SparkSession, root: str) -> DataFrame:
     return g.read(spark, root, "draft_files")
 
 
-def commit_cases(cases: DataFrame, files: DataFrame, root: str) -> None:
+def commit_cases(cases: DataFrame, files: DataFrame, root: str, period: str = g.DAILY) -> None:
     """Write file rows (case_id, file_index, key, …) and the marker rows, which appear together.
 
     Keys move from the draft area to the case area on the way.  A run that dies in
@@ -50,16 +50,16 @@ def commit_cases(cases: DataFrame, files: DataFrame, root: str) -> None:
     """
     spark = cases.sparkSession
     moved = files.withColumn("key", promoted_key(F.col("case_id"), F.col("key")))
-    changes = g.upsert(spark, root, "files", _versioned(moved), ["case_id", "key"])
-    g.switch(spark, root, changes + g.upsert(spark, root, "cases", _versioned(cases), ["case_id"]))
+    changes = g.upsert(spark, root, "files", _versioned(moved), ["case_id", "key"], period)
+    g.switch(spark, root, changes + g.upsert(spark, root, "cases", _versioned(cases), ["case_id"], period))
 
 
-def read_cases(spark: SparkSession, root: str, ids: DataFrame | None = None) -> DataFrame:
+def read_cases(spark: SparkSession, root: str, ids: DataFrame | None = None, period: str = g.DAILY) -> DataFrame:
     """Committed cases, those of ``ids`` (case_id) if given: their days become partition filters."""
     if ids is None:
         return g.read(spark, root, "cases")
     wanted = ids.select("case_id").distinct()
-    days = [row[0] for row in wanted.select(g.day_of(F.col("case_id"))).distinct().collect()]
+    days = [row[0] for row in wanted.select(g.day_of(F.col("case_id"), period)).distinct().collect()]
     return g.read(spark, root, "cases", days).join(wanted, "case_id", "left_semi")
 
 
@@ -68,7 +68,7 @@ def read_files(spark: SparkSession, root: str) -> DataFrame:
     return g.read(spark, root, "files").join(read_cases(spark, root).select("case_id"), "case_id", "left_semi")
 
 
-def erase_cases(spark: SparkSession, root: str, ids: DataFrame) -> DataFrame:
+def erase_cases(spark: SparkSession, root: str, ids: DataFrame, period: str = g.DAILY) -> DataFrame:
     """Remove cases for good, files and marker in one commit.  Safe to repeat.
 
     Returns per id how many objects went, its marker included, and whether it was found at all.
@@ -76,13 +76,15 @@ def erase_cases(spark: SparkSession, root: str, ids: DataFrame) -> DataFrame:
     files, cases = g.present(spark, root, "files"), g.present(spark, root, "cases")
     none = spark.createDataFrame([], "case_id string, key string")
     answer = stage(erased_objects(none if files is None else files, none if cases is None else cases, ids), "erased")
-    g.switch(spark, root, g.without(spark, root, "files", ids, "case_id") + g.without(spark, root, "cases", ids, "case_id"))
+    changes = g.without(spark, root, "files", ids, "case_id", period)
+    g.switch(spark, root, changes + g.without(spark, root, "cases", ids, "case_id", period))
     return answer
 
 
-def discard_drafts(spark: SparkSession, root: str, ids: DataFrame) -> None:
+def discard_drafts(spark: SparkSession, root: str, ids: DataFrame, period: str = g.DAILY) -> None:
     """Remove drafts and their files in one commit; ids that are not there are ignored."""
-    g.switch(spark, root, g.without(spark, root, "draft_files", ids, "intake_id") + g.without(spark, root, "drafts", ids, "intake_id"))
+    changes = g.without(spark, root, "draft_files", ids, "intake_id", period)
+    g.switch(spark, root, changes + g.without(spark, root, "drafts", ids, "intake_id", period))
 
 
 def purge(spark: SparkSession, root: str) -> int:
