@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from chartloom.llm.common import fold, stage, text_groups, whole_text
+from chartloom.llm.common import fold, free_name, stage, text_groups, whole_text
 
 PASSAGE_CHARS = 1500
 SAMPLE_PASSAGES = 3000
@@ -143,8 +143,8 @@ def fit(docs: DataFrame, labels: DataFrame, folds: int = 5) -> Model:
     return Model(model.good, model.bad, tuple(curve.tolist()))
 
 
-def measure(docs: DataFrame, model: Model, score: str | None = None) -> DataFrame:
-    """All columns of ``docs``, the ``sizes`` of the text and, if named, the score of the curve."""
+def measure(docs: DataFrame, model: Model, score: str | None = None, sizes_as: str = "sizes") -> DataFrame:
+    """All columns of ``docs``, the sizes of the text and, if named, the score of the curve."""
     fields = ", ".join(f"`{name}` {kind}" for name, kind in docs.dtypes)
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
@@ -159,11 +159,13 @@ def measure(docs: DataFrame, model: Model, score: str | None = None) -> DataFram
             if score:
                 x = features(np.array(rows))[:, -len(m.curve):]
                 columns.append(pa.array(1 / (1 + np.exp(-np.clip(x @ np.array(m.curve), -30, 30)))))
-            yield pa.RecordBatch.from_arrays(columns, names=[*batch.schema.names, "sizes", *[score] * bool(score)])
+            yield pa.RecordBatch.from_arrays(columns, names=[*batch.schema.names, sizes_as, *[score] * bool(score)])
 
-    return docs.mapInArrow(run, f"{fields}, sizes array<long>" + f", `{score}` double" * bool(score))
+    return docs.mapInArrow(run, f"{fields}, `{sizes_as}` array<long>" + f", `{score}` double" * bool(score))
 
 
 def score(docs: DataFrame, model: Model, column: str = "score") -> DataFrame:
-    """All columns of ``docs`` and the score, 0 to 1."""
-    return measure(docs, model, column).drop("sizes")
+    """All columns of ``docs`` and the score, 0 to 1; a column that has the score's name already gives way to it."""
+    docs = docs.drop(column)
+    sizes_as = free_name(docs, "sizes")
+    return measure(docs, model, column, sizes_as).drop(sizes_as)

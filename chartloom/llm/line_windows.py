@@ -7,8 +7,8 @@ go once.  Windows are compared by two 64-bit hashes of their lines.
 
 A null text is an empty text for the counts and stays null.  Texts with fewer than three lines
 have no window.  Rows without an id come first; rows with the same id are ordered by a hash of
-their texts, and rows equal in both are one document listed twice with equal results.  Other columns pass unchanged, even if named
-like the added ones' sources; an empty table gives an empty result.
+their texts, and rows equal in both are one document listed twice with equal results.  Other columns pass unchanged, whatever their names, but for
+``n_lines`` and ``n_removed``, which are replaced; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -72,17 +72,20 @@ def kept_lines(lines: Column, starts: Column) -> Column:
 
 
 def dedup_lines(docs: DataFrame) -> DataFrame:
-    """All columns with the text cut, and n_lines, n_removed."""
+    """All columns with the text cut, and n_lines, n_removed; columns of these two names give way to them."""
     columns = [c for c in docs.columns if c not in ("text", "n_lines", "n_removed")]
-    rows = docs.withColumns({"_key": F.col("doc_id").cast("long"), "_hash": F.xxhash64(whole_text())})
-    later = later_windows(docs)
-    joined = rows.join(later, F.col("_key").eqNullSafe(F.col("_id")) & (F.col("_hash") == F.col("_th")), "left")
-    lines = F.split(whole_text(), "\n")
+    # The caller's columns travel in one struct, so that none can clash with a name used here.
+    rows = docs.select(
+        F.struct(*columns).alias("_row"), F.col("text").alias("_whole"), F.col("doc_id").cast("long").alias("_key"), F.xxhash64(whole_text()).alias("_hash"),
+    )
+    joined = rows.join(later_windows(docs), F.col("_key").eqNullSafe(F.col("_id")) & (F.col("_hash") == F.col("_th")), "left")
+    lines = F.split(whole_text("_whole"), "\n")
     cut = joined.select(
-        *columns, F.col("text").alias("_whole"), F.size(lines).cast("long").alias("n_lines"),
+        "_row", "_whole", F.size(lines).cast("long").alias("n_lines"),
         F.when(F.col("starts").isNotNull(), kept_lines(lines, F.col("starts"))).alias("_kept"),
     )
     return cut.select(
-        *columns, F.when(F.col("_kept").isNull(), F.col("_whole")).otherwise(F.array_join("_kept", "\n")).alias("text"), "n_lines",
+        *[F.col("_row").getField(c).alias(c) for c in columns],
+        F.when(F.col("_kept").isNull(), F.col("_whole")).otherwise(F.array_join("_kept", "\n")).alias("text"), "n_lines",
         F.when(F.col("_kept").isNull(), 0).otherwise(F.col("n_lines") - F.size("_kept")).cast("long").alias("n_removed"),
     )

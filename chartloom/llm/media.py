@@ -5,8 +5,10 @@ sample) and uncompressed BMP with 8, 24 or 32 bits a pixel.  Bytes that are no s
 decode to ``None`` and give null results.  Resizing takes the mean over each target cell,
 read from an integral image in whole numbers, so equal images give equal tiles everywhere.
 
-For ``payload_media``: a null text is an empty text; texts of any length become one image
-of 64 RGB pixels a row; equal texts give equal rows.  Other columns are ignored.
+``stored_media`` writes the images of texts as a table and reads it back; ``stored_features`` decodes what was read and writes
+NPY tiles and digests as another table.  A null text is an empty text; texts of any length become one image
+of 64 RGB pixels a row; equal texts give equal rows.  Rows without an id and repeated rows are kept as they are; an empty table gives empty
+tables.  Other columns are ignored.  ``tiles`` replaces columns named like those it adds.
 """
 
 from __future__ import annotations
@@ -23,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from chartloom.llm.common import whole_text
+from chartloom.llm.common import text_groups, whole_text, work_path
 
 #: A payload row: 64 pixels of 3 samples.
 ROW_BYTES = 192
@@ -173,6 +175,7 @@ def tiles(media: DataFrame, column: str = "media") -> DataFrame:
                 pa.array([t for t, _ in done], pa.binary()), pa.array([h for _, h in done], pa.string()),
             ], names=[*batch.schema.names, "height", "width", "tile", "dhash"])
 
+    media = media.drop("height", "width", "tile", "dhash")
     fields = ", ".join(f"`{name}` {kind}" for name, kind in media.dtypes)
     return media.mapInArrow(run, fields + ", height int, width int, tile binary, dhash string")
 
@@ -183,12 +186,12 @@ def text_media(docs: DataFrame, form: str = "ppm") -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = batch.column(1).cast(pa.binary()).to_pylist()
-            media = [write(payload_image(text)) for text in texts]
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(map(len, texts), pa.int64()), pa.array(media, pa.binary())],
-                names=["doc_id", "n_bytes", "media"],
-            )
+            for at, texts in text_groups(batch):
+                media = [write(payload_image(text)) for text in texts]
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column(0).slice(at, len(texts)), pa.array(list(map(len, texts)), pa.int64()), pa.array(media, pa.binary())],
+                    names=["doc_id", "n_bytes", "media"],
+                )
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), whole_text().alias("text"))
     return rows.mapInArrow(run, "doc_id long, n_bytes long, media binary")
@@ -215,8 +218,24 @@ def media_features(media: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [features(x) for x in batch.column(2).to_pylist()]
-            made = [pa.array([row[i] for row in found], kind) for i, kind in enumerate(kinds)]
-            yield pa.RecordBatch.from_arrays([*batch.columns[:2], *made], names=names)
+            for at, stored in text_groups(batch, "media"):
+                found = [features(x) for x in stored]
+                made = [pa.array([row[i] for row in found], kind) for i, kind in enumerate(kinds)]
+                yield pa.RecordBatch.from_arrays([*(c.slice(at, len(found)) for c in batch.columns[:2]), *made], names=names)
 
     return media.mapInArrow(run, schema)
+
+
+def _stored(rows: DataFrame, path: str) -> DataFrame:
+    rows.write.option("compression", "zstd").parquet(path)
+    return rows.sparkSession.read.schema(rows.schema).parquet(path)
+
+
+def stored_media(docs: DataFrame, form: str = "ppm", path: str | None = None) -> DataFrame:
+    """The image table of all texts, written (below the shared folder if no path is given) and read back."""
+    return _stored(text_media(docs, form), path or work_path(docs.sparkSession, "media"))
+
+
+def stored_features(media: DataFrame, path: str | None = None) -> DataFrame:
+    """The table of NPY tiles and digests of stored images, written and read back."""
+    return _stored(media_features(media), path or work_path(media.sparkSession, "tiles"))

@@ -13,7 +13,7 @@ from chartloom.llm.common import fold, read_table, whole_text
 
 
 def op1_media(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return media.media_features(media.text_media(read_table(spark, sf_dir, "documents"))).drop("tile")
+    return media.stored_features(media.stored_media(read_table(spark, sf_dir, "documents"))).drop("tile")
 
 
 def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -5,11 +5,12 @@ its first path segment), ``action`` (add or remove) and ``at``.  Consecutive ent
 intervals [from, to) in which it is active.  Every capture looks up its keys among intervals that hold its
 fetch time, so later changes of a list never judge earlier captures.
 
-Intervals are cut at the borders of ``PERIOD`` days and joined on key and period: a key with a long
-history or with a third of all captures is spread over periods, and a hot pair can be
-split at run time.
+Captures fall into periods of ``PERIOD`` days.  An interval is listed once for each period in which its key has captures, however long
+it lasts, and joined on key and period: a key with a long history or with a third of all captures is spread over
+periods, and a hot pair can be split at run time.
 
-Captures with a null URL, no host or no fetch time match nothing and stay in the result.  Of several entries of a
+Captures with a null URL, no host or no fetch time match nothing, meet no join and stay in the result.  Columns named
+``blocked`` and ``lists`` are replaced; all others pass unchanged, whatever their names.  Of several entries of a
 key at the same time a removal wins.  Repeated captures each get their verdict; an empty list blocks nothing.
 """
 
@@ -60,19 +61,27 @@ def _period(time: Column) -> Column:
     return F.floor(F.unix_timestamp(time) / F.lit(PERIOD * _DAY)).cast("long")
 
 
+def active_cells(asked: DataFrame, entries: DataFrame) -> DataFrame:
+    """list, valid_from, valid_to per key and period: intervals where and when ``asked`` (key, period) has captures."""
+    cells = asked.select("key", "period").distinct()
+    spans = intervals(entries).withColumn("first", _period(F.col("valid_from"))).withColumn("last", _period(F.col("valid_to")))
+    within = (F.col("period") >= F.col("first")) & (F.col("last").isNull() | (F.col("period") <= F.col("last")))
+    return join_splittable(cells, spans, ["key"], "inner").where(within).select("key", "period", "list", "valid_from", "valid_to")
+
+
 def judge_captures(captures: DataFrame, entries: DataFrame) -> DataFrame:
     """All columns of ``captures`` (url, fetch_time), ``blocked`` and the sorted names of the lists that block."""
-    asked = captures.select("url", "fetch_time").where("url IS NOT NULL AND fetch_time IS NOT NULL").distinct()
+    columns = [c for c in captures.columns if c not in ("blocked", "lists")]
+    rows = captures.select(F.struct(*columns).alias("row"), "url", "fetch_time")
+    complete = F.col("url").isNotNull() & F.col("fetch_time").isNotNull()
+    asked = rows.where(complete).select("url", "fetch_time").distinct()
     asked = asked.select("url", "fetch_time", _period(F.col("fetch_time")).alias("period"), F.explode(F.array_distinct(keys_of(F.col("url")))).alias("key"))
-    last = captures.agg(F.max("fetch_time")).first()[0]
-    end = F.least(F.coalesce("valid_to", F.lit(last)), F.lit(last))
-    active = intervals(entries).where(F.col("valid_from") <= F.lit(last)).withColumn(
-        "period", F.explode(F.sequence(_period(F.col("valid_from")), F.greatest(_period(end), _period(F.col("valid_from")))))
-    )
-    found = join_splittable(asked, active, ["key", "period"], "inner").where(
+    found = join_splittable(asked, active_cells(asked, entries), ["key", "period"], "inner").where(
         (F.col("valid_from") <= F.col("fetch_time")) & (F.col("valid_to").isNull() | (F.col("fetch_time") < F.col("valid_to")))
     )
-    verdicts = found.groupBy("url", "fetch_time").agg(F.array_join(F.sort_array(F.collect_set("list")), ",").alias("_lists"))
-    return captures.join(verdicts, ["url", "fetch_time"], "left").select(
-        *[captures[c] for c in captures.columns], F.col("_lists").isNotNull().alias("blocked"), F.coalesce("_lists", F.lit("")).alias("lists")
+    verdicts = found.groupBy("url", "fetch_time").agg(F.array_join(F.sort_array(F.collect_set("list")), ",").alias("lists"))
+    judged = join_splittable(rows.where(complete), verdicts, ["url", "fetch_time"], "left").select("row", "lists")
+    rest = rows.where(~complete).select("row", F.lit(None).cast("string").alias("lists"))
+    return judged.unionByName(rest).select(
+        *[F.col("row").getField(c).alias(c) for c in columns], F.col("lists").isNotNull().alias("blocked"), F.coalesce("lists", F.lit("")).alias("lists")
     )

@@ -44,7 +44,24 @@ def test_both_forms_have_the_same_features(make):
     assert ppm == bmp
 
 
+def test_features_come_from_what_was_stored(spark, make, tmp_path):
+    path = f"file://{tmp_path}/media"
+    stored = media.stored_media(make(EDGE), path=path)
+    rows = {(r["doc_id"], r["n_bytes"]): r["payload_sha256"] for r in media.stored_features(stored).collect()}
+    assert len(rows) == len(set(EDGE))
+    # One damaged byte in the stored table shows in its row and in no other.
+    damaged = stored.selectExpr("doc_id", "n_bytes", "CASE WHEN doc_id = 5 THEN unhex(regexp_replace(hex(media), '..$', '00')) ELSE media END AS media")
+    damaged.write.parquet(f"{path}-2")
+    again = media.stored_features(spark.read.parquet(f"{path}-2"), f"{path}-tiles")
+    changed = {(r["doc_id"], r["n_bytes"]) for r in again.collect() if rows[r["doc_id"], r["n_bytes"]] != r["payload_sha256"]}
+    assert {d for d, _ in changed} == {5}
+    tile = spark.read.parquet(f"{path}-tiles").first()["tile"]
+    assert np.load(io.BytesIO(tile)).shape == media.TILE
+
+
 def test_media_of_empty_table(make):
+    assert media.stored_features(media.stored_media(make([]))).count() == 0
+
     assert media.media_features(media.text_media(make([]))).count() == 0
 
 
@@ -85,7 +102,7 @@ def test_area_resize_is_the_mean_of_each_cell(height, width, seed):
 
 def test_tiles_of_stored_images(spark):
     image = media.encode_netpbm(np.arange(48, dtype=np.uint8).reshape(4, 4, 3))
-    stored = spark.createDataFrame([(1, image), (2, b"no image"), (3, None)], "id int, media binary")
+    stored = spark.createDataFrame([(1, image), (2, b"no image"), (3, None)], "id int, media binary").selectExpr("*", "'x' AS tile", "0 AS height")
     rows = {r["id"]: r for r in media.tiles(stored).collect()}
     assert (rows[1]["height"], rows[1]["width"]) == (4, 4) and rows[1]["dhash"] == "7e" * 8
     assert rows[2]["tile"] is None and rows[3]["dhash"] is None

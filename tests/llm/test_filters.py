@@ -47,6 +47,13 @@ def test_quality_never_learns_from_the_held_out_fold(spark, make):
     assert ids == {i for i in range(200) if zlib.crc32(str(i).encode()) % 5}
 
 
+def test_quality_keeps_columns_with_its_own_names(spark, make):
+    docs = make(EDGE).selectExpr("*", "7 AS sizes", "8 AS _sizes", "9 AS score")
+    out = compression.score(docs, compression.Model(b"", b"", (0.0,)))
+    assert out.columns == [*docs.drop("score").columns, "score"]
+    assert {(r["sizes"], r["_sizes"], r["score"]) for r in out.collect()} == {(7, 8, 0.5)}
+
+
 def test_quality_edge_cases(spark, make):
     labels = spark.createDataFrame([(1, 1, 0), (4, 1, 0)], "doc_id long, quality int, toxic int")
     scored = compression.score(make(EDGE), compression.fit(make(EDGE), labels)).collect()
@@ -348,6 +355,13 @@ def test_line_windows_match_brute_force(make):
     assert got == brute_lines(rows)
 
 
+def test_line_windows_keep_columns_with_their_own_names(make):
+    docs = make(EDGE).selectExpr("*", "7 AS _key", "8 AS _hash", "9 AS starts", "1 AS _row", "2 AS n_lines", "3 AS _id", "4 AS _th")
+    rows = line_windows.dedup_lines(docs).collect()
+    assert len(rows) == len(EDGE)
+    assert {(r["_key"], r["_hash"], r["starts"], r["_row"], r["_id"], r["_th"]) for r in rows} == {(7, 8, 9, 1, 3, 4)}
+
+
 def test_line_windows_edge_cases(make):
     rows = line_windows.dedup_lines(make(EDGE)).collect()
     assert len(rows) == len(EDGE)

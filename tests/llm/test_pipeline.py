@@ -3,6 +3,8 @@
 import datetime as dt
 
 import corpus_pipeline
+from pyspark.sql import functions as F
+
 from chartloom.llm import url_lists
 from chartloom.llm.queries import QUERIES
 
@@ -16,8 +18,8 @@ ENTRIES = "list string, key string, action string, at timestamp"
 
 
 def judged(spark, captures, entries):
-    """The input has a clashing ``lists`` column, which gives way to the verdict's."""
-    urls = spark.createDataFrame([(*c, "x") for c in captures], CAPTURES).drop("lists")
+    """Columns named like the verdict's give way to it; others stay."""
+    urls = spark.createDataFrame([(*c, "x") for c in captures], CAPTURES).selectExpr("*", "true AS blocked", "'k' AS key", "7 AS row", "8 AS period", "9 AS _spread")
     rows = url_lists.judge_captures(urls, spark.createDataFrame(entries, ENTRIES)).collect()
     return sorted(((r["url"], r["fetch_time"], r["lists"]) for r in rows), key=lambda x: (x[0] or "", x[1] or day(0)))
 
@@ -32,6 +34,19 @@ def test_captures_meet_only_entries_active_at_fetch_time(spark):
     assert [x[2] for x in got] == ["", "spam", "spam", "", "paths", "paths,spam"]
 
 
+def test_a_far_fetch_time_does_not_multiply_the_list(spark):
+    entries = spark.createDataFrame([("l", f"h{i % 50}.org", ("add", "remove")[i // 50 % 2], day(i)) for i in range(1000)], ENTRIES)
+    captures = [(f"http://h{i % 60}.org/", day(i % 365)) for i in range(500)] + [("http://h1.org/", dt.datetime(9999, 1, 1))]
+    urls = spark.createDataFrame(captures, "url string, fetch_time timestamp")
+    asked = urls.select(url_lists._period(F.col("fetch_time")).alias("period"), F.explode(url_lists.keys_of(F.col("url"))).alias("key"))
+    assert url_lists.active_cells(asked, entries).count() < 20_000
+    rows = url_lists.judge_captures(urls.selectExpr("*", "1 AS key", "2 AS row", "3 AS _spread"), entries).collect()
+    assert len(rows) == 501 and {(r["key"], r["row"], r["_spread"]) for r in rows} == {(1, 2, 3)}
+    # The last entry of each host decides after the last day.
+    gone = {i % 50: i // 50 % 2 for i in range(1000)}
+    assert [r["blocked"] for r in rows if r["fetch_time"].year == 9999] == [gone[1] == 0]
+
+
 def test_ties_nulls_and_repeats(spark):
     entries = [("l", "b.c", "add", day(1)), ("l", "b.c", "remove", day(1)), ("l", None, "add", day(1)), ("m", "d.e", "add", day(1)), ("m", "d.e", "add", day(2))]
     captures = [(None, day(5)), ("http://b.c/", None), ("http://b.c/", day(5)), ("no url", day(5)), ("HTTP://D.E", day(5)), ("HTTP://D.E", day(5))]
