@@ -2,16 +2,20 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from chartloom.functions.variants import at, fill_missing, leaves
+from chartloom.functions.variants import as_map, at, fill_missing, leaves
 from chartloom.operators.normalize import METRICS, normalize, parse_cases
 from chartloom.operators.repair import apply_repairs, completeness, fill_metrics, repair_files
 from chartloom.operators.report import renested_document
 from chartloom.plans import checks
 from chartloom.plans.registry import query
+from chartloom.session import shared_dir
 from chartloom.sources.corpus import case_documents, repair_documents, table
+from chartloom.sources.tables import write_silver
 
 _GOLD = f"""WITH {checks.eyes()}
 SELECT case_id, eye, source_file, 'micro-' || k || '.jpg' AS microscopy_file, {checks.QUALITY} AS quality,
@@ -29,6 +33,31 @@ def eye_gold(spark: SparkSession, sf_dir: str) -> DataFrame:
     return gold_eyes(spark, sf_dir)
 
 
+@query(_GOLD)
+def eye_gold_silver(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same rows from stored VARIANT documents: parsed once, and the scan reads only the paths that are used."""
+    path = f"{shared_dir(spark)}/silver-{uuid.uuid4().hex}"
+    write_silver(case_documents(spark, sf_dir).select("case_id", "raw"), path)
+    return normalize(spark.read.parquet(path))
+
+
+_MEMBERS = (
+    "anterior_cornea,belin_ambrosio,cataract_preop,corneal_rings,pachymetry,quality,topometric_indices_8mm",
+    "anéis_corneanos,cataract_pre_op,ectasia_reforcada_belin_ambrosio,indices_zona_8mm,pachymetry",
+    "anéis_corneanos,belin_ambrosio,cataract_pre_op,general,topometric_indices_8mm",
+    "anterior_cornea,cataract_pre_op,display_maps,ectasia_reforcada_belin_ambrosio,general,indices_zona_8mm",
+)
+
+
+@query(f"""WITH {checks.eyes()}
+SELECT case_id, eye, CASE k%4 {" ".join(f"WHEN {i} THEN '{m}'" for i, m in enumerate(_MEMBERS))} END AS members, thinnest_um FROM eye""")
+def raw_eyes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The members of the untouched eye document next to its typed values."""
+    gold = normalize(parse_cases(case_documents(spark, sf_dir)), raw_eye=True)
+    names = F.array_sort(F.map_keys(as_map(F.col("raw_eye"))))
+    return gold.select("case_id", "eye", F.array_join(names, ",").alias("members"), "thinnest_um")
+
+
 @query(f"""WITH {checks.eyes()}
 SELECT case_id, eye, thinnest_um, axial_length_mm, CAST(NULL AS DOUBLE) AS cell_density_cells_per_mm2 FROM eye""")
 def eye_gold_lenient(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -266,3 +266,22 @@ def stored_file_set(spark: SparkSession, sf_dir: str) -> DataFrame:
     scanned = scan_files(spark, path, Limits(max_file=SMALL_FILE)).where(F.col("filename").startswith("part-"))
     number = F.regexp_extract("path", "s_suppkey=([0-9]+)", 1).cast("bigint")
     return scanned.select(number.alias("s_suppkey"), "size_bytes", "sha256", "state")
+
+
+@query(f"""WITH {checks.CASES}, l AS (SELECT case_id, full_name FROM o WHERE o_orderstatus <> 'P')
+SELECT case_id AS "caseId", full_name AS "patientName", 'cases/' || case_id || '/{c.MARKER_NAME}' AS "analysisKey" FROM l
+UNION ALL SELECT case_id, NULL, NULL FROM o WHERE o_orderstatus = 'P'""")
+def listing_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The case list as JSON lines under its fixed names, null fields kept, and read back."""
+    keyed = corpus.with_case_keys(corpus.table(spark, sf_dir, "orders"))
+    known = F.col("o_orderstatus") != "P"
+    listing = keyed.select(
+        "case_id", F.when(known, F.concat(F.lit("Customer#"), F.lpad(F.col("o_custkey").cast("string"), 9, "0"))).alias("patient_name"),
+        F.when(known, F.concat(F.lit("cases/"), F.col("case_id"), F.lit(f"/{c.MARKER_NAME}"))).alias("analysis_key"),
+    )
+    path = _root(spark, "listing")
+    tb.write_listing(listing, path)
+    lines = spark.read.text(path)
+    # A null field that was left out would leave the row out here.
+    kept = lines.where(F.contains(F.col("value"), F.lit('"patientName":')) & F.contains(F.col("value"), F.lit('"analysisKey":')))
+    return kept.select(F.from_json("value", "caseId string, patientName string, analysisKey string").alias("r")).select("r.*")

@@ -69,7 +69,7 @@ def request_lines(
 def fold_responses(responses: DataFrame, limits: Limits = Limits()) -> DataFrame:
     """Classify raw responses (…, http_status, raw) and fold their text parts in order.
 
-    The first refusal wins over any text.  Everything happens inside the row.
+    A response over the size bound is ``too_large``, broken JSON ``invalid``.  The first refusal wins over any text.  Everything happens inside the row.
     """
     kept = [name for name in responses.columns if name not in ("raw", "http_status")]
     parsed = responses.select(
@@ -87,7 +87,8 @@ def fold_responses(responses: DataFrame, limits: Limits = Limits()) -> DataFrame
         F.transform(F.filter("_parts", lambda p: p["type"] == "output_text"), lambda p: p["text"]), ""
     )
     outcome = (
-        F.when(F.col("_large") | ~F.col("_json"), "invalid")
+        F.when(F.col("_large"), "too_large")
+        .when(~F.col("_json"), "invalid")
         .when(F.col("http_status") >= 300, "failed")
         .when(F.coalesce(F.col("_r.status") != "completed", F.lit(True)), "incomplete")
         .when(refusal.isNotNull(), "refused")
