@@ -14,7 +14,7 @@ from chartloom.operators.report import renested_document
 from chartloom.plans import checks
 from chartloom.plans.registry import query
 from chartloom.session import shared_dir
-from chartloom.sources.corpus import case_documents, repair_documents, table
+from chartloom.sources.corpus import case_documents, repair_documents, spread, table
 from chartloom.sources.tables import write_silver
 
 _GOLD = f"""WITH {checks.eyes()}
@@ -228,7 +228,7 @@ _LEVELS, _SHORT = "1 + k % 40", "CASE WHEN k % 3 = 0 THEN greatest(1, (1 + k % 4
 
 def _trees(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Trees nested 1 to 40 levels by the order key; every third target ends early in a number."""
-    keys = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("k"))
+    keys = spread(table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("k")))
     inner = """CASE WHEN k % 3 = 0 THEN '5' WHEN k % 2 = 0 THEN '{"x":null}' ELSE concat('{"x":', k, '}') END"""
     return keys.select(
         "k", F.expr(f"try_parse_json({_chain(_SHORT, chr(34) + 's' + chr(34) + ':7', inner)})").alias("target"),
