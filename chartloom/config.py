@@ -131,7 +131,6 @@ VALUE_MISSING = "não informado"
 PATIENT_MISSING = "Paciente não identificado"
 FILE_SUMMARY_FALLBACK = "Arquivo processado"
 KIND_RAW = "Dado bruto"
-KIND_CALCULATED = "Dado calculado"
 KIND_MISSING = "Dado ausente"
 CONFIDENT = "Consistente"
 SUSPECT = "Suspeita — revisar"

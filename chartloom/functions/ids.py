@@ -37,10 +37,6 @@ def valid_case_id(case_id: Column) -> Column:
     return F.coalesce(case_id.startswith("case-") & valid_intake_id(swapped), F.lit(False))
 
 
-def make_intake_id(created_at: Column, unique: Column) -> Column:
-    return F.concat(F.lit("intake-"), compact_time(created_at), F.lit("-"), unique)
-
-
 def case_id_of(intake_id: Column) -> Column:
     return F.concat(F.lit("case-"), drop_prefix(intake_id, "intake-"))
 
@@ -51,10 +47,6 @@ def created_date_of(case_id: Column) -> Column:
     return F.try_to_timestamp(day, F.lit("yyyyMMdd")).cast("date")
 
 
-def draft_key(intake_id: Column, stored_name: Column) -> Column:
-    return F.concat(F.lit("drafts/"), intake_id, F.lit("/"), stored_name)
-
-
 def case_key(case_id: Column, stored_name: Column) -> Column:
     return F.concat(F.lit("cases/"), case_id, F.lit("/"), stored_name)
 
@@ -65,7 +57,3 @@ def promoted_key(case_id: Column, key: Column) -> Column:
 
 def owned_by_case(case_id: Column, path: Column) -> Column:
     return path.startswith(F.concat(F.lit("cases/"), case_id, F.lit("/")))
-
-
-def owned_by_draft(intake_id: Column, key: Column) -> Column:
-    return key.startswith(F.concat(F.lit("drafts/"), intake_id, F.lit("/")))

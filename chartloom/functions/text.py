@@ -49,12 +49,6 @@ def drop_prefix(value: Column, prefix: str) -> Column:
     return F.when(value.startswith(prefix), F.substr(value, F.lit(len(prefix) + 1))).otherwise(value)
 
 
-def drop_suffix(value: Column, suffix: str) -> Column:
-    return F.when(
-        value.endswith(suffix), F.left(value, F.length(value) - F.lit(len(suffix)))
-    ).otherwise(value)
-
-
 def trim_slashes(value: Column) -> Column:
     return F.regexp_replace(value, "^/+|/+$", "")
 

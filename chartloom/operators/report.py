@@ -222,15 +222,6 @@ def metric_cards(cases: DataFrame) -> DataFrame:
     return cases.select("case_id", F.inline(cards))
 
 
-def progress(rows: DataFrame, group: list[str], done: Column) -> DataFrame:
-    """Completed, pending and whole percentage per group."""
-    totals = rows.groupBy(*group).agg(F.count_if(done).alias("completed"), F.count("*").alias("total"))
-    return totals.select(
-        *group, "completed", (F.col("total") - F.col("completed")).alias("pending"),
-        percent(F.col("completed"), F.col("total")).alias("percentage"),
-    )
-
-
 def metric_progress(gold: DataFrame) -> DataFrame:
     """Progress of every metric and eye; metrics are counted side by side, so only one row per eye is unpivoted."""
     metrics = [row[0] for row in c.METRIC_CATALOG]

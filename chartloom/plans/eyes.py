@@ -15,6 +15,7 @@ from chartloom.plans import checks
 from chartloom.plans.registry import query
 from chartloom.session import shared_dir
 from chartloom.sources.corpus import case_documents, repair_documents, spread, table
+from chartloom.sources.extraction import repair_lines
 from chartloom.sources.tables import write_silver
 
 _GOLD = f"""WITH {checks.eyes()}
@@ -129,6 +130,27 @@ def repair_file_selection(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repair_files(parse_cases(docs), files).select("case_id", "file_index", "filename")
 
 
+_REPAIR_LINE = (
+    """'{"model":"extractor-1","store":false,"max_output_tokens":5000,"input":[{"role":"user","content":[{"type":"input_text","text":"Leia de novo."}'"""
+    """ || string_agg(',{"type":"input_text","text":"Arquivo seguinte: ' || name || '"},{"type":"input_file","filename":"' || name || '","file_data":"data:application/pdf;base64,'"""
+    """ || to_base64(encode(name)) || '","detail":"high"}', '' ORDER BY i) || ']}],"text":{"format":{"type":"json_object"}}}'"""
+)
+
+
+@query(f"""WITH {checks.CASES},
+f AS (SELECT case_id, i, n || k || '.pdf' AS name FROM o, (VALUES (0,'od-'), (1,'os-')) f(i, n) WHERE (k%20=0 OR k%10=3) AND (i = 0 OR k%4<>3))
+SELECT case_id, {_REPAIR_LINE} AS line FROM f GROUP BY case_id""")
+def repair_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Second-pass request of every incomplete case, with the files its tomography exam names and the smaller output cap."""
+    docs = case_documents(spark, sf_dir, incomplete=True)
+    files = docs.select("case_id", F.inline(F.array(*[
+        F.struct(F.lit(i).cast("bigint").alias("file_index"), F.concat(F.lit(n), F.col("k"), F.lit(".pdf")).alias("filename"))
+        for i, n in enumerate(("od-", "os-", "bio-"))
+    ])))
+    uploads = files.select("*", F.lit("application/pdf").alias("content_type"), F.encode("filename", "utf-8").alias("content"))
+    return repair_lines(parse_cases(docs), uploads, "Leia de novo.", "extractor-1")
+
+
 _FILLED = "CASE WHEN k%40=20 THEN NULL ELSE {0} END"
 
 

@@ -13,9 +13,7 @@ from chartloom.config import Limits
 from chartloom.functions import text
 from chartloom.functions.variants import at
 from chartloom.operators import lifecycle as lc
-from chartloom.operators.lineage import (
-    document_matches, enriched_document, gather_files, owned_sources, promoted_document, source_entries, with_defaults,
-)
+from chartloom.operators.lineage import enriched_document, gather_files, owned_sources, source_entries, with_defaults
 from chartloom.operators.staging import stage
 from chartloom.plans import checks
 from chartloom.plans.intake import _TOKEN
@@ -132,6 +130,19 @@ SELECT 'case-20240301T000000Z-' || printf('%08x', intake_no) AS case_id, file_in
 def ingest_to_case(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Extraction results and uploads to drafts, verified and confirmed to cases; read back, every file is its case's own."""
     root = _root(spark, "ingest")
+    _stage_drafts(spark, sf_dir, root)
+    requests = tb.read_drafts(spark, root).select("intake_id", F.lit("2024-03-01 01:00:00").cast("timestamp").alias("requested_at"))
+    tb.confirm_drafts(spark, root, requests, period=MONTHLY)
+    saved = tb.read_cases(spark, root)
+    version = at(F.col("analysis"), "schema_version", "string")
+    shape = "array<struct<sha256: string, size_bytes: bigint>>"
+    own = owned_sources(source_entries(saved.select("case_id", "analysis", version.alias("v"), at(F.col("analysis"), "source_files", shape).alias("more")), keep=("v", "more")))
+    entry = F.get("more", F.col("index").cast("int"))
+    return own.select("case_id", "index", "path", "type", "exam", "eye", entry["sha256"].alias("sha256"), entry["size_bytes"].alias("size_bytes"), F.col("v").alias("schema_version"))
+
+
+def _stage_drafts(spark: SparkSession, sf_dir: str, root: str) -> None:
+    """Every intake as a stored draft whose document names all of its uploads."""
     stored = text.safe_name(F.col("filename"), text.token(F.col("intake_no"), F.col("file_index"), F.col("filename")))
     files = corpus.intake_files(spark, sf_dir).select(
         "intake_no", "file_index", "filename", "content_type", "size_bytes", text.sha256(F.col("content")).alias("sha256"),
@@ -140,27 +151,37 @@ def ingest_to_case(spark: SparkSession, sf_dir: str) -> DataFrame:
     listed = corpus.extracted_sources(spark, sf_dir).groupBy("intake_no").agg(
         F.array_sort(F.collect_list(F.struct("source_pos", "path", "filename", "exam", "eye"))).alias("source_files"))
     extracted = listed.select("intake_no", F.to_json(F.struct(F.struct(F.lit("x").alias("full_name")).alias("patient"), "source_files")).alias("raw"))
-    gathered = gather_files(files)
-    documents = gathered.join(extracted, "intake_no", "left").select(
+    documents = gather_files(files).join(extracted, "intake_no", "left").select(
         _intake_id(F.col("intake_no")).alias("intake_id"), "_uploads", F.parse_json(F.coalesce("raw", F.lit("{}"))).alias("analysis"),
     )
-    enriched = documents.select(
-        "intake_id", F.col("_uploads").alias("files"), with_defaults(enriched_document(F.col("analysis"), F.col("_uploads")), dt.date(2024, 3, 1)).alias("analysis"),
+    drafts = documents.select(
+        "intake_id", F.lit("2024-03-01 00:00:00").cast("timestamp").alias("created_at"), F.col("_uploads").alias("files"),
+        with_defaults(enriched_document(F.col("analysis"), F.col("_uploads")), dt.date(2024, 3, 1)).alias("analysis"),
     )
     draft_files = files.select(_intake_id(F.col("intake_no")).alias("intake_id"), "file_index", "filename", "sha256", "key")
-    tb.write_drafts(enriched, draft_files, root, MONTHLY)
-    drafts = tb.read_drafts(spark, root).where(document_matches(F.col("analysis"), F.col("files")))
-    named = lc.promote(drafts)
-    cases = named.select("case_id", promoted_document(F.col("analysis"), F.col("case_id"), F.col("files")).alias("analysis"))
-    moved = lc.promote(tb.read_draft_files(spark, root)).join(named.select("case_id"), "case_id", "left_semi").select("case_id", "file_index", "key")
-    tb.commit_cases(cases, moved, root, MONTHLY)
-    tb.discard_drafts(spark, root, stage(named.select("intake_id"), "confirmed"), MONTHLY)
-    saved = tb.read_cases(spark, root)
-    version = at(F.col("analysis"), "schema_version", "string")
-    shape = "array<struct<sha256: string, size_bytes: bigint>>"
-    own = owned_sources(source_entries(saved.select("case_id", "analysis", version.alias("v"), at(F.col("analysis"), "source_files", shape).alias("more")), keep=("v", "more")))
-    entry = F.get("more", F.col("index").cast("int"))
-    return own.select("case_id", "index", "path", "type", "exam", "eye", entry["sha256"].alias("sha256"), entry["size_bytes"].alias("size_bytes"), F.col("v").alias("schema_version"))
+    tb.write_drafts(drafts, draft_files, root, MONTHLY)
+
+
+@query(f"""WITH {checks.FILES}, i AS (SELECT intake_no, count(*) AS n FROM f GROUP BY 1),
+r AS (SELECT 'intake-20240301T000000Z-' || printf('%08x', intake_no) AS intake_id, intake_no % 5 = 0 AS late, n FROM i)
+SELECT intake_id, CASE WHEN late THEN 'invalid_or_expired' ELSE 'confirmed' END AS first_answer,
+       CASE WHEN late THEN 'invalid_or_expired' ELSE 'already_confirmed' END AS second_answer, late AS swept,
+       CAST(CASE WHEN late THEN 0 ELSE n END AS BIGINT) AS n_files FROM r""")
+def confirm_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Drafts confirmed in time or too late, asked for again, and the late ones swept; what each became."""
+    root = _root(spark, "confirm")
+    _stage_drafts(spark, sf_dir, root)
+    number = F.conv(F.substring_index("intake_id", "-", -1), 16, 10).cast("bigint")
+    hours = F.when(number % 5 == 0, 48).otherwise(1)
+    created = F.lit("2024-03-01 00:00:00").cast("timestamp")
+    requests = stage(tb.read_drafts(spark, root).select("intake_id", (created + F.make_dt_interval(hours=hours)).alias("requested_at")), "requests")
+    first, second = (tb.confirm_drafts(spark, root, requests, period=MONTHLY) for _ in range(2))
+    swept = tb.sweep_drafts(spark, root, F.lit("2024-03-04 00:00:00").cast("timestamp"), period=MONTHLY).withColumn("swept", F.lit(True))
+    files = tb.read_files(spark, root).groupBy(F.replace("case_id", F.lit("case-"), F.lit("intake-")).alias("intake_id")).agg(F.count("*").alias("n_files"))
+    answers = first.select("intake_id", F.col("outcome").alias("first_answer")).join(second.select("intake_id", F.col("outcome").alias("second_answer")), "intake_id")
+    return answers.join(swept, "intake_id", "left").join(files, "intake_id", "left").select(
+        "intake_id", "first_answer", "second_answer", F.coalesce("swept", F.lit(False)).alias("swept"), F.coalesce("n_files", F.lit(0)).alias("n_files"),
+    )
 
 
 @query("""WITH o AS (SELECT *, 'intake-' || strftime(o_orderdate, '%Y%m%dT%H%M%SZ') || '-' || printf('%08x', o_orderkey) AS id FROM orders),

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from chartloom.config import Limits
 from chartloom.functions.text import data_url
+from chartloom.operators.repair import repair_files
 from chartloom.operators.staging import join_splittable
 
 # Fixed values of the request and response format.
@@ -66,6 +67,16 @@ def request_lines(
     return gathered.select(intake, F.to_json(body).alias("line"))
 
 
+def repair_lines(cases: DataFrame, files: DataFrame, prompt: str, model: str) -> DataFrame:
+    """One request line (case_id, line) per incomplete case, over the files a second pass has to look at again.
+
+    ``files`` (case_id, file_index, filename, content_type, content) are those of admitted sets, which bounds a line.
+    """
+    wanted = repair_files(cases, files)
+    due = wanted.select("case_id").distinct().withColumn("admitted", F.lit(True))
+    return request_lines(wanted, due, prompt, model, REPAIR_OUTPUT_TOKENS, "case_id")
+
+
 def fold_responses(responses: DataFrame, limits: Limits = Limits()) -> DataFrame:
     """Classify raw responses (…, http_status, raw) and fold their text parts in order.
 

@@ -13,7 +13,8 @@ from pyspark.sql import functions as F
 
 from chartloom.functions.ids import promoted_key
 from chartloom.functions.text import pretty_json
-from chartloom.operators.lifecycle import erased_objects
+from chartloom.operators.lifecycle import erased_objects, expired_drafts, promote, route_confirms
+from chartloom.operators.lineage import document_matches, promoted_document
 from chartloom.operators.staging import stage
 from chartloom.sources import generations as g
 
@@ -87,6 +88,34 @@ def discard_drafts(spark: SparkSession, root: str, ids: DataFrame, period: str =
     g.switch(spark, root, changes + g.without(spark, root, "drafts", ids, "intake_id", period))
 
 
+def confirm_drafts(
+    spark: SparkSession, root: str, requests: DataFrame, requested_at: str = "requested_at", ttl_hours: int = 24, period: str = g.DAILY,
+) -> DataFrame:
+    """Answer confirm requests (intake_id, requested_at), commit what they confirm and clear its drafts away.
+
+    Drafts carry ``created_at``, ``analysis`` and ``files``, the uploads in order.  The sources of a committed document point to the case's own
+    files.  A run that dies after the commit leaves drafts of committed cases; asking again answers the same, adds nothing and clears them.
+    """
+    drafts, stored = read_drafts(spark, root), g.present(spark, root, "cases")
+    judged = drafts.select("intake_id", "created_at", "analysis", document_matches(F.col("analysis"), F.col("files")).alias("manifest_ok"))
+    cases = spark.createDataFrame([], "case_id string") if stored is None else stored.select("case_id")
+    answers = stage(route_confirms(requests, judged, cases, requested_at, ttl_hours), "answers")
+    confirmed = answers.where("outcome = 'confirmed'").select("intake_id").distinct()
+    named = promote(drafts.join(confirmed, "intake_id", "left_semi"))
+    documents = named.select("case_id", promoted_document(F.col("analysis"), F.col("case_id"), F.col("files")).alias("analysis"))
+    files = promote(read_draft_files(spark, root).join(confirmed, "intake_id", "left_semi")).drop("intake_id")
+    commit_cases(documents, files, root, period)
+    discard_drafts(spark, root, confirmed, period)
+    return answers
+
+
+def sweep_drafts(spark: SparkSession, root: str, as_of: Column, ttl_hours: int = 24, period: str = g.DAILY) -> DataFrame:
+    """Discard every draft whose time to live is over; returns their ids."""
+    over = stage(expired_drafts(read_drafts(spark, root), as_of, ttl_hours).select("intake_id"), "swept")
+    discard_drafts(spark, root, over, period)
+    return over
+
+
 def purge(spark: SparkSession, root: str) -> int:
     """Delete what erasing, discarding and outdone versions have left behind."""
     return g.purge(spark, root, TABLES)
