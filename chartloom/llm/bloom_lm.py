@@ -235,8 +235,20 @@ OPEN = {"token": pa.int64(), "before": pa.int64(), "key": pa.int64(), "tail": pa
 OPEN_SQL = "token: long, before: long, key: long, tail: boolean, wait: boolean, seen: double, mass: double, alone: double, pair: double"
 
 
-def score_texts(model: Model, texts: list[bytes]) -> dict[str, np.ndarray]:
-    """Per document: tokens, known frequent ones, their part of the base, the model's score; and the tokens left open, whose parts are missing in the base (``tail``) or the score (``wait``)."""
+def own_counts(key: np.ndarray, borders: np.ndarray) -> np.ndarray:
+    """How often each place's key occurs in its own document."""
+    doc = np.repeat(np.arange(len(borders) - 1), np.diff(borders))
+    order = np.lexsort((key, doc))
+    fresh = np.concatenate(([True], (doc[order][1:] != doc[order][:-1]) | (key[order][1:] != key[order][:-1]))) if len(key) else np.zeros(0, bool)
+    size = np.diff(np.concatenate((np.flatnonzero(fresh), [len(key)])))
+    out = np.empty(len(key), np.int64)
+    out[order] = np.repeat(size, size)
+    return out
+
+
+def score_texts(model: Model, texts: list[bytes], learned: np.ndarray | None = None) -> dict[str, np.ndarray]:
+    """``learned`` marks documents that the counts were taken from: a bigram that such a text holds n times has a count of at
+    least n, and one that is not in the filter a count below the cutoff, so where the two meet no join is needed.  Per document: tokens, known frequent ones, their part of the base, the model's score; and the tokens left open, whose parts are missing in the base (``tail``) or the score (``wait``)."""
     token, before, borders = tokens(texts)
     filter_ = LogFrequencyFilter(model.segments)
     distinct, inverse = np.unique(token, return_inverse=True)
@@ -264,6 +276,14 @@ def score_texts(model: Model, texts: list[bytes]) -> dict[str, np.ndarray]:
     pair_level = filter_.levels(keys)[back]
     no_pair = (pair_level == 0) & (model.least[1] > 1)
     pair = np.maximum(count_at(pair_level) - DISCOUNT, 0)
+    if learned is not None and model.least[1] > 1:
+        ask = np.flatnonzero(no_pair & np.repeat(learned, np.diff(borders)))
+        own = own_counts(key[ask], np.searchsorted(ask, borders))
+        sure = own == model.least[1] - 1
+        pair[ask[sure]] = np.maximum(count_at(level_of(own[sure])) - DISCOUNT, 0)
+        no_pair[ask[sure]] = False
+    # A bigram of a token that was never seen was not seen either.
+    no_pair &= ~(unseen | (~start & np.concatenate(([False], unseen[:-1]))))
     closed = ~(no_alone | no_context | no_pair)
     p = np.where(seen > 0, mass * alone + pair / np.maximum(seen, 1), alone)
     cut = borders[:-1]
@@ -296,8 +316,9 @@ def score(docs: DataFrame, model: Model, words: DataFrame, bigrams: DataFrame, f
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         row = TaskContext.get().partitionId() << 40
         for batch in batches:
+            held_out = batch.column(1).to_numpy(zero_copy_only=False).astype(bool)
             for at, texts in text_groups(batch, "text"):
-                found = score_texts(shared.value, texts)
+                found = score_texts(shared.value, texts, ~held_out[at : at + len(texts)])
                 n = len(texts)
                 left = pa.ListArray.from_arrays(pa.array(found["open_borders"].astype(np.int32)), found["open"])
                 yield pa.RecordBatch.from_arrays([
