@@ -12,10 +12,6 @@ INTAKE_SHAPE = r"^intake-\d{8}T\d{6}([.,]\d+)?Z-[0-9A-Fa-f]{8}$"
 COMPACT_TIME = "yyyyMMdd'T'HHmmss'Z'"
 
 
-def compact_time(value: Column) -> Column:
-    return F.date_format(value, COMPACT_TIME)
-
-
 def parse_compact_time(value: Column) -> Column:
     """Calendar timestamp of the compact form, NULL when it does not exist."""
     whole = F.concat(F.left(value, F.lit(15)), F.lit("Z"))
