@@ -144,3 +144,29 @@ def test_prefixes_and_pages_of_an_inventory(spark, tmp_path):
     assert seen == sorted(below, key=str.encode)
     plan = inv.next_page(stored, "a/", "a/1/x", 2)._jdf.queryExecution().executedPlan().toString()
     assert "GreaterThan(key,a/1/x)" in plan and "LessThan(key,a0)" in plan
+
+
+def test_an_oversized_response_is_told_apart_from_broken_json(spark):
+    from chartloom.config import Limits
+    from chartloom.sources.extraction import fold_responses
+
+    fine = json.dumps({"status": "completed", "output": [{"content": [{"type": "output_text", "text": "{}"}]}]})
+    rows = spark.createDataFrame([(0, 200, fine), (1, 200, fine + " " * 200), (2, 200, fine[:-3]), (3, 200, "{" + " " * 300)], "n int, http_status int, raw string")
+    answers = {r.n: r.outcome for r in fold_responses(rows, Limits(max_response=len(fine) + 50)).collect()}
+    assert answers == {0: "ok", 1: "too_large", 2: "invalid", 3: "too_large"}
+
+
+def test_repair_requests_hold_only_files_to_look_at_again(spark):
+    from chartloom.sources.extraction import repair_lines
+
+    eye = {"pachymetry": {"thinnest_um": 500}, "anterior_cornea": {"kmax_d": 44}, "belin_ambrosio": {"d": 1.0, "art_max": 300}}
+
+    def case(n, left, source):
+        return (f"case-{n}", json.dumps({"exams": {"pentacam_corneal_tomography": {"source": source, "eyes": {"OD": eye, "OS": left}}}}))
+
+    cases = spark.createDataFrame([case(0, eye, ["a.pdf"]), case(1, {}, ["x/a.pdf"]), case(2, {}, [])], "case_id string, raw string").select("case_id", F.parse_json("raw").alias("analysis"))
+    files = spark.createDataFrame([(f"case-{n}", i, f"{x}.pdf", "application/pdf", b"1") for n in range(3) for i, x in enumerate("ab")], "case_id string, file_index int, filename string, content_type string, content binary")
+    lines = repair_lines(cases, files, "again", "m").collect()
+    assert [r.case_id for r in lines] == ["case-1"]
+    request = json.loads(lines[0].line)
+    assert request["max_output_tokens"] == 5000 and [p.get("filename") for p in request["input"][0]["content"]] == [None, None, "a.pdf"]
