@@ -1,8 +1,7 @@
 """Order-dependent operators that never gather one group in one task.
 
-Both work in two levels: rows are cut into (group, range) cells whose size is
-set by the width of a cell, and only one summary row per cell meets the other cells
-of its group.
+Rows are cut into (group, range) cells whose size is set by the width of a cell, and
+only one summary row per cell meets the other cells of its group.
 """
 
 from __future__ import annotations
@@ -11,6 +10,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from chartloom.operators.staging import join_splittable
+
 
 def position_in_group(
     rows: DataFrame, group: str, position: str, out: str, cell_bits: int = 16
@@ -46,29 +47,35 @@ def next_match(
     is_start: Column,
     is_match: Column,
     out: str,
-    cell_bits: int = 32,
+    cell_bits: int = 16,
 ) -> DataFrame:
     """Start rows with the time of the first matching row at or after them, NULL when none.
 
-    ``time_us`` is an integer time in microseconds and a cell spans 2**cell_bits of
-    them (72 minutes by default).  One row leaves per start row, so a key with very
-    many starts and matches grows linearly, not by pairs.  A row without a key
-    matches nothing.
+    ``time_us`` is an integer time in microseconds.  Rows of a key are first reduced to its distinct times.  Those are cut
+    into cells of 2**cell_bits microseconds and the cells into coarser ones of 2**(2*cell_bits) (72 minutes by default), so
+    no window sees more than 2**cell_bits rows, however many rows a key has within a cell; over the coarse cells of a key
+    their number is that of the time range.  One row leaves per start row.  A row without a key matches nothing.
     """
     rows = events.select(
         "*", time_us.alias("_t"), F.when(is_match, time_us).alias("_m"), is_start.alias("_s"),
-    ).where("_s OR _m IS NOT NULL").withColumn("_cell", F.shiftright("_t", cell_bits))
-    # Descending order makes "from here on" a growing frame, which is linear to evaluate.
-    here = W.partitionBy(key, "_cell").orderBy(F.desc("_t")).rangeBetween(W.unboundedPreceding, 0)
-    later = W.partitionBy(key).orderBy(F.desc("_cell")).rowsBetween(W.unboundedPreceding, -1)
-    summary = (
-        rows.groupBy(key, "_cell").agg(F.min("_m").alias("_first"))
-        .select(key, "_cell", F.min("_first").over(later).alias("_later"))
     )
-    return (
-        rows.withColumn("_here", F.min("_m").over(here))
-        .where("_s")
-        .join(summary, [key, "_cell"], "left")
-        .withColumn(out, F.when(F.col(key).isNotNull(), F.coalesce("_here", "_later")))
-        .drop("_t", "_m", "_s", "_cell", "_here", "_later")
+    fine, coarse = F.shiftright("_t", cell_bits).alias("_fine"), F.shiftright("_t", 2 * cell_bits).alias("_coarse")
+    times = (
+        rows.where(F.col(key).isNotNull() & (F.col("_s") | F.col("_m").isNotNull()))
+        .groupBy(F.col(key).alias("_key"), "_t").agg(F.min("_m").alias("_m"))
+        .select("_key", "_t", fine, coarse, "_m")
+    )
+    # Descending order makes "from here on" a growing frame, which is linear to evaluate.
+    here = W.partitionBy("_key", "_coarse", "_fine").orderBy(F.desc("_t")).rowsBetween(W.unboundedPreceding, 0)
+    later = W.partitionBy("_key", "_coarse").orderBy(F.desc("_fine")).rowsBetween(W.unboundedPreceding, -1)
+    beyond = W.partitionBy("_key").orderBy(F.desc("_coarse")).rowsBetween(W.unboundedPreceding, -1)
+    cells = times.groupBy("_key", "_coarse", "_fine").agg(F.min("_m").alias("_first"))
+    blocks = cells.groupBy("_key", "_coarse").agg(F.min("_first").alias("_first"))
+    cells = cells.select("_key", "_coarse", "_fine", F.min("_first").over(later).alias("_later"))
+    blocks = blocks.select("_key", "_coarse", F.min("_first").over(beyond).alias("_beyond"))
+    found = (
+        times.withColumn("_here", F.min("_m").over(here))
+        .join(cells, ["_key", "_coarse", "_fine"], "left").join(blocks, ["_key", "_coarse"], "left")
+        .select(F.col("_key").alias(key), "_t", F.coalesce("_here", "_later", "_beyond").alias(out))
     )
+    return join_splittable(rows.where("_s"), found, [key, "_t"], "left").select(*events.columns, out)

@@ -101,12 +101,17 @@ def measurements(gold: DataFrame) -> DataFrame:
     )
 
 
-def consistent_counts(rows: DataFrame) -> DataFrame:
-    return rows.groupBy("case_id").agg(
-        F.count("*").alias("n_data"),
-        F.count_if(F.col("confidence") == c.CONFIDENT).alias("consistent"),
-        F.count_if(F.col("confidence_checked") == c.CONFIDENT).alias("consistent_checked"),
+def consistent_counts(gold: DataFrame) -> DataFrame:
+    """Values of a case, those reported as sure and those that are really there.
+
+    Every value of ``measurements`` carries the reported constant, and only a present one the checked mark, so each eye row
+    is reduced to one number before the shuffle and nothing is unpivoted.
+    """
+    present = sum((F.col(row[0]).isNotNull().cast("bigint") for row in c.METRIC_CATALOG[1:]), F.col(c.METRIC_CATALOG[0][0]).isNotNull().cast("bigint"))
+    totals = gold.select("case_id", present.alias("_present")).groupBy("case_id").agg(
+        (F.count("*") * len(c.METRIC_CATALOG)).alias("n_data"), F.sum("_present").alias("consistent_checked")
     )
+    return totals.select("case_id", "n_data", F.col("n_data").alias("consistent"), "consistent_checked")
 
 
 def document_reviews(entries: DataFrame) -> DataFrame:

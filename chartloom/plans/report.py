@@ -63,7 +63,7 @@ def measurements_long(spark: SparkSession, sf_dir: str) -> DataFrame:
 SELECT case_id, CAST(count(*) AS BIGINT) AS n_data, CAST(count(*) AS BIGINT) AS consistent,
        CAST(count(value) AS BIGINT) AS consistent_checked FROM m GROUP BY case_id""")
 def consistent_data(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return r.consistent_counts(r.measurements(gold_eyes(spark, sf_dir)))
+    return r.consistent_counts(gold_eyes(spark, sf_dir))
 
 
 @query(f"""{_MEASURED}
