@@ -8,7 +8,8 @@ out of the filter, so that its error rate stays and the broadcast is bounded; th
 up in the written tables of counts by joins, so no cutoff changes a count.
 
 All bigrams are counted.  The ``HEAD_WORDS`` most frequent tokens (a parameter of the model) are broadcast
-with exact counts and left mass, 6 MB; what other tokens need is joined too:
+with exact counts and left mass, 6 MB, and have small numbers; a bigram of two of them is kept under these
+numbers, others under a hash.  What other tokens need is asked for by joins of narrow distinct keys:
 
     p(b | a) = max(c'(a b) - D, 0) / c(a) + l(a) p(b),  p(b) = (c'(b) + 0.1) / (N' + 0.1 (V + 1))
 
@@ -16,7 +17,7 @@ with c' a count as the filter holds it and l(a) the mass that the discount leave
 all tokens after a context sum to 1 but for the filter's false positives.  The base score uses exact counts: frequent tokens from
 the broadcast table, all others through a join, which thereby meets no hot key.
 
-Token hashes have 64 bits.  Null and empty texts are one end token.  Rows without an id are learned from
+Token hashes have 64 bits (63 for tokens that are not broadcast).  Null and empty texts are one end token.  Rows without an id are learned from
 (they are in no held-out fold).  Repeated ids are scored row by row.  Other columns are ignored.
 With nothing to learn from, N and V are 0 and every token has the same probability of 1.
 """
@@ -25,11 +26,12 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
-from dataclasses import dataclass, replace
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -61,17 +63,44 @@ def tokens(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return out, before, borders
 
 
-def bigram_key(before: np.ndarray, token: np.ndarray) -> np.ndarray:
-    return mix(before * U64(3) + token + U64(0xB16))
+#: Bits of a frequent token's number; ``HEAD_WORDS`` stays below the number that marks the begin of a text.
+PLACE_BITS = 20
+BEGIN_PLACE = (1 << PLACE_BITS) - 1
+#: Codes of tokens and bigrams that are hashes have this bit, so they are negative as signed values.
+HASHED = U64(1 << 63)
 
 
-def level_of(n: np.ndarray) -> np.ndarray:
+def bigram_code(before: np.ndarray, token: np.ndarray) -> np.ndarray:
+    """Bigram of two codes: both numbers where both are frequent, otherwise a hash."""
+    return np.where((before | token) < HASHED, before << U64(PLACE_BITS) | token, mix(before * U64(3) + token + U64(0xB16)) | HASHED)
+
+
+def bigram_key(code: np.ndarray) -> np.ndarray:
+    """What the filter holds for a bigram."""
+    return mix(code + U64(0xB16A))
+
+
+def _raw_level(n: np.ndarray) -> np.ndarray:
     return 1 + np.floor(np.log(np.maximum(n, 1)) / math.log(STEP) + 1e-9).astype(np.int64)
 
 
+#: Powers that start a level: only those with a whole number before the next one (2, 3 and 6 have none at a step of 1.25).
+EMPTY = sorted(set(range(1, 16)) - set(_raw_level(np.arange(1, 64)).tolist()))
+RAW = np.setdiff1d(np.arange(1, 256), EMPTY)
+
+
+def level_of(n: np.ndarray) -> np.ndarray:
+    return np.searchsorted(RAW, _raw_level(n)) + 1
+
+
+def level_sql(n: str) -> Column:
+    raw = F.lit(1) + F.floor(F.log(n) / F.lit(math.log(STEP)) + F.lit(1e-9))
+    return sum((-(raw >= F.lit(e)).cast("int") for e in EMPTY), raw).cast("int")
+
+
 def count_at(level: np.ndarray) -> np.ndarray:
     """Smallest count of a level, 0 for level 0."""
-    return np.where(level > 0, STEP ** (np.maximum(level, 1) - 1.0), 0.0)
+    return np.where(level > 0, STEP ** (RAW[np.maximum(level, 1) - 1] - 1.0), 0.0)
 
 
 def positions(key: np.ndarray, level: int | np.ndarray, probe: int) -> np.ndarray:
@@ -131,10 +160,22 @@ class Model:
 
     def place(self, token: np.ndarray) -> np.ndarray:
         """Index in the sorted head, -1 for other tokens."""
-        if not len(self.head):
-            return np.full(len(token), -1)
-        i = np.minimum(np.searchsorted(self.head, token), len(self.head) - 1)
-        return np.where(self.head[i] == token, i, -1)
+        return place_in(self.head, token)
+
+
+def place_in(head: np.ndarray, token: np.ndarray) -> np.ndarray:
+    if not len(head):
+        return np.full(len(token), -1)
+    i = np.minimum(np.searchsorted(head, token), len(head) - 1)
+    return np.where(head[i] == token, i, -1)
+
+
+def codes(place: np.ndarray, token: np.ndarray, start: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Codes of tokens and of the tokens before them: numbers of frequent ones, otherwise the hash."""
+    code = np.where(place >= 0, place.astype(U64), token | HASHED)
+    before = np.concatenate((code[:1], code[:-1]))
+    before[start] = BEGIN_PLACE
+    return code, before
 
 
 def _counted(docs: DataFrame, columns: str, gather) -> DataFrame:
@@ -180,59 +221,79 @@ def quantised(n: Column) -> Column:
 
 
 def fit(docs: DataFrame, folds: int) -> tuple[Model, tuple[DataFrame, DataFrame]]:
-    """The model; exact token counts with the mass left after each (key, n, left), and the bigrams that are not in the filter (key, n)."""
+    """The model; (key, n, left), count and mass left after each token that is not broadcast; (key, n), bigrams that are not in the filter."""
     training = docs.where(fold("doc_id", folds) != 0).select(whole_text().alias("text"))
     unigrams = stage(_counted(training, "key long", lambda texts: tokens(texts)[0][None]), "unigrams")
+    facts = unigrams.agg(F.sum("n").alias("total"), F.count("*").alias("distinct"), F.sum(quantised(F.col("n"))).alias("smoothed")).first()
+    top = unigrams.orderBy(F.desc("n"), "key").limit(HEAD_WORDS).toArrow()
+    head, head_count = np.array(top["key"], np.int64).view(U64), np.array(top["n"], np.int64)
+    # The head is a range in the order of (count, key), and so is the rest.
+    rest = F.lit(True)
+    if len(head):
+        last, least = int(head[-1].view(np.int64)), int(head_count[-1])
+        rest = (F.col("n") < least) | ((F.col("n") == least) & (F.col("key") > last))
+    order = np.argsort(head)
+    head, head_count = head[order], head_count[order]
+    shared = docs.sparkSession.sparkContext.broadcast(head)
 
     def pairs(texts: list[bytes]) -> np.ndarray:
         token, before, _ = tokens(texts)
-        return np.stack([bigram_key(before, token), before])
+        code, ahead = codes(place_in(shared.value, token), token, before == BEGIN)
+        pair = bigram_code(ahead, code)
+        return np.stack([pair, np.where(pair < HASHED, U64(0), ahead)])
 
+    # The token before is written only where the bigram's code does not tell it.
     bigrams = stage(_counted(training, "key long, before long", pairs), "bigrams")
     both = unigrams.select(F.lit(1).alias("kind"), "key", "n").union(bigrams.select(F.lit(2), "key", "n"))
     # Counts above the limit of this histogram are all kept by any cutoff that can be needed.
     histogram = both.groupBy("kind", F.least("n", F.lit(10_000)).alias("count")).agg(F.count("*").alias("times"))
-    histogram = [tuple(r) for r in histogram.collect()]
-    one, two = _cutoffs(histogram)
-    level = (F.lit(1) + F.floor(F.log("n") / F.lit(math.log(STEP)) + F.lit(1e-9))).cast("int")
-    held = both.where(F.when(F.col("kind") == 1, F.col("n") >= one).otherwise(F.col("n") >= two)).withColumn("level", level)
+    one, two = _cutoffs([tuple(r) for r in histogram.collect()])
+    held = both.where(F.when(F.col("kind") == 1, F.col("n") >= one).otherwise(F.col("n") >= two)).select("kind", "key", level_sql("n").alias("level"))
     entries = held.agg(F.sum("level")).first()[0] or 0
     segments = max(1, math.ceil(entries * BITS_PER_ENTRY / SEGMENT_BITS))
-    where = F.pmod(F.shiftrightunsigned("key", 33), F.lit(segments)).cast("int")
+
+    def place_keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            kind, key = batch.column(0).to_numpy(), batch.column(1).to_numpy().view(U64)
+            key = np.where(kind == 1, key, bigram_key(key))
+            segment = ((key >> U64(33)) % U64(segments)).astype(np.int32)
+            yield pa.RecordBatch.from_arrays([pa.array(segment), pa.array(key.view(np.int64)), batch.column(2)], names=["segment", "key", "level"])
 
     def build(rows: pd.DataFrame) -> pd.DataFrame:
         bits = segment_bytes(rows["key"].to_numpy(np.int64).view(U64), rows["level"].to_numpy(np.int64))
         return pd.DataFrame({"segment": [rows["segment"].iloc[0]], "bits": [bits]})
 
-    built = held.select(where.alias("segment"), "key", "level").groupBy("segment").applyInPandas(build, "segment int, bits binary")
+    built = held.mapInArrow(place_keys, "segment int, key long, level int").groupBy("segment").applyInPandas(build, "segment int, bits binary")
     table = np.zeros((segments, SEGMENT_BITS // 8), np.uint8)
     for row in built.collect():  # at most MAX_BITS
         table[row["segment"]] = np.frombuffer(row["bits"], np.uint8)
+    context = F.when(F.col("key") >= 0, F.shiftright("key", PLACE_BITS)).otherwise(F.col("before"))
     kept = F.greatest(quantised(F.col("n")) - F.lit(DISCOUNT), F.lit(0.0))
-    used = bigrams.groupBy(F.col("before").alias("key")).agg(F.sum(kept).alias("used"))
-    begin_used = bigrams.where(F.col("before") == F.lit(int(BEGIN.view(np.int64)))).agg(F.sum(kept)).first()[0] or 0.0
+    used = stage(bigrams.groupBy(context.alias("key")).agg(F.sum(kept).alias("used")), "used")
+    begins, begin_used, head_used = training.count(), 0.0, np.zeros(len(head))
+    frequent = used.where("key >= 0").toArrow()  # at most one row for each broadcast token, and the begin
+    places, sums = np.array(frequent["key"], np.int64), np.array(frequent["used"], float)
+    head_used[places[places != BEGIN_PLACE]] = sums[places != BEGIN_PLACE]
+    begin_used = float(sums[places == BEGIN_PLACE].sum())
+    code = F.col("key").bitwiseOR(F.lit(-(1 << 63)))
     left = (F.lit(1.0) - F.coalesce("used", F.lit(0.0)) / F.col("n")).alias("left")
-    words = stage(unigrams.join(used, "key", "left").select("key", "n", left), "words")
-    facts = words.agg(F.sum("n").alias("total"), F.count("*").alias("distinct"), F.sum(quantised(F.col("n"))).alias("smoothed")).first()
-    top = words.orderBy(F.desc("n"), "key").limit(HEAD_WORDS).toArrow()
-    head = np.array(top["key"], np.int64).view(U64)
-    order = np.argsort(head)
-    head, begins = head[order], training.count()
-    model = Model(
-        facts["total"] or 0, facts["distinct"], facts["smoothed"] or 0.0, head, np.array(top["n"], np.int64)[order],
-        np.array(top["left"], float)[order], (one, two), begins, 1 - begin_used / max(1, begins), table,
-        np.zeros(0, np.int64),
+    words = stage(
+        unigrams.where(rest).select(code.alias("key"), "n").join(used.where("key < 0"), "key", "left").select("key", "n", left), "words"
     )
     level = LogFrequencyFilter(table).levels(head)
     if one > 1:
-        level = np.where(level > 0, level, level_of(model.head_count))
-    return replace(model, head_level=level), (words, bigrams.where(F.col("n") < two).select("key", "n"))
+        level = np.where(level > 0, level, level_of(head_count))
+    model = Model(
+        facts["total"] or 0, facts["distinct"], facts["smoothed"] or 0.0, head, head_count, 1 - head_used / np.maximum(1, head_count),
+        (one, two), begins, 1 - begin_used / max(1, begins), table, level,
+    )
+    return model, (words, bigrams.where(F.col("n") < two).select("key", "n"))
 
 
-#: Tokens that need a join: ``tail`` for the base, ``wait`` for the score.  Keys to ask for are not null; they give
-#: ``alone`` (by the token), ``seen`` and ``mass`` (by the token before) and ``pair`` (by ``key``; count less the discount).
-OPEN = {"token": pa.int64(), "before": pa.int64(), "key": pa.int64(), "tail": pa.bool_(), "wait": pa.bool_(), "seen": pa.float64(), "mass": pa.float64(), "alone": pa.float64(), "pair": pa.float64()}
-OPEN_SQL = "token: long, before: long, key: long, tail: boolean, wait: boolean, seen: double, mass: double, alone: double, pair: double"
+#: Tokens left open: codes of the token and the one before it, the bigram's level or, where it has to be asked for, its
+#: code; ``wait`` if their part of the score is missing.  A token that is not broadcast always lacks its part of the base.
+OPEN = {"token": pa.int64(), "before": pa.int64(), "ask": pa.int64(), "level": pa.int32(), "wait": pa.bool_()}
+OPEN_SQL = "token: long, before: long, ask: long, level: int, wait: boolean"
 
 
 def own_counts(key: np.ndarray, borders: np.ndarray) -> np.ndarray:
@@ -246,9 +307,47 @@ def own_counts(key: np.ndarray, borders: np.ndarray) -> np.ndarray:
     return out
 
 
+def smoothed(seen: np.ndarray, mass: np.ndarray, alone: np.ndarray, level: np.ndarray) -> np.ndarray:
+    """Probability of a token from its context's count and left mass, its own probability and its bigram's level."""
+    pair = np.maximum(count_at(level) - DISCOUNT, 0)
+    return np.where(seen > 0, mass * alone + pair / np.maximum(seen, 1), alone)
+
+
+def finish(model: Model, token: np.ndarray, before: np.ndarray, ask: np.ndarray, level: np.ndarray, words: tuple, pairs: tuple) -> tuple:
+    """Of open tokens: whether each lacks its part of the base, whether it was seen, that part, and the score's part.
+
+    ``words`` (codes, counts, left masses) and ``pairs`` (codes, counts) are the answers for at least these tokens; what has none was never seen.
+    """
+    def answered(codes_: np.ndarray, asked: np.ndarray, *values: np.ndarray) -> list[np.ndarray]:
+        known, one = np.unique(codes_, return_index=True)
+        at = place_in(known, asked)
+        return [np.where(at >= 0, v[one][at] if len(known) else 0, 0) for v in values]
+
+    def counts(code: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Whether codes are broadcast, their counts and left masses."""
+        common = (code >= 0) & (code != BEGIN_PLACE)
+        at = np.where(common, code, 0)
+        n, left = answered(words[0], code, words[1], words[2])
+        if len(model.head):
+            n, left = np.where(common, model.head_count[at], n), np.where(common, model.left_mass[at], left)
+        n, left = np.where(code == BEGIN_PLACE, model.begin_count, n), np.where(code == BEGIN_PLACE, model.begin_left, left)
+        return common, n, left
+
+    common, own, _ = counts(token)
+    quantum = count_at(np.where(own > 0, level_of(own), 0))
+    if len(model.head):
+        quantum = np.where(common, count_at(model.head_level[np.where(common, token, 0)]), quantum)
+    alone = (quantum + 0.1) / (model.smoothed_total + 0.1 * (model.distinct + 1))
+    _, seen, mass = counts(before)
+    (n,) = answered(pairs[0], ask, pairs[1])
+    p = smoothed(seen, mass, alone, np.where(level >= 0, level, np.where(n > 0, level_of(n), 0)))
+    base = np.log10((own + 0.1) / (model.total + 0.1 * (model.distinct + 1)))
+    return ~common, ~common & (own > 0), np.where(common, 0.0, base), np.log10(np.minimum(p, 1.0))
+
+
 def score_texts(model: Model, texts: list[bytes], learned: np.ndarray | None = None) -> dict[str, np.ndarray]:
     """``learned`` marks documents that the counts were taken from: a bigram that such a text holds n times has a count of at
-    least n, and one that is not in the filter a count below the cutoff, so where the two meet no join is needed.  Per document: tokens, known frequent ones, their part of the base, the model's score; and the tokens left open, whose parts are missing in the base (``tail``) or the score (``wait``)."""
+    least n, and one that is not in the filter a count below the cutoff, so where the two meet no join is needed.  Per document: tokens, known frequent ones, their part of the base, the model's score; and the tokens left open (``OPEN``)."""
     token, before, borders = tokens(texts)
     filter_ = LogFrequencyFilter(model.segments)
     distinct, inverse = np.unique(token, return_inverse=True)
@@ -271,28 +370,26 @@ def score_texts(model: Model, texts: list[bytes], learned: np.ndarray | None = N
     seen[start], mass[start] = model.begin_count, model.begin_left if model.begin_count else 1.0
     at = np.flatnonzero(context >= 0)
     seen[at], mass[at] = model.head_count[context[at]], model.left_mass[context[at]]
-    key = bigram_key(before, token)
+    code, ahead = codes(place, token, start)
+    key = bigram_code(ahead, code)
     keys, back = np.unique(key, return_inverse=True)
-    pair_level = filter_.levels(keys)[back]
+    pair_level = filter_.levels(bigram_key(keys))[back]
     no_pair = (pair_level == 0) & (model.least[1] > 1)
-    pair = np.maximum(count_at(pair_level) - DISCOUNT, 0)
     if learned is not None and model.least[1] > 1:
         ask = np.flatnonzero(no_pair & np.repeat(learned, np.diff(borders)))
         own = own_counts(key[ask], np.searchsorted(ask, borders))
         sure = own == model.least[1] - 1
-        pair[ask[sure]] = np.maximum(count_at(level_of(own[sure])) - DISCOUNT, 0)
+        pair_level[ask[sure]] = level_of(own[sure])
         no_pair[ask[sure]] = False
     # A bigram of a token that was never seen was not seen either.
     no_pair &= ~(unseen | (~start & np.concatenate(([False], unseen[:-1]))))
     closed = ~(no_alone | no_context | no_pair)
-    p = np.where(seen > 0, mass * alone + pair / np.maximum(seen, 1), alone)
+    p = smoothed(seen, mass, alone, pair_level)
     cut = borders[:-1]
     rare = place < 0
     left = np.flatnonzero(rare | ~closed)
-    values = (token.view(np.int64), before.view(np.int64), key.view(np.int64), rare, ~closed, seen, mass, alone, pair)
-    # Keys that no join needs, and values that only wait with others, take no room.
-    done = closed & rare
-    empty = (~(rare | no_alone), ~no_context, ~no_pair, None, None, no_context | done, no_context | done, no_alone | done, no_pair | done)
+    values = (code.view(np.int64), ahead.view(np.int64), key.view(np.int64), pair_level.astype(np.int32), ~closed)
+    empty = (None, None, ~no_pair, no_pair, None)
     return {
         "n_tokens": np.diff(borders), "head_known": np.add.reduceat((~rare).astype(np.int64), cut),
         "head_base": np.add.reduceat(np.where(rare, 0.0, base), cut),
@@ -331,40 +428,43 @@ def score(docs: DataFrame, model: Model, words: DataFrame, bigrams: DataFrame, f
         F.col("doc_id").cast("long").alias("doc_id"), (fold("doc_id", folds) == 0).alias("held_out"), whole_text().alias("text")
     )
     scored = stage(rows.mapInArrow(run, schema), "scored")
-    found = scored.select("row", F.posexplode("open").alias("at", "o")).select("row", "at", "o.*")
-
-    def ask(rows: DataFrame, needed: Column, key: str, table: DataFrame) -> DataFrame:
-        """Join a table on a key where it is needed; other rows get keys of their own, which meet nothing and are spread."""
-        own = F.when(needed, F.col(key)).otherwise(F.xxhash64("row", "at"))
-        return rows.withColumn("_need", needed).withColumn("_key", own).join(table, "_key", "left")
-
-    def gained(name: str) -> Column:
-        return F.when(F.col("_need"), F.col(name))
-
-    tokens_ = words.select(F.col("key").alias("_key"), F.col("n").alias("_n"))
-    contexts = words.select(F.col("key").alias("_key"), F.col("n").alias("_n"), F.col("left").alias("_left"))
-    found = ask(found, F.col("token").isNotNull(), "token", tokens_).withColumn("own", gained("_n")).drop("_n", "_need", "_key")
-    found = ask(found, F.col("before").isNotNull(), "before", contexts).select(
-        "row", "at", "key", "tail", "wait", "own", "alone", "pair",
-        F.coalesce("seen", gained("_n").cast("double"), F.lit(0.0)).alias("seen"), F.coalesce("mass", gained("_left"), F.lit(1.0)).alias("mass"),
-    )
+    # Each document asks once for a word or bigram; its answers are no more than its own tokens.
+    rare = lambda name: F.filter(f"open.{name}", lambda x: x < 0)
+    waiting = F.transform(F.filter("open", lambda o: o["wait"]), lambda o: o["before"])
+    asked = F.array_distinct(F.concat(rare("token"), F.filter(waiting, lambda x: x < 0)))
+    answers = scored.select("row", F.explode(asked).alias("key")).join(words, "key").select("row", "key", "n", "left")
     if model.least[1] > 1:
-        pairs = bigrams.select(F.col("key").alias("_key"), F.col("n").alias("_n"))
-        found = ask(found, F.col("key").isNotNull(), "key", pairs).withColumn("pair", F.coalesce("pair", F.greatest(quantised(gained("_n")) - F.lit(DISCOUNT), F.lit(0.0)), F.lit(0.0)))
-    alone = F.coalesce("alone", (F.coalesce(quantised(F.col("own")), F.lit(0.0)) + F.lit(0.1)) / F.lit(model.smoothed_total + 0.1 * (model.distinct + 1)))
-    p = F.when(F.col("seen") > 0, F.col("mass") * alone + F.col("pair") / F.greatest("seen", F.lit(1.0))).otherwise(alone)
-    size = F.lit(model.total + 0.1 * (model.distinct + 1))
-    tail = found.groupBy("row").agg(
-        F.count_if(F.col("tail") & F.col("own").isNotNull()).alias("tail_known"),
-        F.sum(F.when(F.col("tail"), F.log10((F.coalesce("own", F.lit(0)) + F.lit(0.1)) / size))).alias("tail_base"),
-        F.sum(F.when(F.col("wait"), F.log10(F.least(p, F.lit(1.0))))).alias("tail_score"),
-    )
-    return scored.drop("open").join(tail, "row", "left").select(
-        "doc_id", "held_out", "n_tokens", (F.col("head_known") + F.coalesce("tail_known", F.lit(0))).alias("n_known"),
-        F.lit(model.total).cast("long").alias("train_tokens"),
-        (F.col("head_base") + F.coalesce("tail_base", F.lit(0.0))).alias("base_score"),
-        (F.col("score") + F.coalesce("tail_score", F.lit(0.0))).alias("score"),
-    )
+        pairs = scored.select("row", F.explode(F.array_distinct(F.filter("open.ask", lambda x: x.isNotNull()))).alias("key"))
+        answers = answers.union(pairs.join(bigrams, "key").select("row", "key", "n", F.lit(None).cast("double")))
+    answers = answers.groupBy("row").agg(F.collect_list(F.struct("key", "n", "left")).alias("answers"))
+
+    def close(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            columns = dict(zip(batch.schema.names, batch.columns, strict=True))
+            opened, found = columns["open"], columns["answers"].flatten()
+            token, before, ask, level, wait = (
+                (c if k == "wait" else c.fill_null(0 if k == "ask" else -1)).to_numpy(zero_copy_only=False) for k, c in zip(OPEN, opened.flatten().flatten(), strict=True)
+            )
+            key, n, left = found.flatten()
+            pair = left.is_null().to_numpy(zero_copy_only=False)
+            key, n = key.to_numpy(), n.to_numpy()
+            rare, known, base, part = finish(
+                shared.value, token, before, ask, level, (key[~pair], n[~pair], left.fill_null(0.0).to_numpy()[~pair]), (key[pair], n[pair]),
+            )
+            borders = np.concatenate(([0], np.cumsum(pc.list_value_length(opened).to_numpy())))
+
+            def total(values: np.ndarray) -> np.ndarray:
+                sums = np.bincount(np.repeat(np.arange(len(borders) - 1), np.diff(borders)), values, len(borders) - 1)
+                return sums if values.dtype == float else sums.astype(np.int64)
+
+            yield pa.RecordBatch.from_arrays([
+                *(columns[c] for c in ("doc_id", "held_out", "n_tokens")),
+                pa.array(columns["head_known"].to_numpy() + total(rare & known)), pa.array(np.full(batch.num_rows, shared.value.total, np.int64)),
+                pa.array(columns["head_base"].to_numpy() + total(base)), pa.array(columns["score"].to_numpy() + total(np.where(wait, part, 0.0))),
+            ], names=["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
+
+    result = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
+    return scored.join(answers, "row", "left").mapInArrow(close, result)
 
 
 def language_model_scores(docs: DataFrame, folds: int = 10) -> DataFrame:
