@@ -103,10 +103,13 @@ def count_at(level: np.ndarray) -> np.ndarray:
     return np.where(level > 0, STEP ** (RAW[np.maximum(level, 1) - 1] - 1.0), 0.0)
 
 
-def positions(key: np.ndarray, level: int | np.ndarray, probe: int) -> np.ndarray:
-    """Place inside its segment of a probe for (key, level)."""
-    x = mix(key + mix(np.atleast_1d(level).astype(U64) * U64(64) + U64(probe)))
-    return x & U64(SEGMENT_BITS - 1)
+def probes(key: np.ndarray, level: int | np.ndarray) -> Iterator[np.ndarray]:
+    """Places inside its segment of each probe for (key, level), by double hashing."""
+    x = mix(key + mix(np.atleast_1d(level).astype(U64)))
+    step = (x >> U64(32)) | U64(1)
+    for _ in range(PROBES):
+        yield x & U64(SEGMENT_BITS - 1)
+        x = x + step
 
 
 class LogFrequencyFilter:
@@ -122,10 +125,12 @@ class LogFrequencyFilter:
         left, level = np.arange(len(key)), 0
         while len(left):
             level += 1
-            for probe in range(PROBES):
-                at = positions(key[left], level, probe)
-                byte = self.segments[base[left] + (at >> U64(3)).astype(np.int64)]
-                left = left[(byte >> (at & U64(7)).astype(np.uint8)) & 1 > 0]
+            missing = np.zeros(len(left), bool)
+            start = base[left]
+            for at in probes(key[left], level):
+                byte = self.segments[start + (at >> U64(3)).astype(np.int64)]
+                missing |= (byte >> (at & U64(7)).astype(np.uint8)) & 1 == 0
+            left = left[~missing]
             out[left] = level
         return out
 
@@ -135,8 +140,8 @@ def segment_bytes(key: np.ndarray, level: np.ndarray) -> bytes:
     bits = np.zeros(SEGMENT_BITS, bool)
     who = np.repeat(np.arange(len(key)), level)
     each = np.arange(len(who)) - np.repeat(np.cumsum(level) - level, level) + 1
-    for probe in range(PROBES):
-        bits[positions(key[who], each, probe).astype(np.int64)] = True
+    for at in probes(key[who], each):
+        bits[at.astype(np.int64)] = True
     return np.packbits(bits, bitorder="little").tobytes()
 
 
@@ -220,6 +225,44 @@ def quantised(n: Column) -> Column:
     return F.pow(F.lit(STEP), F.floor(F.log(n) / F.lit(math.log(STEP)) + F.lit(1e-9)))
 
 
+def filter_of(held: DataFrame, entries: int) -> np.ndarray:
+    """Segments with all levels of (kind, key, level); kind 1 is a token, 2 a bigram's code.  At most ``MAX_BITS``."""
+    segments = max(1, math.ceil(min(entries * BITS_PER_ENTRY, MAX_BITS) / SEGMENT_BITS))
+
+    def place_keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            kind, key = batch.column(0).to_numpy(), batch.column(1).to_numpy().view(U64)
+            key = np.where(kind == 1, key, bigram_key(key))
+            segment = ((key >> U64(33)) % U64(segments)).astype(np.int32)
+            yield pa.RecordBatch.from_arrays([pa.array(segment), pa.array(key.view(np.int64)), batch.column(2)], names=["segment", "key", "level"])
+
+    def build(rows: pd.DataFrame) -> pd.DataFrame:
+        bits = segment_bytes(rows["key"].to_numpy(np.int64).view(U64), rows["level"].to_numpy(np.int64))
+        return pd.DataFrame({"segment": [rows["segment"].iloc[0]], "bits": [bits]})
+
+    built = held.mapInArrow(place_keys, "segment int, key long, level int").groupBy("segment").applyInPandas(build, "segment int, bits binary")
+    table = np.zeros((segments, SEGMENT_BITS // 8), np.uint8)
+    for row in built.collect():
+        table[row["segment"]] = np.frombuffer(row["bits"], np.uint8)
+    return table
+
+
+def that_may_match(table: DataFrame, asked: DataFrame) -> DataFrame:
+    """Rows (key, n) of bigrams that a filter of the asked codes lets through.
+
+    Only a saving before the join: with more codes than ``MAX_BITS`` suits it lets more rows pass, and drops none that is asked for.
+    """
+    codes_ = asked.select(F.lit(2).alias("kind"), "key", F.lit(1).alias("level"))
+    shared = table.sparkSession.sparkContext.broadcast(filter_of(codes_, asked.count()))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = LogFrequencyFilter(shared.value)
+        for batch in batches:
+            yield batch.filter(pa.array(held.levels(bigram_key(batch.column(0).to_numpy().view(U64))) > 0))
+
+    return table.select("key", "n").mapInArrow(run, "key long, n long")
+
+
 def fit(docs: DataFrame, folds: int) -> tuple[Model, tuple[DataFrame, DataFrame]]:
     """The model; (key, n, left), count and mass left after each token that is not broadcast; (key, n), bigrams that are not in the filter."""
     training = docs.where(fold("doc_id", folds) != 0).select(whole_text().alias("text"))
@@ -250,23 +293,7 @@ def fit(docs: DataFrame, folds: int) -> tuple[Model, tuple[DataFrame, DataFrame]
     one, two = _cutoffs([tuple(r) for r in histogram.collect()])
     held = both.where(F.when(F.col("kind") == 1, F.col("n") >= one).otherwise(F.col("n") >= two)).select("kind", "key", level_sql("n").alias("level"))
     entries = held.agg(F.sum("level")).first()[0] or 0
-    segments = max(1, math.ceil(entries * BITS_PER_ENTRY / SEGMENT_BITS))
-
-    def place_keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            kind, key = batch.column(0).to_numpy(), batch.column(1).to_numpy().view(U64)
-            key = np.where(kind == 1, key, bigram_key(key))
-            segment = ((key >> U64(33)) % U64(segments)).astype(np.int32)
-            yield pa.RecordBatch.from_arrays([pa.array(segment), pa.array(key.view(np.int64)), batch.column(2)], names=["segment", "key", "level"])
-
-    def build(rows: pd.DataFrame) -> pd.DataFrame:
-        bits = segment_bytes(rows["key"].to_numpy(np.int64).view(U64), rows["level"].to_numpy(np.int64))
-        return pd.DataFrame({"segment": [rows["segment"].iloc[0]], "bits": [bits]})
-
-    built = held.mapInArrow(place_keys, "segment int, key long, level int").groupBy("segment").applyInPandas(build, "segment int, bits binary")
-    table = np.zeros((segments, SEGMENT_BITS // 8), np.uint8)
-    for row in built.collect():  # at most MAX_BITS
-        table[row["segment"]] = np.frombuffer(row["bits"], np.uint8)
+    table = filter_of(held, entries)
     context = F.when(F.col("key") >= 0, F.shiftright("key", PLACE_BITS)).otherwise(F.col("before"))
     kept = F.greatest(quantised(F.col("n")) - F.lit(DISCOUNT), F.lit(0.0))
     used = stage(bigrams.groupBy(context.alias("key")).agg(F.sum(kept).alias("used")), "used")
@@ -290,10 +317,12 @@ def fit(docs: DataFrame, folds: int) -> tuple[Model, tuple[DataFrame, DataFrame]
     return model, (words, bigrams.where(F.col("n") < two).select("key", "n"))
 
 
-#: Tokens left open: codes of the token and the one before it, the bigram's level or, where it has to be asked for, its
-#: code; ``wait`` if their part of the score is missing.  A token that is not broadcast always lacks its part of the base.
-OPEN = {"token": pa.int64(), "before": pa.int64(), "ask": pa.int64(), "level": pa.int32(), "wait": pa.bool_()}
-OPEN_SQL = "token: long, before: long, ask: long, level: int, wait: boolean"
+#: Tokens left open, as lists side by side: codes of the token and the one before it, the bigram's level (``ASK`` where its
+#: count has to be asked for), and ``wait`` if their part of the score is missing.  A token that is not broadcast always
+#: lacks its part of the base.
+OPEN = {"token": pa.int64(), "before": pa.int64(), "level": pa.int16(), "wait": pa.bool_()}
+OPEN_SQL = "token array<long>, before array<long>, level array<smallint>, wait array<boolean>"
+ASK = -1
 
 
 def own_counts(key: np.ndarray, borders: np.ndarray) -> np.ndarray:
@@ -313,7 +342,7 @@ def smoothed(seen: np.ndarray, mass: np.ndarray, alone: np.ndarray, level: np.nd
     return np.where(seen > 0, mass * alone + pair / np.maximum(seen, 1), alone)
 
 
-def finish(model: Model, token: np.ndarray, before: np.ndarray, ask: np.ndarray, level: np.ndarray, words: tuple, pairs: tuple) -> tuple:
+def finish(model: Model, token: np.ndarray, before: np.ndarray, level: np.ndarray, words: tuple, pairs: tuple) -> tuple:
     """Of open tokens: whether each lacks its part of the base, whether it was seen, that part, and the score's part.
 
     ``words`` (codes, counts, left masses) and ``pairs`` (codes, counts) are the answers for at least these tokens; what has none was never seen.
@@ -339,8 +368,11 @@ def finish(model: Model, token: np.ndarray, before: np.ndarray, ask: np.ndarray,
         quantum = np.where(common, count_at(model.head_level[np.where(common, token, 0)]), quantum)
     alone = (quantum + 0.1) / (model.smoothed_total + 0.1 * (model.distinct + 1))
     _, seen, mass = counts(before)
-    (n,) = answered(pairs[0], ask, pairs[1])
-    p = smoothed(seen, mass, alone, np.where(level >= 0, level, np.where(n > 0, level_of(n), 0)))
+    level, open_ = level.astype(np.int64), np.flatnonzero(level == ASK)
+    code = bigram_code(before[open_].view(U64), token[open_].view(U64))
+    (n,) = answered(pairs[0], code.view(np.int64), pairs[1])
+    level[open_] = np.where(n > 0, level_of(n), 0)
+    p = smoothed(seen, mass, alone, level)
     base = np.log10((own + 0.1) / (model.total + 0.1 * (model.distinct + 1)))
     return ~common, ~common & (own > 0), np.where(common, 0.0, base), np.log10(np.minimum(p, 1.0))
 
@@ -388,26 +420,24 @@ def score_texts(model: Model, texts: list[bytes], learned: np.ndarray | None = N
     cut = borders[:-1]
     rare = place < 0
     left = np.flatnonzero(rare | ~closed)
-    values = (code.view(np.int64), ahead.view(np.int64), key.view(np.int64), pair_level.astype(np.int32), ~closed)
-    empty = (None, None, ~no_pair, no_pair, None)
+    values = (code.view(np.int64), ahead.view(np.int64), np.where(no_pair, ASK, pair_level).astype(np.int16), ~closed)
+    ask = np.flatnonzero(no_pair)
     return {
         "n_tokens": np.diff(borders), "head_known": np.add.reduceat((~rare).astype(np.int64), cut),
         "head_base": np.add.reduceat(np.where(rare, 0.0, base), cut),
         "score": np.add.reduceat(np.where(closed, np.log10(np.minimum(p, 1.0)), 0.0), cut),
-        "open": pa.StructArray.from_arrays([
-            pa.array(v[left], kind, mask=None if e is None else e[left]) for v, e, kind in zip(values, empty, OPEN.values(), strict=True)
-        ], names=list(OPEN)),
-        "open_borders": np.searchsorted(left, borders),
+        **{name: pa.array(v[left], kind) for (name, kind), v in zip(OPEN.items(), values, strict=True)},
+        "open_borders": np.searchsorted(left, borders), "ask": pa.array(key[ask].view(np.int64)), "ask_borders": np.searchsorted(ask, borders),
     }
 
 
 def score(docs: DataFrame, model: Model, words: DataFrame, bigrams: DataFrame, folds: int) -> DataFrame:
     """Every row with exact base and model score."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    names = ["row", "doc_id", "held_out", "n_tokens", "head_known", "head_base", "score", "open"]
+    names = ["row", "doc_id", "held_out", "n_tokens", "head_known", "head_base", "score", *OPEN, "ask"]
     schema = (
         "row long, doc_id long, held_out boolean, n_tokens long, head_known long, head_base double, score double, "
-        f"open array<struct<{OPEN_SQL}>>"
+        f"{OPEN_SQL}, ask array<long>"
     )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -417,10 +447,11 @@ def score(docs: DataFrame, model: Model, words: DataFrame, bigrams: DataFrame, f
             for at, texts in text_groups(batch, "text"):
                 found = score_texts(shared.value, texts, ~held_out[at : at + len(texts)])
                 n = len(texts)
-                left = pa.ListArray.from_arrays(pa.array(found["open_borders"].astype(np.int32)), found["open"])
+                left = [pa.ListArray.from_arrays(pa.array(found["open_borders"].astype(np.int32)), found[c]) for c in OPEN]
+                left.append(pa.ListArray.from_arrays(pa.array(found["ask_borders"].astype(np.int32)), found["ask"]))
                 yield pa.RecordBatch.from_arrays([
                     pa.array(np.arange(row, row + n)), batch.column(0).slice(at, n), batch.column(1).slice(at, n),
-                    *(pa.array(found[c]) for c in names[3:7]), left,
+                    *(pa.array(found[c]) for c in names[3:7]), *left,
                 ], names=names)
                 row += n
 
@@ -429,29 +460,29 @@ def score(docs: DataFrame, model: Model, words: DataFrame, bigrams: DataFrame, f
     )
     scored = stage(rows.mapInArrow(run, schema), "scored")
     # Each document asks once for a word or bigram; its answers are no more than its own tokens.
-    rare = lambda name: F.filter(f"open.{name}", lambda x: x < 0)
-    waiting = F.transform(F.filter("open", lambda o: o["wait"]), lambda o: o["before"])
-    asked = F.array_distinct(F.concat(rare("token"), F.filter(waiting, lambda x: x < 0)))
-    answers = scored.select("row", F.explode(asked).alias("key")).join(words, "key").select("row", "key", "n", "left")
+    waiting = F.filter(F.zip_with("before", "wait", lambda b, w: F.when(w, b)), lambda b: b < 0)
+    asked = F.array_distinct(F.concat(F.filter("token", lambda x: x < 0), waiting))
+    answers = (
+        scored.select("row", F.explode(asked).alias("key")).join(words.hint("shuffle_hash"), "key").select("row", "key", "n", "left")
+    )
     if model.least[1] > 1:
-        pairs = scored.select("row", F.explode(F.array_distinct(F.filter("open.ask", lambda x: x.isNotNull()))).alias("key"))
-        answers = answers.union(pairs.join(bigrams, "key").select("row", "key", "n", F.lit(None).cast("double")))
+        pairs = scored.select("row", F.explode(F.array_distinct("ask")).alias("key"))
+        found = pairs.join(that_may_match(bigrams, pairs).hint("shuffle_hash"), "key")
+        answers = answers.union(found.select("row", "key", "n", F.lit(None).cast("double")))
     answers = answers.groupBy("row").agg(F.collect_list(F.struct("key", "n", "left")).alias("answers"))
 
     def close(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             columns = dict(zip(batch.schema.names, batch.columns, strict=True))
-            opened, found = columns["open"], columns["answers"].flatten()
-            token, before, ask, level, wait = (
-                (c if k == "wait" else c.fill_null(0 if k == "ask" else -1)).to_numpy(zero_copy_only=False) for k, c in zip(OPEN, opened.flatten().flatten(), strict=True)
-            )
+            found = columns["answers"].flatten()
+            token, before, level, wait = (columns[c].flatten().to_numpy(zero_copy_only=False) for c in OPEN)
             key, n, left = found.flatten()
             pair = left.is_null().to_numpy(zero_copy_only=False)
             key, n = key.to_numpy(), n.to_numpy()
             rare, known, base, part = finish(
-                shared.value, token, before, ask, level, (key[~pair], n[~pair], left.fill_null(0.0).to_numpy()[~pair]), (key[pair], n[pair]),
+                shared.value, token, before, level, (key[~pair], n[~pair], left.fill_null(0.0).to_numpy()[~pair]), (key[pair], n[pair]),
             )
-            borders = np.concatenate(([0], np.cumsum(pc.list_value_length(opened).to_numpy())))
+            borders = np.concatenate(([0], np.cumsum(pc.list_value_length(columns["token"]).to_numpy())))
 
             def total(values: np.ndarray) -> np.ndarray:
                 sums = np.bincount(np.repeat(np.arange(len(borders) - 1), np.diff(borders)), values, len(borders) - 1)
@@ -464,7 +495,7 @@ def score(docs: DataFrame, model: Model, words: DataFrame, bigrams: DataFrame, f
             ], names=["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
 
     result = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
-    return scored.join(answers, "row", "left").mapInArrow(close, result)
+    return scored.drop("ask").join(answers, "row", "left").mapInArrow(close, result)
 
 
 def language_model_scores(docs: DataFrame, folds: int = 10) -> DataFrame:
