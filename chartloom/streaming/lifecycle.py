@@ -1,16 +1,19 @@
 """Streaming form of the draft life-cycle: admission, confirm, expiry.
 
-Every job is an ordinary streaming DataFrame; ``drain`` runs one over all data
-that is available now, with its checkpoint in the shared folder.
+A job is an ordinary streaming DataFrame, or a ``DraftJob`` whose state lies in
+narrow tables; ``drain`` runs one over all data that is available now, with its
+checkpoint in the shared folder.
 """
 
 from __future__ import annotations
 
 import uuid
 from collections.abc import Callable
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import TimestampType
 
 from chartloom.config import Limits
 from chartloom.operators.admission import admit
@@ -35,8 +38,31 @@ def run_folder(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/streams/{name}-{uuid.uuid4().hex}"
 
 
-def drain(stream: DataFrame, name: str) -> DataFrame:
+@dataclass(frozen=True)
+class DraftJob:
+    """Drafts (key, created_at) against requests (key, requested_at) in event time: what was confirmed, or what expired."""
+
+    drafts: DataFrame
+    requests: DataFrame
+    key: str
+    ttl_hours: int
+    delay: str
+    expired: bool
+
+
+def run_batches(rows: DataFrame, base: str, take: Callable[[DataFrame, int], None]) -> None:
+    """Call ``take`` once per micro-batch of what is available; a replay gets the same number again."""
+    running = (
+        rows.writeStream.foreachBatch(take).option("checkpointLocation", f"{base}/checkpoint")
+        .trigger(availableNow=True).start()
+    )
+    running.awaitTermination()
+
+
+def drain(stream: DataFrame | DraftJob, name: str) -> DataFrame:
     """Run a job over everything available and return its output table."""
+    if isinstance(stream, DraftJob):
+        return _drain_drafts(stream, run_folder(stream.drafts.sparkSession, name))
     spark = stream.sparkSession
     base = f"{shared_dir(spark)}/streams/{name}-{uuid.uuid4().hex}"
     running = (
@@ -63,39 +89,75 @@ def drain_batches(stream: DataFrame, name: str, handle: Callable[[DataFrame], Da
     return spark.read.option("basePath", f"{base}/out").parquet(f"{base}/out").drop("batch_id")
 
 
-def _in_time(ttl_hours: int) -> Column:
-    return F.expr(f"requested_at BETWEEN created_at AND created_at + INTERVAL {int(ttl_hours)} HOURS")
+def _micros(spark: SparkSession, interval: str) -> int:
+    return spark.range(1).select(F.expr(f"unix_micros(timestamp_micros(0) + INTERVAL {interval})")).first()[0]
 
 
-def _sides(drafts: DataFrame, requests: DataFrame, key: str, delay: str) -> tuple[DataFrame, DataFrame, Column]:
-    """Watermarked sides; exact retries of a request drop out before the join.
+def _drain_drafts(job: DraftJob, base: str) -> DataFrame:
+    """Each micro-batch is stored as narrow rows and joined with the stored ones that a draft or request can still meet.
 
-    A draft is one row per key, so a key with very many requests joins linearly.
+    As with Spark's own joins in event time, the watermark is the smaller of both sides' latest times less the
+    delay, rows that come later than it are dropped, and stored rows that it has passed are not read any more.  Nothing is
+    held in memory between batches, so the join can spill.
     """
-    left = drafts.select(key, "created_at").withWatermark("created_at", delay)
-    right = (
-        requests.select(F.col(key).alias("_key"), "requested_at").withWatermark("requested_at", delay)
-        .dropDuplicates(["_key", "requested_at"])
+    spark, key = job.drafts.sparkSession, job.key
+    ttl, delay = job.ttl_hours * 3_600_000_000, _micros(spark, job.delay)
+    rows = job.drafts.select(key, F.unix_micros(F.col("created_at").cast(TimestampType())).alias("at_us"), F.lit(True).alias("is_draft")).unionByName(
+        job.requests.select(key, F.unix_micros(F.col("requested_at").cast(TimestampType())).alias("at_us"), F.lit(False).alias("is_draft"))
     )
-    return left, right, F.col(key) == F.col("_key")
+    kind = dict(rows.dtypes)[key]
+    stored = f"`{key}` {kind}, at_us long, is_draft boolean, batch_id long"
+    found = f"`{key}` {kind}, created_us long, batch_id long"
+
+    def marks(batch_id: int) -> tuple[int | None, int | None]:
+        if batch_id < 0:
+            return None, None
+        return tuple(spark.read.schema("draft_us long, request_us long").parquet(f"{base}/marks/batch_id={batch_id}").first())
+
+    def watermark(sides: tuple[int | None, int | None]) -> int | None:
+        return None if None in sides else min(sides) // 1000 * 1000 - delay
+
+    def take(batch: DataFrame, batch_id: int) -> None:
+        seen = marks(batch_id - 1)
+        passed = watermark(seen)
+        fresh = batch if passed is None else batch.where(F.col("at_us") > passed)
+        fresh.write.mode("overwrite").parquet(f"{base}/events/batch_id={batch_id}")
+        events = spark.read.schema(stored).parquet(f"{base}/events").where(F.col("batch_id") <= batch_id)
+        latest = events.where(F.col("batch_id") == batch_id).agg(*[F.max(F.when(side, F.col("at_us"))) for side in (F.col("is_draft"), ~F.col("is_draft"))]).first()
+        seen = tuple(max((t for t in pair if t is not None), default=None) for pair in zip(seen, latest))
+        spark.createDataFrame([seen], "draft_us long, request_us long").write.mode("overwrite").parquet(f"{base}/marks/batch_id={batch_id}")
+        if passed is not None:
+            events = events.where(F.col("at_us") > passed - ttl)
+        drafts = events.where("is_draft").select(key, F.col("at_us").alias("created_us"))
+        requests = events.where("NOT is_draft").select(F.col(key).alias("_key"), "at_us")
+        meet = (F.col(key) == F.col("_key")) & F.col("at_us").between(F.col("created_us"), F.col("created_us") + ttl)
+        if job.expired:
+            until = watermark(seen)
+            over = F.lit(False) if until is None else F.col("created_us") + ttl <= until
+            out = drafts.where(over).join(requests, meet, "left_anti")
+        else:
+            out = drafts.join(requests, meet, "left_semi").groupBy(key).agg(F.min("created_us").alias("created_us"))
+            if batch_id:
+                told = spark.read.schema(found).parquet(f"{base}/out").where(F.col("batch_id") < batch_id)
+                out = out.join(told, key, "left_anti")
+        out.write.mode("overwrite").parquet(f"{base}/out/batch_id={batch_id}")
+
+    run_batches(rows, base, take)
+    return spark.read.schema(found).parquet(f"{base}/out").select(key, F.timestamp_micros("created_us").alias("created_at"))
 
 
 def confirmed_drafts(
     drafts: DataFrame, requests: DataFrame, key: str, ttl_hours: int = 24, delay: str = DELAY
-) -> DataFrame:
+) -> DraftJob:
     """Drafts confirmed in time, each once however often the confirm is repeated."""
-    left, right, same = _sides(drafts, requests, key, delay)
-    hits = left.join(right, same & _in_time(ttl_hours), "inner").select(key, "created_at")
-    return hits.dropDuplicatesWithinWatermark([key])
+    return DraftJob(drafts, requests, key, ttl_hours, delay, expired=False)
 
 
 def expired_drafts(
     drafts: DataFrame, requests: DataFrame, key: str, ttl_hours: int = 24, delay: str = DELAY
-) -> DataFrame:
+) -> DraftJob:
     """Drafts whose time to live passed, by event time, without a confirm."""
-    left, right, same = _sides(drafts, requests, key, delay)
-    joined = left.join(right, same & _in_time(ttl_hours), "left_outer")
-    return joined.where("_key IS NULL").select(key, "created_at")
+    return DraftJob(drafts, requests, key, ttl_hours, delay, expired=True)
 
 
 def admitted_uploads(files: DataFrame, limits: Limits = Limits(), name: str = "admission") -> DataFrame:

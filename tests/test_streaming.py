@@ -1,9 +1,13 @@
 """Streaming jobs over several arrivals against plain Python."""
 
 import datetime as dt
+import glob
+import os
+import uuid
 
 import pytest
 
+from chartloom.session import shared_dir
 from chartloom.streaming import lifecycle as jobs
 
 T0 = dt.datetime(2024, 1, 1)
@@ -54,3 +58,26 @@ def test_admission_in_batches(spark, sf_dir):
 
     stream = file_columns(jobs.table_stream(spark, sf_dir, "documents")).drop("content")
     assert rows(jobs.admitted_uploads(stream)) == rows(admit(file_columns(table(spark, sf_dir, "documents")).drop("content")))
+
+
+@pytest.mark.parametrize("job", [jobs.confirmed_drafts, jobs.expired_drafts])
+def test_no_row_waits_in_a_state_store(spark, arrivals, job):
+    root, *_ = arrivals
+    name = f"stateless-{uuid.uuid4().hex}"
+    jobs.drain(job(*_streams(spark, root), "k"), name).collect()
+    base = glob.glob(f"{shared_dir(spark).removeprefix('file:')}/streams/{name}-*")
+    assert len(base) == 1 and not os.path.exists(f"{base[0]}/checkpoint/state")
+
+
+def test_event_time_joins_over_several_batches(spark, arrivals):
+    """In time order, one file of each side at a time: the same rows as in one batch, once each."""
+    root, drafts, hits, requests = arrivals
+
+    def pieces():
+        return [jobs.table_stream(spark, root, name, maxFilesPerTrigger="1") for name in ("drafts", "requests")]
+
+    done = [r.k for r in jobs.drain(jobs.confirmed_drafts(*pieces(), "k", delay="30 days"), "t").collect()]
+    assert sorted(done) == sorted(hits)
+    last = min(max(drafts.values()), max(at for _, at in requests))
+    left = [r.k for r in jobs.drain(jobs.expired_drafts(*pieces(), "k", delay="5 days"), "t").collect()]
+    assert sorted(left) == sorted(k for k, t in drafts.items() if k not in hits and t + 144 * HOUR <= last)
