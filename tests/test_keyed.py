@@ -55,6 +55,29 @@ def test_draft_states_over_unordered_files_and_a_restart(spark, tmp_path, monkey
     assert {r.k for r in keyed.expired(result, "k", late).collect()} == {k for k, _ in drafts} - hits
 
 
+def test_draft_states_need_no_state_store_and_skip_requests_without_a_time(spark, tmp_path):
+    root, base = str(tmp_path), f"file://{tmp_path}/run"
+    put(spark, [(1, T0), (1, T0 + HOUR), (2, T0), (3, None)], "k long, created_at timestamp", f"{root}/drafts.parquet")
+    put(spark, [(1, T0 + 3 * HOUR, "confirm"), (1, T0 + 2 * HOUR, "confirm"), (1, None, "confirm"), (2, T0 + 30 * HOUR, "discard"), (3, T0, "confirm")],
+        "k long, requested_at timestamp, action string", f"{root}/requests.parquet")
+    events = keyed.draft_events(source(spark, root, "drafts"), source(spark, root, "requests"), "k")
+    found = {r.k: r.confirm_us for r in keyed.draft_changes(events, "k", base).collect()}
+    assert found == {1: int((T0 + 2 * HOUR).replace(tzinfo=dt.timezone.utc).timestamp() * 1_000_000), 2: None}
+    assert not (tmp_path / "run/checkpoint/state").exists()
+
+
+def test_state_of_a_draft_goes_after_its_time(spark, tmp_path):
+    """A forgotten draft is made anew by its next row; a kept one stays."""
+    for keep_ms, created in ((1, T0 + HOUR), (None, T0)):
+        root, base = f"{tmp_path}/{keep_ms}", f"file://{tmp_path}/{keep_ms}/run"
+        put(spark, [(1, T0, "confirm")], "k long, requested_at timestamp, action string", f"{root}/requests.parquet")
+        for at in (T0, T0 + HOUR):
+            put(spark, [(1, at)], "k long, created_at timestamp", f"{root}/drafts.parquet")
+            events = keyed.draft_events(source(spark, root, "drafts"), source(spark, root, "requests"), "k")
+            got = keyed.draft_changes(events, "k", base, keep_ms=keep_ms).collect()
+        assert [r.created_us for r in got] == [int(created.replace(tzinfo=dt.timezone.utc).timestamp() * 1_000_000)]
+
+
 @pytest.fixture
 def pieces():
     """Sets of one to six files, some refused, a few delivered twice."""
