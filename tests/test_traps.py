@@ -201,3 +201,8 @@ def test_formulas(one):
     pta = rules.altered_tissue_percent(F.lit(110.0), F.lit(70.0), F.lit(500.0))
     none = rules.altered_tissue_percent(F.lit(110.0), F.lit(70.0), F.lit(0.0))
     assert one(pta, none, rules.residual_bed(F.lit(110.0), F.lit(70.0), F.lit(500.0)))[:] == (36.0, None, 320.0)
+
+
+def test_leaves_take_members_out_once_per_level(spark):
+    conversions = str(v.leaves(F.col("d"), 3)).count("try_variant_get")
+    assert conversions <= 3 + 2  # the root, each level and the fold below them
