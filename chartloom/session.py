@@ -11,10 +11,14 @@ SEMANTIC_CONF = {
     "spark.sql.variant.allowDuplicateKeys": "true",
 }
 
+#: The JVM compiles no method above 8,000 bytes, so a stage fused into a larger one would be interpreted row by row.
+#: Such a stage runs operator by operator instead, each expression split into small methods.  Results do not depend on it.
+SPEED_CONF = {"spark.sql.codegen.hugeMethodLimit": "8000"}
+
 
 def prepare(spark: SparkSession) -> SparkSession:
-    """Set the runtime options that results depend on; sizing stays the caller's."""
-    for key, value in SEMANTIC_CONF.items():
+    """Set the runtime options that results or compiled code depend on; sizing stays the caller's."""
+    for key, value in (SEMANTIC_CONF | SPEED_CONF).items():
         if spark.conf.get(key, None) != value:
             spark.conf.set(key, value)
     return spark

@@ -100,3 +100,11 @@ def test_document_is_parsed_once_without_data_shuffles(spark, sf_dir, name):
     assert plan.count("VariantExpressionEvalUtils.parseJson(CASE") == 1
     # The only exchange spreads narrow input rows over the cores of a small session.
     assert plan.count("Exchange") == plan.count("Exchange RoundRobinPartitioning")
+
+
+def test_stages_too_large_to_compile_are_not_fused(spark, sf_dir):
+    # Above 8,000 bytes the JVM interprets a method; Spark's own limit of 65,535 lets such stages through.
+    spark.conf.unset("spark.sql.codegen.hugeMethodLimit")
+    rows = QUERIES["eye_gold"](spark, sf_dir)
+    assert int(spark.conf.get("spark.sql.codegen.hugeMethodLimit")) <= 8000
+    assert rows.count() == 2 * spark.read.parquet(f"{sf_dir}/orders.parquet").count()
