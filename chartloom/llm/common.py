@@ -18,6 +18,14 @@ from chartloom.session import shared_dir
 #: Documents are handled in groups of about so many bytes, which bounds the arrays of a task.
 CHUNK_BYTES = 1 << 20
 
+#: Options that bound what a task and a finished step hold, set where the caller has set none.  Results do not depend on them.
+BOUNDS_CONF = {
+    # A batch on its way to Python is held outside the heap, and again in the worker, for every task at work.
+    "spark.sql.execution.arrow.maxBytesPerBatch": "4m",
+    # A step's shuffle files go when the step ends: its rows are stored or with the driver by then.
+    "spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true",
+}
+
 
 def work_path(spark: SparkSession, name: str) -> str:
     """A new folder below the one that driver and executors share."""
@@ -25,10 +33,13 @@ def work_path(spark: SparkSession, name: str) -> str:
 
 
 def reachable(spark: SparkSession) -> SparkSession:
-    """Let Python workers started on this machine import the package from where the driver has it.
+    """Let Python workers started on this machine import the package from where the driver has it, and bound batches and shuffle files.
 
     On a cluster the package is installed on the executors.
     """
+    for key, value in BOUNDS_CONF.items():
+        if spark.conf.get(key, None) is None:
+            spark.conf.set(key, value)
     root, environment = str(Path(__file__).resolve().parents[2]), spark.sparkContext.environment
     paths = [p for p in environment.get("PYTHONPATH", "").split(os.pathsep) if p]
     if root not in paths:
