@@ -92,3 +92,15 @@ def test_pretty_matches_the_usual_indentation(spark, trees):
     for row in df.select("i", text.pretty_json(F.to_json(F.parse_json("a"))).alias("p")).collect():
         plain = json.dumps(trees[row.i], indent=2, ensure_ascii=False, sort_keys=True)
         assert row.p == plain.replace("<", "\\u003c")
+
+
+def test_depth_of_a_json_token_is_summed_over_few_tokens_across_all_borders(spark):
+    # A token's depth took up to 255 steps from the start of its run before.
+    assert text.JSON_RUN + text.JSON_BLOCK <= 32
+    per_block = text.JSON_RUN * text.JSON_BLOCK
+    # Members before the nested part move its brackets over the borders of runs and blocks.
+    docs = [{**{f"k{i:04d}": i for i in range(n)}, "z": json.loads("[" * d + "1" + "]" * d)}
+            for n, d in ((0, 1), (3, 17), (4, 40), (63, 5), (64, 20), (per_block // 4 + 1, 33), (per_block, 90))]
+    df = spark.createDataFrame([(i, json.dumps(doc)) for i, doc in enumerate(docs)], "i int, a string")
+    for row in df.select("i", text.pretty_json(F.to_json(F.parse_json("a"))).alias("p")).collect():
+        assert row["p"] == json.dumps(docs[row["i"]], indent=2)
