@@ -5,7 +5,9 @@ to (n-gram, q); its count is read back by probing levels until one is missing.
 cut into segments that are built in separate tasks; its size follows the corpus up to
 ``MAX_BITS``.  When more n-grams are seen than fit at ``BITS_PER_ENTRY``, the rarest counts stay
 out of the filter, so that its error rate stays and the broadcast is bounded; they are looked
-up in the written tables of counts by joins, so no cutoff changes a count.
+up in the written tables of counts by joins, so no cutoff changes a count.  A bigram that is neither in the filter nor in a
+second one, of the bigrams left out that were seen twice or more, was seen once at most: exactly once where it stands in a
+text that was learned from, so that most of what stayed out needs no join.
 
 All bigrams are counted.  The ``HEAD_WORDS`` most frequent tokens (a parameter of the model) are broadcast
 with exact counts and left mass, 6 MB, and have small numbers; a bigram of two of them is kept under these
@@ -32,7 +34,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark import TaskContext
+from pyspark import Broadcast, TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -103,10 +105,15 @@ def count_at(level: np.ndarray) -> np.ndarray:
     return np.where(level > 0, STEP ** (RAW[np.maximum(level, 1) - 1] - 1.0), 0.0)
 
 
-def probes(key: np.ndarray, level: int | np.ndarray) -> Iterator[np.ndarray]:
-    """Places inside its segment of each probe for (key, level), by double hashing."""
+def first_probe(key: np.ndarray, level: int | np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of (key, level): the first probe and the step to the next one (double hashing)."""
     x = mix(key + mix(np.atleast_1d(level).astype(U64)))
-    step = (x >> U64(32)) | U64(1)
+    return x, (x >> U64(32)) | U64(1)
+
+
+def probes(key: np.ndarray, level: int | np.ndarray) -> Iterator[np.ndarray]:
+    """Places inside its segment of each probe for (key, level)."""
+    x, step = first_probe(key, level)
     for _ in range(PROBES):
         yield x & U64(SEGMENT_BITS - 1)
         x = x + step
@@ -125,15 +132,24 @@ class LogFrequencyFilter:
         left, level = np.arange(len(key)), 0
         while len(left):
             level += 1
-            missing = np.zeros(len(left), bool)
-            start = base[left]
-            for at in probes(key[left], level):
-                byte = self.segments[start + (at >> U64(3)).astype(np.int64)]
-                missing |= (byte >> (at & U64(7)).astype(np.uint8)) & 1 == 0
-            left = left[~missing]
+            left = left[self._holds(base[left], key[left], level)]
             out[left] = level
         return out
 
+    def _holds(self, start: np.ndarray, key: np.ndarray, level: int) -> np.ndarray:
+        """Which keys all probes of a level find; most others are given up after the first few."""
+        x, step = first_probe(key, level)
+        here, found = np.arange(len(key)), np.ones(len(key), bool)
+        for number in range(PROBES):
+            at = x & U64(SEGMENT_BITS - 1)
+            byte = self.segments[start + (at >> U64(3)).astype(np.int64)]
+            found &= (byte >> (at & U64(7)).astype(np.uint8)) & 1 != 0
+            if number in (0, 2) and 4 * np.count_nonzero(found) < 3 * len(found):
+                here, start, x, step = here[found], start[found], x[found], step[found]
+                found = np.ones(len(here), bool)
+            x = x + step
+        return here[found]
+
 
 def segment_bytes(key: np.ndarray, level: np.ndarray) -> bytes:
     """One segment that holds all levels of its n-grams."""
@@ -162,6 +178,8 @@ class Model:
     segments: np.ndarray
     #: Levels of the head as the filter gives them, probed once.
     head_level: np.ndarray
+    #: Filter of the bigrams seen twice or more that are not in the other one.
+    several: np.ndarray
 
     def place(self, token: np.ndarray) -> np.ndarray:
         """Index in the sorted head, -1 for other tokens."""
@@ -183,13 +201,21 @@ def codes(place: np.ndarray, token: np.ndarray, start: np.ndarray) -> tuple[np.n
     return code, before
 
 
+def runs(values: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of each distinct value, smallest first, one place and how often it occurs; and the order that sorts the values."""
+    order = np.argsort(values)
+    ranked = values[order]
+    first = np.flatnonzero(np.concatenate((np.ones(min(1, len(ranked)), bool), ranked[1:] != ranked[:-1])))
+    return order[first], np.diff(np.concatenate((first, [len(ranked)]))), order
+
+
 def _counted(docs: DataFrame, columns: str, gather) -> DataFrame:
     """Counts of what ``gather`` (texts to arrays of 64-bit values) finds, summed in each task before the shuffle."""
     names = [c.split()[0] for c in columns.split(", ")]
 
     def rows(parts: list[np.ndarray]) -> pa.RecordBatch:
         table = np.concatenate(parts, axis=1)
-        _, one, n = np.unique(table[0], return_index=True, return_counts=True)
+        one, n, _ = runs(table[0])
         return pa.RecordBatch.from_arrays([*(pa.array(c[one].view(np.int64)) for c in table), pa.array(n)], names=[*names, "n"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -247,18 +273,23 @@ def filter_of(held: DataFrame, entries: int) -> np.ndarray:
     return table
 
 
-def that_may_match(table: DataFrame, asked: DataFrame) -> DataFrame:
-    """Rows (key, n) of bigrams that a filter of the asked codes lets through.
+def that_may_match(table: DataFrame, asked: DataFrame, model: Broadcast) -> DataFrame:
+    """Rows (key, n) of bigrams that can answer a question; ``asked`` are the keys that texts not learned from ask for.
 
-    Only a saving before the join: with more codes than ``MAX_BITS`` suits it lets more rows pass, and drops none that is asked for.
+    Texts learned from ask only for what the model's filter of bigrams seen several times lets through.  Only a saving before
+    the join: with more keys than ``MAX_BITS`` suits more rows pass, and none that is asked for is dropped.
     """
-    codes_ = asked.select(F.lit(2).alias("kind"), "key", F.lit(1).alias("level"))
-    shared = table.sparkSession.sparkContext.broadcast(filter_of(codes_, asked.count()))
+    keys = asked.select(F.lit(2).alias("kind"), "key", F.lit(1).alias("level"))
+    shared = table.sparkSession.sparkContext.broadcast(filter_of(keys, asked.count()))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = LogFrequencyFilter(shared.value)
+        filters = [LogFrequencyFilter(segments) for segments in (model.value.several, shared.value)]
         for batch in batches:
-            yield batch.filter(pa.array(held.levels(bigram_key(batch.column(0).to_numpy().view(U64))) > 0))
+            key, wanted = bigram_key(batch.column(0).to_numpy().view(U64)), batch.column(1).to_numpy() > 1
+            for held in filters:
+                left = np.flatnonzero(~wanted)
+                wanted[left] = held.levels(key[left]) > 0
+            yield batch.filter(pa.array(wanted))
 
     return table.select("key", "n").mapInArrow(run, "key long, n long")
 
@@ -286,14 +317,17 @@ def fit(docs: DataFrame, folds: int) -> tuple[Model, tuple[DataFrame, DataFrame]
         return np.stack([pair, np.where(pair < HASHED, U64(0), ahead)])
 
     # The token before is written only where the bigram's code does not tell it.
-    bigrams = stage(_counted(training, "key long, before long", pairs), "bigrams")
+    bigrams = stage(_counted(training, "key long, before long", pairs), "bigrams", "zstd")
     both = unigrams.select(F.lit(1).alias("kind"), "key", "n").union(bigrams.select(F.lit(2), "key", "n"))
     # Counts above the limit of this histogram are all kept by any cutoff that can be needed.
     histogram = both.groupBy("kind", F.least("n", F.lit(10_000)).alias("count")).agg(F.count("*").alias("times"))
-    one, two = _cutoffs([tuple(r) for r in histogram.collect()])
+    sizes = [tuple(r) for r in histogram.collect()]
+    one, two = _cutoffs(sizes)
     held = both.where(F.when(F.col("kind") == 1, F.col("n") >= one).otherwise(F.col("n") >= two)).select("kind", "key", level_sql("n").alias("level"))
     entries = held.agg(F.sum("level")).first()[0] or 0
     table = filter_of(held, entries)
+    again = bigrams.where((F.col("n") > 1) & (F.col("n") < two)).select(F.lit(2).alias("kind"), "key", F.lit(1).alias("level"))
+    several = filter_of(again, sum(times for kind, n, times in sizes if kind == 2 and 1 < n < two))
     context = F.when(F.col("key") >= 0, F.shiftright("key", PLACE_BITS)).otherwise(F.col("before"))
     kept = F.greatest(quantised(F.col("n")) - F.lit(DISCOUNT), F.lit(0.0))
     used = stage(bigrams.groupBy(context.alias("key")).agg(F.sum(kept).alias("used")), "used")
@@ -312,14 +346,14 @@ def fit(docs: DataFrame, folds: int) -> tuple[Model, tuple[DataFrame, DataFrame]
         level = np.where(level > 0, level, level_of(head_count))
     model = Model(
         facts["total"] or 0, facts["distinct"], facts["smoothed"] or 0.0, head, head_count, 1 - head_used / np.maximum(1, head_count),
-        (one, two), begins, 1 - begin_used / max(1, begins), table, level,
+        (one, two), begins, 1 - begin_used / max(1, begins), table, level, several,
     )
     return model, (words, bigrams.where(F.col("n") < two).select("key", "n"))
 
 
 #: Tokens left open, as lists side by side: codes of the token and the one before it, the bigram's level (``ASK`` where its
 #: count has to be asked for), and ``wait`` if their part of the score is missing.  A token that is not broadcast always
-#: lacks its part of the base.
+#: lacks its part of the base.  Where both are broadcast, only the bigram's code is kept (``ask``): it tells all but the count.
 OPEN = {"token": pa.int64(), "before": pa.int64(), "level": pa.int16(), "wait": pa.bool_()}
 OPEN_SQL = "token array<long>, before array<long>, level array<smallint>, wait array<boolean>"
 ASK = -1
@@ -328,9 +362,8 @@ ASK = -1
 def own_counts(key: np.ndarray, borders: np.ndarray) -> np.ndarray:
     """How often each place's key occurs in its own document."""
     doc = np.repeat(np.arange(len(borders) - 1), np.diff(borders))
-    order = np.lexsort((key, doc))
-    fresh = np.concatenate(([True], (doc[order][1:] != doc[order][:-1]) | (key[order][1:] != key[order][:-1]))) if len(key) else np.zeros(0, bool)
-    size = np.diff(np.concatenate((np.flatnonzero(fresh), [len(key)])))
+    distinct, place = np.unique(key, return_inverse=True)
+    _, size, order = runs(doc * len(distinct) + place)
     out = np.empty(len(key), np.int64)
     out[order] = np.repeat(size, size)
     return out
@@ -342,6 +375,18 @@ def smoothed(seen: np.ndarray, mass: np.ndarray, alone: np.ndarray, level: np.nd
     return np.where(seen > 0, mass * alone + pair / np.maximum(seen, 1), alone)
 
 
+def common_parts(model: Model, key: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """What a count adds to the score of a bigram of two broadcast tokens, over that of one never seen."""
+    before, token = key >> PLACE_BITS, key & BEGIN_PLACE
+    begin = before == BEGIN_PLACE
+    at = np.where(begin, 0, before)
+    seen = np.where(begin, model.begin_count, model.head_count[at])
+    mass = np.where(begin, model.begin_left, model.left_mass[at])
+    alone = (count_at(model.head_level[token]) + 0.1) / (model.smoothed_total + 0.1 * (model.distinct + 1))
+    with_, without = (np.log10(np.minimum(smoothed(seen, mass, alone, level), 1.0)) for level in (level_of(n), np.zeros(len(n), np.int64)))
+    return with_ - without
+
+
 def finish(model: Model, token: np.ndarray, before: np.ndarray, level: np.ndarray, words: tuple, pairs: tuple) -> tuple:
     """Of open tokens: whether each lacks its part of the base, whether it was seen, that part, and the score's part.
 
@@ -379,7 +424,8 @@ def finish(model: Model, token: np.ndarray, before: np.ndarray, level: np.ndarra
 
 def score_texts(model: Model, texts: list[bytes], learned: np.ndarray | None = None) -> dict[str, np.ndarray]:
     """``learned`` marks documents that the counts were taken from: a bigram that such a text holds n times has a count of at
-    least n, and one that is not in the filter a count below the cutoff, so where the two meet no join is needed.  Per document: tokens, known frequent ones, their part of the base, the model's score; and the tokens left open (``OPEN``)."""
+    least n, and one that is not in the filter a count below the cutoff, so where the two meet no join is needed; nor where
+    it is not among those seen several times, as it then stands there alone.  Per document: tokens, known frequent ones, their part of the base, the model's score; and the tokens left open (``OPEN``, ``ask``)."""
     token, before, borders = tokens(texts)
     filter_ = LogFrequencyFilter(model.segments)
     distinct, inverse = np.unique(token, return_inverse=True)
@@ -409,19 +455,29 @@ def score_texts(model: Model, texts: list[bytes], learned: np.ndarray | None = N
     no_pair = (pair_level == 0) & (model.least[1] > 1)
     if learned is not None and model.least[1] > 1:
         ask = np.flatnonzero(no_pair & np.repeat(learned, np.diff(borders)))
+        wanted = np.zeros(len(keys), bool)
+        wanted[back[ask]] = True
+        alone_there = np.zeros(len(keys), bool)
+        alone_there[wanted] = LogFrequencyFilter(model.several).levels(bigram_key(keys[wanted])) == 0
+        once = alone_there[back[ask]]
+        pair_level[ask[once]] = 1
+        no_pair[ask[once]] = False
+        ask = ask[~once]
         own = own_counts(key[ask], np.searchsorted(ask, borders))
         sure = own == model.least[1] - 1
         pair_level[ask[sure]] = level_of(own[sure])
         no_pair[ask[sure]] = False
     # A bigram of a token that was never seen was not seen either.
     no_pair &= ~(unseen | (~start & np.concatenate(([False], unseen[:-1]))))
-    closed = ~(no_alone | no_context | no_pair)
+    # Of two broadcast tokens only the count is open: it is scored as never seen here, and ``common_parts`` adds the rest.
+    later = no_pair & (key < HASHED)
+    closed = ~(no_alone | no_context | (no_pair & ~later))
     p = smoothed(seen, mass, alone, pair_level)
     cut = borders[:-1]
     rare = place < 0
     left = np.flatnonzero(rare | ~closed)
     values = (code.view(np.int64), ahead.view(np.int64), np.where(no_pair, ASK, pair_level).astype(np.int16), ~closed)
-    ask = np.flatnonzero(no_pair)
+    ask = np.flatnonzero(later)
     return {
         "n_tokens": np.diff(borders), "head_known": np.add.reduceat((~rare).astype(np.int64), cut),
         "head_base": np.add.reduceat(np.where(rare, 0.0, base), cut),
@@ -458,7 +514,25 @@ def score(docs: DataFrame, model: Model, words: DataFrame, bigrams: DataFrame, f
     rows = docs.select(
         F.col("doc_id").cast("long").alias("doc_id"), (fold("doc_id", folds) == 0).alias("held_out"), whole_text().alias("text")
     )
-    scored = stage(rows.mapInArrow(run, schema), "scored")
+    scored = stage(rows.mapInArrow(run, schema), "scored", "zstd")
+
+    def pairs_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            row, lists = batch.column(0).to_numpy(), {name: batch.column(i) for i, name in enumerate(OPEN, 1) if name != "wait"}
+            token, before, level = (c.flatten().to_numpy() for c in lists.values())
+            open_ = np.flatnonzero(level == ASK)
+            where = np.repeat(np.arange(len(row)), pc.list_value_length(lists["token"]).to_numpy())[open_]
+            key, place = np.unique(bigram_code(before[open_].view(U64), token[open_].view(U64)).view(np.int64), return_inverse=True)
+            one, _, _ = runs(where * len(key) + place)
+            yield pa.RecordBatch.from_arrays([pa.array(row[where[one]]), pa.array(key[place[one]])], names=["row", "key"])
+
+    def added(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            row, key, n = (c.to_numpy() for c in batch.columns)
+            distinct, place = np.unique(row, return_inverse=True)
+            parts = np.bincount(place, common_parts(shared.value, key, n), len(distinct))
+            yield pa.RecordBatch.from_arrays([pa.array(distinct), pa.array(parts)], names=["row", "part"])
+
     # Each document asks once for a word or bigram; its answers are no more than its own tokens.
     waiting = F.filter(F.zip_with("before", "wait", lambda b, w: F.when(w, b)), lambda b: b < 0)
     asked = F.array_distinct(F.concat(F.filter("token", lambda x: x < 0), waiting))
@@ -466,8 +540,19 @@ def score(docs: DataFrame, model: Model, words: DataFrame, bigrams: DataFrame, f
         scored.select("row", F.explode(asked).alias("key")).join(words.hint("shuffle_hash"), "key").select("row", "key", "n", "left")
     )
     if model.least[1] > 1:
-        pairs = scored.select("row", F.explode(F.array_distinct("ask")).alias("key"))
-        found = pairs.join(that_may_match(bigrams, pairs).hint("shuffle_hash"), "key")
+        # Bigrams of broadcast tokens need nothing but their count: a sum per document comes back, in a step of its own.
+        def common(table: DataFrame) -> DataFrame:
+            return table.select("row", F.explode("ask").alias("key"))
+
+        numbered = that_may_match(bigrams.where("key >= 0"), common(scored.where("held_out")), shared)
+        found = common(scored).join(numbered.hint("shuffle_hash"), "key").select("row", "key", "n")
+        parts = stage(found.mapInArrow(added, "row long, part double").groupBy("row").agg(F.sum("part").alias("part")), "parts")
+
+        def others(table: DataFrame) -> DataFrame:
+            return table.select("row", "token", "before", "level").mapInArrow(pairs_of, "row long, key long")
+
+        hashed = that_may_match(bigrams.where("key < 0"), others(scored.where("held_out")), shared)
+        found = others(scored).join(hashed.hint("shuffle_hash"), "key")
         answers = answers.union(found.select("row", "key", "n", F.lit(None).cast("double")))
     answers = answers.groupBy("row").agg(F.collect_list(F.struct("key", "n", "left")).alias("answers"))
 
@@ -491,11 +576,16 @@ def score(docs: DataFrame, model: Model, words: DataFrame, bigrams: DataFrame, f
             yield pa.RecordBatch.from_arrays([
                 *(columns[c] for c in ("doc_id", "held_out", "n_tokens")),
                 pa.array(columns["head_known"].to_numpy() + total(rare & known)), pa.array(np.full(batch.num_rows, shared.value.total, np.int64)),
-                pa.array(columns["head_base"].to_numpy() + total(base)), pa.array(columns["score"].to_numpy() + total(np.where(wait, part, 0.0))),
+                pa.array(columns["head_base"].to_numpy() + total(base)), pa.array(columns["score"].to_numpy() + total(np.where(wait, part, 0.0)) + columns["part"].to_numpy()),
             ], names=["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
 
     result = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
-    return scored.drop("ask").join(answers, "row", "left").mapInArrow(close, result)
+    answered = scored.drop("ask").join(answers, "row", "left")
+    if model.least[1] > 1:
+        answered = answered.join(parts, "row", "left").withColumn("part", F.coalesce("part", F.lit(0.0)))
+    else:
+        answered = answered.withColumn("part", F.lit(0.0))
+    return answered.mapInArrow(close, result)
 
 
 def language_model_scores(docs: DataFrame, folds: int = 10) -> DataFrame:

@@ -47,10 +47,10 @@ def reachable(spark: SparkSession) -> SparkSession:
     return spark
 
 
-def stage(df: DataFrame, name: str) -> DataFrame:
+def stage(df: DataFrame, name: str, codec: str = "snappy") -> DataFrame:
     """Write a table to the shared folder and read it again, so that a lost executor costs no recomputation."""
     path = work_path(df.sparkSession, name)
-    df.write.parquet(path)
+    df.write.parquet(path, compression=codec)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 

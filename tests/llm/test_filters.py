@@ -246,6 +246,26 @@ def test_no_cutoff_changes_a_score(make, monkeypatch, head, bits):
     assert np.allclose(got, brute_scores(rows), rtol=1e-9, atol=1e-6)
 
 
+def test_bigrams_seen_once_are_not_asked_for(make, monkeypatch):
+    """Of texts learned from, only bigrams seen several times whose count is not in the filter wait for a join."""
+    monkeypatch.setattr(bloom_lm, "MAX_BITS", 4000)
+    rng = random.Random(17)
+    texts = [" ".join(f"w{int(rng.paretovariate(1)) % 300}" for _ in range(rng.randint(0, 60))) for _ in range(150)]
+    model, _ = bloom_lm.fit(make([(None, t) for t in texts]), 10)
+    counts = Counter(x for t in texts for x in zip([bloom_lm.BEGIN, *lm_tokens(t)], lm_tokens(t)))
+    found = bloom_lm.score_texts(model, [t.encode() for t in texts], np.ones(len(texts), bool))
+    several = sum(1 < n < model.least[1] for n in counts.values())
+    assert model.least[1] > 2 and 0 < len(np.unique(found["ask"].to_numpy())) <= several  # all bigrams seen once too before
+
+
+def test_runs_and_own_counts():
+    values = np.array([5, 3, 5, 5, 9, 3])
+    one, n, order = bloom_lm.runs(values)
+    assert values[one].tolist() == [3, 5, 9] and n.tolist() == [2, 3, 1] and values[order].tolist() == sorted(values)
+    assert [len(x) for x in bloom_lm.runs(np.zeros(0, np.int64))] == [0, 0, 0]
+    assert bloom_lm.own_counts(np.array([7, 7, 8, 7, 8, 8]), np.array([0, 3, 3, 6])).tolist() == [2, 2, 1, 1, 2, 2]
+
+
 def test_language_model_of_empty_table(make):
     assert bloom_lm.language_model_scores(make([])).count() == 0
 
