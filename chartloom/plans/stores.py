@@ -58,7 +58,7 @@ SELECT case_id, 'Customer#' || o_custkey AS full_name, CAST(coalesce(n, 0) AS BI
 def commit_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All cases committed with their files, twice, and read back."""
     root = _root(spark, "commit")
-    cases, files = _cases(spark, sf_dir).select("case_id", "analysis"), _lines(spark, sf_dir, "case_id", "drafts")
+    cases, files = _cases(spark, sf_dir).select("case_id", "analysis"), stage(_lines(spark, sf_dir, "case_id", "drafts"), "commit-files")
     tb.commit_cases(cases, files, root, MONTHLY)
     tb.commit_cases(cases, files, root, MONTHLY)
     return _summary(spark, root)

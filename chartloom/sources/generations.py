@@ -97,6 +97,30 @@ def switch(spark: SparkSession, root: str, changes: list[tuple[str, str | None,
     rows.coalesce(1).write.parquet(f"{root}/{COMMITS}/commit={last + 1}")
 
 
+def _spool(rows: DataFrame, root: str) -> DataFrame:
+    """Rows written below the root and read again, so that later steps do not compute them anew."""
+    path = f"{root}/_incoming/{uuid.uuid4().hex}"
+    rows.write.parquet(path)
+    return rows.sparkSession.read.schema(rows.schema).parquet(path)
+
+
+def newest(rows: DataFrame, keys: list[str], root: str) -> DataFrame:
+    """Of the rows of a key the one with the highest ``version``, of equal versions the one with the largest text.
+
+    A narrow count of key hashes finds the keys that come more than once (and others with the same hash); only their rows are
+    written out as text and put in order.
+    """
+    names, digest = rows.columns, F.xxhash64(*keys)
+    counted = rows.groupBy(digest.alias("_digest")).agg(F.count("*").alias("_n"))
+    twice = _spool(counted.where("_n > 1").select("_digest"), root)
+    if twice.isEmpty():
+        return rows
+    several = rows.join(twice, digest == twice["_digest"], "left_semi")
+    best = several.groupBy(*keys).agg(F.max_by(F.struct(*names), F.struct("version", F.to_json(F.struct(*names)))).alias("_row"))
+    picked = best.select(*[F.col(f"_row.{name}").alias(name) for name in names])
+    return _spool(rows.join(twice, digest == twice["_digest"], "left_anti").unionByName(picked), root)
+
+
 def upsert(spark: SparkSession, root: str, table: str, incoming: DataFrame, keys: list[str], period: str = DAILY) -> list[tuple[str, str | None, str, bool]]:
     """Write rows so that the highest ``version`` of each key stays; returns the changes to commit.
 
@@ -105,11 +129,7 @@ def upsert(spark: SparkSession, root: str, table: str, incoming: DataFrame, keys
     is outdone are written anew.
     """
     names = incoming.columns
-    best = incoming.groupBy(*keys).agg(F.max_by(F.struct(*names), F.struct("version", F.to_json(F.struct(*names)))).alias("_row"))
-    rows = best.select(*[F.col(f"_row.{name}").alias(name) for name in names]).withColumn(DAY, day_of(F.col(keys[0]), period))
-    spool = f"{root}/_incoming/{uuid.uuid4().hex}"
-    rows.write.parquet(spool)
-    rows = spark.read.parquet(spool)
+    rows = newest(_spool(incoming, root), keys, root).withColumn(DAY, day_of(F.col(keys[0]), period))
     days = [row[0] for row in rows.select(DAY).distinct().collect()]
     stored = present(spark, root, table, days)
     if stored is None:
@@ -118,7 +138,7 @@ def upsert(spark: SparkSession, root: str, table: str, incoming: DataFrame, keys
     same = [F.col(f"n.{key}").eqNullSafe(F.col(f"s.{key}")) for key in keys]
     versions = stored.select(*keys, F.col("version").alias("_stored"))
     judged = rows.alias("n").join(versions.alias("s"), same, "left").select("n.*", "_stored")
-    better = judged.where("_stored IS NULL OR version > _stored")
+    better = _spool(judged.where("_stored IS NULL OR version > _stored"), root)
     outdone = [row[0] for row in better.where("_stored IS NOT NULL").select(DAY).distinct().collect()]
     fresh = better.select(*names)
     if outdone:
