@@ -1,0 +1,415 @@
+"""Leaves and merge of VARIANT values on their bytes, for Arrow functions.
+
+A VARIANT is a value and a dictionary of member names.  Values are cut out of the bytes they stand in and never decoded, so
+every type survives.  All documents of a batch go down their trees in step, one level a round, in arrays over the members of
+that level; a member that is left alone costs one copy of its bytes.
+"""
+
+from __future__ import annotations
+
+import sys
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+
+# Fixed by the encoding: the kinds in the two low bits of a value's first byte, and the bytes of each primitive.
+_STRING, _OBJECT, _ARRAY = 1, 2, 3
+_SIZES = {0: 1, 1: 1, 2: 1, 3: 2, 4: 3, 5: 5, 6: 9, 7: 9, 8: 6, 9: 10, 10: 18, 11: 5, 12: 9, 13: 9, 14: 5, 20: 17}
+_SIZED = (15, 16)
+_FIXED = np.array([_SIZES.get(kind, 0) for kind in range(64)])
+#: Longer pieces are copied one by one, shorter ones in blocks of so many bytes; bounds the arrays of places.
+_LONG, _BLOCK = 4096, 1 << 20
+#: Dictionary without names.
+NO_NAMES = b"\x01\x00\x00"
+VARIANT = pa.struct([
+    pa.field("value", pa.binary(), False), pa.field("metadata", pa.binary(), False, {b"variant": b"true"}),
+])
+#: Documents may be nested as deep as a parser goes; calls between Python functions need no C stack.
+DEEP = 100_000
+
+
+def _numbers(data: bytes, at: int, count: int, width: int):
+    if width == 1:
+        return data[at:at + count]
+    return [int.from_bytes(data[i:i + width], "little") for i in range(at, at + count * width, width)]
+
+
+def _width(number: int) -> int:
+    return max(1, (number.bit_length() + 7) // 8)
+
+
+def names_of(metadata: bytes) -> list[str]:
+    width = (metadata[0] >> 6 & 3) + 1
+    count = int.from_bytes(metadata[1:1 + width], "little")
+    ends = _numbers(metadata, 1 + width, count + 1, width)
+    first = 1 + width * (count + 2)
+    return [metadata[first + a:first + b].decode("utf-8") for a, b in zip(ends, ends[1:])]
+
+
+def dictionary(names: list[str]) -> bytes:
+    written = [name.encode("utf-8") for name in names]
+    ends = [0]
+    for name in written:
+        ends.append(ends[-1] + len(name))
+    width = _width(max(ends[-1], len(names)))
+    return bytes([1 | width - 1 << 6]) + b"".join(n.to_bytes(width, "little") for n in (len(names), *ends)) + b"".join(written)
+
+
+def _layout(data: bytes, at: int) -> tuple[int, int, int, int, int, int]:
+    """Of an object or array: count, place and width of ids (objects), place and width of offsets, place of the values."""
+    info = data[at] >> 2
+    is_object = data[at] & 3 == _OBJECT
+    width, id_width = (info & 3) + 1, (info >> 2 & 3) + 1 if is_object else 0
+    if info & (16 if is_object else 4):
+        count, ids = int.from_bytes(data[at + 1:at + 5], "little"), at + 5
+    else:
+        count, ids = data[at + 1], at + 2
+    offsets = ids + count * id_width
+    return count, ids, id_width, offsets, width, offsets + (count + 1) * width
+
+
+def _end(data: bytes, at: int) -> int:
+    """Where a value ends."""
+    head = data[at]
+    kind = head & 3
+    if kind == _STRING:
+        return at + 1 + (head >> 2)
+    if kind:
+        count, _, _, offsets, width, values = _layout(data, at)
+        last = offsets + count * width
+        return values + int.from_bytes(data[last:last + width], "little")
+    if head >> 2 in _SIZED:
+        return at + 5 + int.from_bytes(data[at + 1:at + 5], "little")
+    return at + _SIZES[head >> 2]
+
+
+def _members(data: bytes, at: int) -> list[tuple[int, int]]:
+    """(id of the name, place of the value) of each member of an object."""
+    count, ids, id_width, offsets, width, values = _layout(data, at)
+    if id_width == width == 1:
+        return [(i, values + o) for i, o in zip(data[ids:ids + count], data[offsets:offsets + count])]
+    return [(i, values + o) for i, o in zip(_numbers(data, ids, count, id_width), _numbers(data, offsets, count, width))]
+
+
+def _members(data: bytes, at: int) -> list[tuple[int, int]]:
+    """(id of the name, place of the value) of each member of an object."""
+    count, ids, id_width, offsets, width, values = _layout(data, at)
+    return [(i, values + o) for i, o in zip(_numbers(data, ids, count, id_width), _numbers(data, offsets, count, width))]
+
+
+def _items(data: bytes, at: int) -> list[int]:
+    count, _, _, offsets, width, values = _layout(data, at)
+    return [values + o for o in _numbers(data, offsets, count, width)]
+
+
+def _offsets(parts: list[bytes]) -> tuple[int, bytes]:
+    ends = [0]
+    for part in parts:
+        ends.append(ends[-1] + len(part))
+    width = _width(ends[-1])
+    return width, bytes(ends) if width == 1 else b"".join(n.to_bytes(width, "little") for n in ends)
+
+
+def _object(ids: list[int], parts: list[bytes]) -> bytes:
+    """An object of members that are in the order of their names."""
+    width, offsets = _offsets(parts)
+    id_width = _width(max(ids, default=0))
+    large = len(ids) > 255
+    head = bytes([_OBJECT | (width - 1 | id_width - 1 << 2 | large << 4) << 2]) + len(ids).to_bytes(4 if large else 1, "little")
+    written = bytes(ids) if id_width == 1 else b"".join(n.to_bytes(id_width, "little") for n in ids)
+    return head + written + offsets + b"".join(parts)
+
+
+def _array(parts: list[bytes]) -> bytes:
+    width, offsets = _offsets(parts)
+    large = len(parts) > 255
+    head = bytes([_ARRAY | (width - 1 | large << 2) << 2]) + len(parts).to_bytes(4 if large else 1, "little")
+    return head + offsets + b"".join(parts)
+
+
+def _renamed(data: bytes, at: int, new_id) -> bytes:
+    """A value with other ids of its names; members keep their order, which is that of the names."""
+    kind = data[at] & 3
+    if kind == _OBJECT:
+        members = _members(data, at)
+        return _object([new_id(i) for i, _ in members], [_renamed(data, place, new_id) for _, place in members])
+    if kind == _ARRAY:
+        return _array([_renamed(data, place, new_id) for place in _items(data, at)])
+    return data[at:_end(data, at)]
+
+
+def _alone(data: bytes, at: int, names: list[str]) -> tuple[bytes, bytes]:
+    """A value that stands for itself, with the names that it uses and no others."""
+    used: dict[int, int] = {}
+    value = _renamed(data, at, lambda i: used.setdefault(i, len(used)))
+    return value, dictionary([names[i] for i in used]) if used else NO_NAMES
+
+
+class _Batch:
+    """The bytes of the documents of one or two columns; members are found for many objects at once."""
+
+    def __init__(self, *columns: pa.StructArray):
+        parts, starts, size = [], [], 0
+        for column in columns:
+            value = column.field("value").cast(pa.binary())
+            offsets = np.frombuffer(value.buffers()[1], np.int32)[value.offset:value.offset + len(value) + 1].astype(np.int64) if len(value) else np.zeros(1, np.int64)
+            data = np.frombuffer(value.buffers()[2] or b"", np.uint8)[offsets[0]:offsets[-1]]
+            parts.append(data)
+            starts.append(offsets[:-1] - offsets[0] + size)
+            size += len(data)
+        # A number of four bytes may be read at the last place.
+        self.data, self.starts, self.size = np.concatenate([*parts, np.zeros(8, np.uint8)]), starts, size
+        self.added: list[bytes] = []
+
+    def add(self, value: bytes) -> int:
+        """Place of a value that stands in no document."""
+        self.added.append(value)
+        self.size += len(value)
+        return self.size - len(value) + 8
+
+    def close(self) -> np.ndarray:
+        return np.concatenate([self.data, np.frombuffer(b"".join(self.added), np.uint8)]) if self.added else self.data
+
+    def read(self, at: np.ndarray, width) -> np.ndarray:
+        found = self.data[at].astype(np.int64)
+        widest = int(np.max(width, initial=1))
+        for i in range(1, widest):
+            found += np.where(width > i, self.data[at + i].astype(np.int64) << 8 * i, 0)
+        return found
+
+    def layout(self, at: np.ndarray):
+        info = self.data[at].astype(np.int64)
+        is_object = info & 3 == _OBJECT
+        info >>= 2
+        width, id_width = (info & 3) + 1, np.where(is_object, (info >> 2 & 3) + 1, 0)
+        counted = np.where(info & np.where(is_object, 16, 4) > 0, 4, 1)
+        count, ids = self.read(at + 1, counted), at + 1 + counted
+        offsets = ids + count * id_width
+        return count, ids, id_width, offsets, width, offsets + (count + 1) * width
+
+    def members(self, at: np.ndarray):
+        """(index of the object, id of the name, place of the value) of every member."""
+        count, ids, id_width, offsets, width, values = self.layout(at)
+        owner = np.repeat(np.arange(len(at)), count)
+        nth = np.arange(len(owner)) - np.repeat(np.cumsum(count) - count, count)
+        id_width, width = id_width[owner], width[owner]
+        return owner, self.read(ids[owner] + nth * id_width, id_width), values[owner] + self.read(offsets[owner] + nth * width, width)
+
+    def ends(self, at: np.ndarray) -> np.ndarray:
+        head = self.data[at].astype(np.int64)
+        kind, info = head & 3, head >> 2
+        size = np.where(kind == _STRING, 1 + info, _FIXED[info])
+        sized = np.flatnonzero((kind == 0) & np.isin(info, _SIZED))
+        size[sized] = 5 + self.read(at[sized] + 1, np.full(len(sized), 4))
+        nested = np.flatnonzero(kind >= _OBJECT)
+        count, _, _, offsets, width, values = self.layout(at[nested])
+        size[nested] = values + self.read(offsets + count * width, width) - at[nested]
+        if len(size) and not size.min():
+            raise ValueError(f"unknown kind of value: {int(info[size.argmin()])}")
+        return at + size
+
+
+def _copy(out: np.ndarray, to: np.ndarray, data: np.ndarray, start: np.ndarray, size: np.ndarray) -> None:
+    """Pieces of some bytes to their places in others."""
+    for i in np.flatnonzero(size > _LONG):
+        out[to[i]:to[i] + size[i]] = data[start[i]:start[i] + size[i]]
+    short = np.flatnonzero(size <= _LONG)
+    to, start, size = to[short], start[short], size[short]
+    done = np.cumsum(size)
+    begin = 0
+    while begin < len(size):
+        end = max(begin + 1, int(np.searchsorted(done, (done[begin - 1] if begin else 0) + _BLOCK, "right")))
+        n = size[begin:end]
+        step = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
+        out[np.repeat(to[begin:end], n) + step] = data[np.repeat(start[begin:end], n) + step]
+        begin = end
+
+
+def _binary(ends: np.ndarray, data: np.ndarray) -> pa.Array:
+    if ends[-1] > np.iinfo(np.int32).max:
+        raise OverflowError("a batch of values over 2 GB: lower spark.sql.execution.arrow.maxBytesPerBatch")
+    return pa.Array.from_buffers(pa.binary(), len(ends) - 1, [None, pa.py_buffer(ends.astype(np.int32)), pa.py_buffer(data)])
+
+
+def _ends(size: np.ndarray) -> np.ndarray:
+    return np.concatenate([np.zeros(1, np.int64), np.cumsum(size)])
+
+
+def _column(values: pa.Array, dictionaries: pa.Array, missing: np.ndarray) -> pa.StructArray:
+    mask = pa.array(missing) if missing.any() else None
+    return pa.StructArray.from_arrays([values, dictionaries], fields=list(VARIANT), mask=mask)
+
+
+def _valid(column: pa.StructArray) -> np.ndarray:
+    return np.asarray(column.is_valid().to_numpy(zero_copy_only=False), bool)
+
+
+def _distinct(column: pa.StructArray) -> tuple[list[bytes], np.ndarray]:
+    """The dictionaries of a column and which one each document has; those of missing documents do not count."""
+    found = pc.if_else(column.is_valid(), column.field("metadata").cast(pa.binary()), pa.scalar(NO_NAMES)).dictionary_encode()
+    return found.dictionary.to_pylist(), found.indices.to_numpy(zero_copy_only=False).astype(np.int64)
+
+
+def leaves_of(docs: pa.Array) -> pa.Array:
+    """LIST<STRUCT<path, value>> of every leaf of each document, upper levels first; arrays and empty objects stay leaves.
+
+    A document that is no filled object is a leaf itself, and no document one without a value.
+    """
+    sys.setrecursionlimit(max(DEEP, sys.getrecursionlimit()))
+    batch, (kept, which) = _Batch(docs), _distinct(docs)
+    names = [names_of(metadata) for metadata in kept]
+    first = _ends(np.array([len(n) for n in names], np.int64))
+    named = pa.array([name for n in names for name in n], pa.string())
+    row, at = np.arange(len(docs)), batch.starts[0]
+    valid = _valid(docs)
+    missing = np.flatnonzero(~valid)
+    path = pa.repeat(pa.scalar("", pa.string()), len(docs))
+    closed = [(missing, np.full(len(missing), -1), path.take(pa.array(missing)))]
+    row, at, path, top = row[valid], at[valid], path.take(pa.array(np.flatnonzero(valid))), True
+    while len(at):
+        nested = np.flatnonzero(batch.data[at] & 3 == _OBJECT)
+        open_ = nested[batch.layout(at[nested])[0] > 0]
+        leaf = np.ones(len(at), bool)
+        leaf[open_] = False
+        leaf = np.flatnonzero(leaf)
+        closed.append((row[leaf], at[leaf], path.take(pa.array(leaf))))
+        owner, name, at = batch.members(at[open_])
+        owner = open_[owner]
+        row = row[owner]
+        name = named.take(pa.array(first[which[row]] + name))
+        path, top = name if top else pc.binary_join_element_wise(path.take(pa.array(owner)), name, "."), False
+    row, at = np.concatenate([r for r, _, _ in closed]), np.concatenate([a for _, a, _ in closed])
+    order = np.argsort(row, kind="stable")
+    at, paths = at[order], pa.concat_arrays([p for _, _, p in closed]).take(pa.array(order))
+    held = np.flatnonzero(at >= 0)
+    size = np.zeros(len(at), np.int64)
+    size[held] = batch.ends(at[held]) - at[held]
+    # An array may hold objects, whose names go with it.
+    used: dict[int, bytes] = {}
+    for i in held[batch.data[at[held]] & 3 == _ARRAY]:
+        value, used[i] = _alone(batch.data[at[i]:at[i] + size[i]].tobytes(), 0, names[which[row[order[i]]]])
+        at[i], size[i] = batch.add(value), len(value)
+    data, ends = batch.close(), _ends(size)
+    out = np.empty(ends[-1], np.uint8)
+    _copy(out, ends[:-1], data, at, size)
+    if any(x != NO_NAMES for x in used.values()):
+        dictionaries = pa.array([used.get(i, NO_NAMES) for i in range(len(at))], pa.binary())
+    else:
+        dictionaries = _binary(np.arange(len(at) + 1) * len(NO_NAMES), np.tile(np.frombuffer(NO_NAMES, np.uint8), len(at)))
+    nodes = pa.StructArray.from_arrays([paths, _column(_binary(ends, out), dictionaries, at < 0)], names=["path", "value"])
+    return pa.ListArray.from_arrays(pa.array(_ends(np.bincount(row, minlength=len(docs))), pa.int32()), nodes)
+
+
+class _Names:
+    """The names of a target and those that a repair adds to them."""
+
+    def __init__(self, target: bytes, repair: bytes):
+        names = names_of(target)
+        known = {name: i for i, name in enumerate(names)}
+        self.ids = [known.setdefault(name, len(known)) for name in names_of(repair)]
+        self.metadata = dictionary([*known])
+        # Members of an object are in the order of their names' UTF-16 units.
+        order = sorted(known, key=lambda name: name.encode("utf-16-be", "surrogatepass"))
+        self.rank = [0] * len(known)
+        for rank, name in enumerate(order):
+            self.rank[known[name]] = rank
+
+
+def _widths(numbers: np.ndarray) -> np.ndarray:
+    return 1 + (numbers > 0xFF) + (numbers > 0xFFFF) + (numbers > 0xFFFFFF)
+
+
+def _write(out: np.ndarray, at: np.ndarray, numbers: np.ndarray, width: np.ndarray) -> None:
+    for i in range(int(width.max(initial=0))):
+        wide = np.flatnonzero(width > i)
+        out[at[wide] + i] = numbers[wide] >> 8 * i & 0xFF
+
+
+def filled_from(targets: pa.Array, repairs: pa.Array) -> pa.Array:
+    """Each target filled from its repair, nothing where one of them is no object.
+
+    Going down, an object of the repair meets what the target has in its place.  Going up again each object gets its size,
+    and going down once more its place in the result.
+    """
+    sys.setrecursionlimit(max(DEEP, sys.getrecursionlimit()))
+    n, batch = len(targets), _Batch(targets, repairs)
+    (own, t_which), (other, r_which) = _distinct(targets), _distinct(repairs)
+    pairs, which = np.unique(t_which * len(other) + r_which, return_inverse=True)
+    names = [_Names(own[pair // len(other)], other[pair % len(other)]) for pair in pairs]
+    ids, ranks = (np.array([i for x in names for i in getattr(x, part)], np.int64) for part in ("ids", "rank"))
+    first_id, first_rank = (_ends(np.array([len(getattr(x, part)) for x in names], np.int64)) for part in ("ids", "rank"))
+    most = int(max((len(x.rank) for x in names), default=0)) + 1
+    both = np.flatnonzero(_valid(targets) & _valid(repairs))
+    old, new = (starts[both] for starts in batch.starts)
+    filled = (batch.data[old] & 3 == _OBJECT) & (batch.data[new] & 3 == _OBJECT)
+    row, old, new = both[filled], old[filled], new[filled]
+    roots = row
+    levels = []
+    while len(row):
+        held = np.flatnonzero(old >= 0)
+        t_node, t_id, t_at = batch.members(old[held])
+        t_node = held[t_node]
+        r_node, r_id, r_at = batch.members(new)
+        r_id = ids[first_id[which[row[r_node]]] + r_id]
+        t_key, r_key = (node * most + ranks[first_rank[which[row[node]]] + i] for node, i in ((t_node, t_id), (r_node, r_id)))
+        keys, place = np.unique(np.concatenate([t_key, r_key]), return_inverse=True)
+        t_place, r_place = place[:len(t_key)], place[len(t_key):]
+        name, node = np.empty(len(keys), np.int64), keys // most
+        t, r = np.full(len(keys), -1), np.full(len(keys), -1)
+        name[t_place], name[r_place], t[t_place], r[r_place] = t_id, r_id, t_at, r_at
+        t_head, r_head = np.where(t >= 0, batch.data[t], 0), np.where(r >= 0, batch.data[r], 0)
+        opens = (r >= 0) & (r_head & 3 == _OBJECT)
+        # A zero byte is a JSON null: one in the repair is skipped, one in the target is no value.
+        lands = ~opens & (r_head != 0) & (t_head == 0)
+        stays = ~opens & ~lands & (t >= 0)
+        kept = np.flatnonzero(opens | lands | stays)
+        node, name, opens, t, r, t_head = node[kept], name[kept], opens[kept], t[kept], r[kept], t_head[kept]
+        at = np.where(lands[kept], r, t)
+        closed = np.flatnonzero(~opens)
+        size = np.zeros(len(kept), np.int64)
+        size[closed] = batch.ends(at[closed]) - at[closed]
+        for i in np.flatnonzero(lands[kept] & (batch.data[at] & 3 == _ARRAY)):
+            known = names[which[row[node[i]]]]
+            value = _renamed(batch.data[at[i]:at[i] + size[i]].tobytes(), 0, known.ids.__getitem__)
+            at[i], size[i] = batch.add(value), len(value)
+        levels.append((len(row), node, name, opens, at, size))
+        old = np.where((t >= 0) & (t_head & 3 == _OBJECT), t, -1)[opens]
+        row, new = row[node[opens]], r[opens]
+    total, shapes = np.zeros(0, np.int64), []
+    for count, node, name, opens, at, size in reversed(levels):
+        size[opens] = total
+        members = np.bincount(node, minlength=count)
+        ends, starts = _ends(size), _ends(members)
+        inside = ends[starts[1:]] - ends[starts[:-1]]
+        last = np.zeros(count, np.int64)
+        some = np.flatnonzero(members)
+        if len(some):
+            last[some] = np.maximum.reduceat(name, starts[some])
+        width, id_width, counted = _widths(inside), _widths(last), np.where(members > 255, 4, 1)
+        ahead = 1 + counted + members * id_width + (members + 1) * width
+        total = ahead + inside
+        shapes.append((members, inside, width, id_width, counted, ahead, ends[:-1] - np.repeat(ends[starts[:-1]], members), np.arange(len(node)) - np.repeat(starts[:-1], members)))
+    written = np.zeros(n, np.int64)
+    written[roots] = total
+    ends, data = _ends(written), batch.close()
+    out = np.empty(ends[-1], np.uint8)
+    begin = ends[roots]
+    for (count, node, name, opens, at, size), shape in zip(levels, reversed(shapes)):
+        members, inside, width, id_width, counted, ahead, offset, nth = shape
+        out[begin] = _OBJECT | (width - 1 | id_width - 1 << 2 | (counted == 4) << 4) << 2
+        _write(out, begin + 1, members, counted)
+        first = begin + 1 + counted
+        _write(out, first[node] + nth * id_width[node], name, id_width[node])
+        first = first + members * id_width
+        _write(out, first[node] + nth * width[node], offset, width[node])
+        _write(out, first + members * width, inside, width)
+        to = (begin + ahead)[node] + offset
+        closed = np.flatnonzero(~opens)
+        _copy(out, to[closed], data, at[closed], size[closed])
+        begin = to[opens]
+    missing = np.ones(n, bool)
+    missing[roots] = False
+    known = [x.metadata for x in names]
+    dictionaries = pa.array([NO_NAMES, *known], pa.binary()).take(pa.array(np.where(missing, 0, which + 1)))
+    return _column(_binary(ends, out), dictionaries, missing)
