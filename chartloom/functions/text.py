@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from pyspark import cloudpickle
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from chartloom.config import VALUE_MISSING
+from chartloom.functions import indent
 
 # Fixed pattern: the longest numeric prefix a lenient float reader accepts.
 LEADING_NUMBER = r"^\s*([+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?)"
@@ -124,68 +127,19 @@ def percent(done: Column, total: Column) -> Column:
     ).cast("bigint")
 
 
-# Fixed pattern: strings, punctuation and bare values of JSON text; possessive, so that long strings need no stack.
-JSON_TOKEN = r'"[^"\\]*+(?:\\.[^"\\]*+)*+"|[{}\[\],:]|[^{}\[\],:"\s]++'
 # Characters that are written as escapes inside JSON text so that it can stand in HTML.
 JSON_ESCAPES = {"<": r"\u003c", ">": r"\u003e", "&": r"\u0026", "\u2028": r"\u2028", "\u2029": r"\u2029"}
-#: Tokens whose depth is counted from the start of their run, and runs in a block; bound the work for each token and for
-#: very long texts, change no result.
+#: Kept for callers that go by them: the depth of a token is carried along, so the numbers have no effect.
 JSON_RUN, JSON_BLOCK = 16, 16
 
+# Workers get the module with the function, whether they can import the package or not.
+cloudpickle.register_pickle_by_value(indent)
+_indented = F.arrow_udf(indent.indented, T.StringType())
 
-def pretty_json(value: Column) -> Column:
-    """JSON text spread over lines, two spaces a level at any depth; empty objects and arrays stay closed.
-
-    Everything stays in the row: the depth of a token is the number of brackets opened and not closed before it, summed per
-    block of runs, per run of tokens inside the block and inside the run.
-    """
-
-    def total(numbers: Column) -> Column:
-        return F.aggregate(numbers, F.lit(0), lambda a, b: a + b)
-
-    def step(token: Column) -> Column:
-        return F.when(token.isin("{", "["), 1).when(token.isin("}", "]"), -1).otherwise(0)
-
-    def sums_of(numbers: Column, size: int) -> Column:
-        return F.transform(
-            F.sequence(F.lit(0), F.floor(F.size(numbers) / size).cast("int")),
-            lambda part: total(F.slice(numbers, part * size + 1, F.lit(size))),
-        )
-
-    def bind(rows: Column, name: str, make) -> Column:
-        """Add a value that later parts refer to without computing it again."""
-        return F.transform(rows, lambda s: s.withField(name, make(s)))
-
-    def before(s: Column, run: Column) -> Column:
-        block = F.floor(run / JSON_BLOCK).cast("int")
-        return F.get(s["above"], block) + total(F.slice(s["sums"], block * JSON_BLOCK + 1, run % JSON_BLOCK))
-
-    def piece(s: Column, token: Column, i: Column) -> Column:
-        run = F.floor(i / JSON_RUN).cast("int")
-        depth = F.get(s["before"], run) + total(F.slice(s["steps"], run * JSON_RUN + 1, i % JSON_RUN))
-        opens, closes = token.isin("{", "["), token.isin("}", "]")
-        next_closes = F.coalesce(F.get(s["tokens"], i + 1).isin("}", "]"), F.lit(False))
-        after_open = F.coalesce(F.get(s["tokens"], i - 1).isin("{", "["), F.lit(False))
-
-        def line(level: Column) -> Column:
-            return F.concat(F.lit("\n"), F.repeat(F.lit("  "), level))
-
-        return (
-            F.when(opens & ~next_closes, F.concat(token, line(depth + 1)))
-            .when(closes & ~after_open, F.concat(line(depth - 1), token))
-            .when(token == ",", F.concat(token, line(depth)))
-            .when(token == ":", F.lit(": "))
-            .otherwise(token)
-        )
 
+def pretty_json(value: Column) -> Column:
+    """JSON text spread over lines, two spaces a level at any depth; empty objects and arrays stay closed."""
     escaped = value
     for sign, written in JSON_ESCAPES.items():
         escaped = F.replace(escaped, F.lit(sign), F.lit(written))
-    rows = F.array(F.struct(F.regexp_extract_all(escaped, F.lit(JSON_TOKEN), F.lit(0)).alias("tokens")))
-    rows = bind(rows, "steps", lambda s: F.transform(s["tokens"], step))
-    rows = bind(rows, "sums", lambda s: sums_of(s["steps"], JSON_RUN))
-    rows = bind(rows, "blocks", lambda s: sums_of(s["sums"], JSON_BLOCK))
-    rows = bind(rows, "above", lambda s: F.transform(s["blocks"], lambda _sum, block: total(F.slice(s["blocks"], F.lit(1), block))))
-    rows = bind(rows, "before", lambda s: F.transform(s["sums"], lambda _sum, run: before(s, run)))
-    pieces = F.transform(rows, lambda s: F.array_join(F.transform(s["tokens"], lambda token, i: piece(s, token, i)), ""))
-    return F.when(value.isNotNull(), F.get(pieces, F.lit(0)))
+    return _indented(escaped)

@@ -213,7 +213,7 @@ SELECT case_id, '{{' || (SELECT string_agg(chr(10) || repeat('  ', i) || '"a": {
 FROM l""")
 def pretty_cases(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents of 1 to 40 levels written indented, keyed by their case, and read back."""
-    keyed = corpus.with_case_keys(corpus.table(spark, sf_dir, "orders"))
+    keyed = corpus.with_case_keys(corpus.spread(corpus.table(spark, sf_dir, "orders").select("o_orderkey", "o_orderdate")))
     depth = "cast(1 + k % 40 as int)"
     raw = F.expr(f"""concat(repeat('{{"a":', {depth}), '{{"x":', k, ',"s":[1,"x, {{y}}: "],"e":{{}}}}', repeat('}}', {depth}))""")
     path = _root(spark, "pretty")

@@ -135,8 +135,8 @@ def pretty_document(analysis: Column) -> Column:
 
 
 def write_pretty(cases: DataFrame, path: str) -> None:
-    """Indented documents as (case_id, text) rows, each text on its own in a JSON line."""
-    cases.select("case_id", pretty_document(F.col("analysis")).alias("document")).write.mode("overwrite").json(path)
+    """Indented documents as (case_id, text) rows, each text on its own in a JSON line; the files are compressed, as most of it is spaces."""
+    cases.select("case_id", pretty_document(F.col("analysis")).alias("document")).write.mode("overwrite").json(path, compression="gzip")
 
 
 def write_requests(lines: DataFrame, path: str) -> None:

@@ -207,3 +207,26 @@ def test_file_set_is_written_by_many_tasks(spark, tmp_path):
     assert len(files) == 40 and len({f.name.split("-")[1] for f in files}) > 1
     assert sorted(r.s_suppkey for r in got) == list(range(40))
     assert {r.s_suppkey for r in got if r.state == "too_large"} == {7}
+
+
+def test_indented_documents_take_less_room_than_their_text(spark, tmp_path):
+    # Written as they are, their leading spaces took most of the disk.
+    deep = {"x": 1}
+    for _ in range(40):
+        deep = {"a": deep}
+    docs = spark.range(500).select(F.concat(F.lit("case-"), F.col("id")).alias("case_id"), F.parse_json(F.lit(json.dumps(deep))).alias("analysis"))
+    tb.write_pretty(docs, str(tmp_path / "pretty"))
+    back = spark.read.json(str(tmp_path / "pretty")).collect()
+    assert {r.document for r in back} == {json.dumps(deep, indent=2)} and len({r.case_id for r in back}) == 500
+    size = sum(f.stat().st_size for f in (tmp_path / "pretty").glob("part-*"))
+    assert size * 5 < sum(len(r.document) for r in back)
+
+
+def test_indentation_of_texts_that_no_parser_made(spark):
+    texts = ['{ "a" : [ ] , "b":[1 , {}]}', "", "7", "[", "]", "[[", '{"a":"\\"{["}', None, "}{,:", '["\u00a0"]']
+    want = ['{\n  "a": [],\n  "b": [\n    1,\n    {}\n  ]\n}', "", "7", "[\n  ", "\n]", "[\n  [\n    ", '{\n  "a": "\\"{["\n}', None,
+            "\n}{\n,\n: ", '[\n  "\u00a0"\n]']
+    from chartloom.functions.text import pretty_json
+
+    rows = spark.createDataFrame([*enumerate(texts)], "i int, t string").select("i", pretty_json(F.col("t")).alias("p")).collect()
+    assert {r.i: r.p for r in rows} == dict(enumerate(want))
